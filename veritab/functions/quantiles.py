@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 8192
 PASSES = 2
+_TARGET = ("cid", "p", "at", "rank")
 
 
 def _stack(df: DataFrame, values: Sequence[Column]) -> DataFrame:
@@ -35,18 +36,25 @@ def _narrow(long: DataFrame, targets: DataFrame, buckets: int) -> DataFrame:
     slot = F.when(span > 0, F.least(
         F.floor((F.col("v") - F.col("lo")) / span * buckets), F.lit(buckets - 1))).otherwise(0)
     histogram = (
-        # Broadcast is bounded: one row per wanted rank, a handful per column.
-        long.join(F.broadcast(targets), "cid")
-        .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .groupBy("cid", "rank", "below", slot.alias("slot"))
+        _candidates(long, targets)
+        .groupBy(*_TARGET, "below", slot.alias("slot"))
         .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    return _holding_rank(histogram, "slot").select("cid", "rank", "below", "lo", "hi")
+    return _holding_rank(histogram, "slot").select(*_TARGET, "below", "lo", "hi")
+
+
+def _candidates(long: DataFrame, targets: DataFrame) -> DataFrame:
+    """Values that can still be the wanted ones. The broadcast side is bounded:
+
+    one row per wanted rank, so a handful per column.
+    """
+    return long.join(F.broadcast(targets), "cid").where(
+        F.col("v").between(F.col("lo"), F.col("hi")))
 
 
 def _holding_rank(counted: DataFrame, order: str) -> DataFrame:
     """Of ordered, counted cells keep the one the rank falls into."""
-    w = Window.partitionBy("cid", "rank").orderBy(order)
+    w = Window.partitionBy(*_TARGET).orderBy(order)
     upto = F.col("below") + F.sum("n").over(w)
     return (
         counted.withColumn("upto", upto)
@@ -55,17 +63,16 @@ def _holding_rank(counted: DataFrame, order: str) -> DataFrame:
     )
 
 
-def _values_at(long: DataFrame, targets: DataFrame, buckets: int, passes: int) -> DataFrame:
-    """``cid, rank, value`` for zero-based ranks given as ``cid, rank, lo, hi``."""
+def _values_at(long: DataFrame, targets: DataFrame) -> DataFrame:
+    """``cid, at, rank, value`` for zero-based ranks given as ``cid, at, rank, lo, hi``."""
     targets = targets.withColumn("below", F.lit(0).cast("long"))
-    for _ in range(passes):
-        targets = _narrow(long, targets, buckets)
+    for _ in range(PASSES):
+        targets = _narrow(long, targets, BUCKETS)
     left = (
-        long.join(F.broadcast(targets), "cid")
-        .where(F.col("v").between(F.col("lo"), F.col("hi")))
-        .groupBy("cid", "rank", "below", "v").agg(F.count("*").alias("n"))
+        _candidates(long, targets)
+        .groupBy(*_TARGET, "below", "v").agg(F.count("*").alias("n"))
     )
-    return _holding_rank(left, "v").select("cid", "rank", F.col("v").alias("value"))
+    return _holding_rank(left, "v").select(*_TARGET, F.col("v").alias("value"))
 
 
 def _extent(long: DataFrame) -> DataFrame:
@@ -73,28 +80,26 @@ def _extent(long: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
-def exact_quantiles(df: DataFrame, values: Sequence[Column], probabilities: Sequence[float],
-                    buckets: int = BUCKETS, passes: int = PASSES) -> DataFrame:
+def exact_quantiles(df: DataFrame, values: Sequence[Column],
+                    probabilities: Sequence[float]) -> DataFrame:
     """Interpolated quantiles: one row ``cid, p, value`` per column and probability.
 
     ``cid`` is the position in ``values``. Columns without values give no row.
     """
     long = _stack(df, values)
-    wanted = _extent(long).select(
-        "*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    ).withColumn("at", F.col("p") * (F.col("n") - 1))
-    floor_rank, ceil_rank = F.floor("at"), F.ceil("at")
-    targets = wanted.select(
-        "cid", "lo", "hi", F.explode(F.array(floor_rank, ceil_rank)).alias("rank")).distinct()
-    found = _values_at(long, targets, buckets, passes)
-    low = found.select("cid", F.col("rank").alias("r0"), F.col("value").alias("v0"))
-    high = found.select("cid", F.col("rank").alias("r1"), F.col("value").alias("v1"))
-    part = F.col("at") - floor_rank
-    return (
-        wanted.withColumns({"r0": floor_rank, "r1": ceil_rank})
-        .join(low, ["cid", "r0"]).join(high, ["cid", "r1"])
-        .select("cid", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * part).alias("value"))
-    )
+    wanted = F.array(*[
+        F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("n") - 1)).alias("at"))
+        for p in probabilities
+    ])
+    asked = _extent(long).select("cid", "lo", "hi", F.inline(wanted))
+    # The two neighbours of the position; one row when it falls on a value.
+    targets = asked.withColumn("rank", F.explode(F.array_distinct(
+        F.array(F.floor("at"), F.ceil("at")))))
+    found = _values_at(long, targets)
+    low, high = F.min("value"), F.max("value")
+    part = F.col("at") - F.floor(F.col("at"))
+    return found.groupBy("cid", "p", "at").agg(low.alias("low"), high.alias("high")).select(
+        "cid", "p", (F.col("low") + (F.col("high") - F.col("low")) * part).alias("value"))
 
 
 def quantile_row(df: DataFrame, value: Column, probabilities: Sequence[float]) -> DataFrame:
@@ -109,5 +114,7 @@ def quantile_row(df: DataFrame, value: Column, probabilities: Sequence[float]) -
 def value_at_rank(df: DataFrame, value: Column, rank_of: Column) -> DataFrame:
     """One row ``value``: the element at a zero-based rank computed from the count ``n``."""
     long = _stack(df, [value])
-    targets = _extent(long).select("cid", "lo", "hi", rank_of.cast("long").alias("rank"))
-    return _values_at(long, targets, BUCKETS, PASSES).agg(F.max("value").alias("value"))
+    targets = _extent(long).select(
+        "cid", "lo", "hi", F.lit(0.0).alias("p"), F.lit(0.0).alias("at"),
+        rank_of.cast("long").alias("rank"))
+    return _values_at(long, targets).agg(F.max("value").alias("value"))

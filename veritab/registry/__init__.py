@@ -1,0 +1,14 @@
+"""All registered queries, in the order of the coverage inventory."""
+
+from __future__ import annotations
+
+from veritab.registry import base
+from veritab.registry import row_checks, table_checks  # noqa: F401
+
+
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)
