@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veritab.registry import base
-from veritab.registry import row_checks, table_checks  # noqa: F401
+from veritab.registry import history_queries, row_checks, table_checks  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

@@ -88,14 +88,18 @@ def derive(name: str, given: str, select: list[str]) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    given, select = DERIVED.get(name, (name, ["*"]))
-    return spark.read.parquet(f"{sf_dir}/{given}.parquet").selectExpr(*select)
+    if name not in DERIVED:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    given, select = DERIVED[name]
+    return table(spark, sf_dir, given).selectExpr(*select)
 
 
 def source(name: str) -> str:
     """The derived table as an SQL subquery."""
-    given, select = DERIVED.get(name, (name, ["*"]))
-    return f"(SELECT {', '.join(select)} FROM {given})"
+    if name not in DERIVED:
+        return name
+    given, select = DERIVED[name]
+    return f"(SELECT {', '.join(select)} FROM {source(given)} AS given_{given})"
 
 
 class Catalog(dict):
