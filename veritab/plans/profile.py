@@ -13,6 +13,8 @@ from veritab.functions.quantiles import exact_quantiles
 TOP_VALUES = 5
 DISTINCT_VALUES = 10
 
+# A bare number is never a date, though it casts to a year.
+DATE_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 # The texts that count as booleans when a text column is typed.
 BOOLEAN_TEXTS = ("true", "false", "True", "False", "TRUE", "FALSE", "1", "0")
 
@@ -227,7 +229,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None,
         col, number = F.col(c), F.col(c).try_cast("double")
         whole = F.when(F.abs(number) < 9e15, number == F.floor(number)).otherwise(number.isNotNull())
         kind = F.when(F.count(col) == 0, "string").when(
-            every(c, col.try_cast("timestamp").isNotNull()), "datetime")
+            every(c, col.rlike(DATE_START) & col.try_cast("timestamp").isNotNull()), "datetime")
         if boolean_step:
             kind = kind.when(every(c, col.isin(*BOOLEAN_TEXTS)), "boolean")
         kind = kind.when(every(c, whole), "integer").when(every(c, number.isNotNull()), "float")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from veritab.registry import base
-from veritab.registry import history_queries, row_checks, table_checks  # noqa: F401
+from veritab.registry import (  # noqa: F401
+    data_queries, history_queries, row_checks, streaming_queries, table_checks,
+)
 
 
 def queries() -> dict[str, base.Query]:

@@ -46,7 +46,8 @@ derive("rule_runs", "events", [
     """CASE user_id % 5 WHEN 0 THEN 'blocker' WHEN 1 THEN 'High' WHEN 2 THEN 'medium' WHEN 3 THEN 'low'
        ELSE 'unheard' END AS severity""",
     "CASE event_type WHEN 'error' THEN 'failed' ELSE 'completed' END AS status",
-    "least(value, 100e0) AS pass_rate", "1000 + event_id % 500 AS rows_scanned",
+    """CASE WHEN ts >= TIMESTAMP '2024-01-30 00:00:00' AND user_id % 4 = 0 THEN least(value, 100e0) / 2
+       ELSE 90 + least(value, 100e0) / 10 END AS pass_rate""", "1000 + event_id % 500 AS rows_scanned",
     "CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 90 END AS rows_failed",
     "ts AS started_at", "ts AS completed_at"])
 derive("flows", "nation", [
