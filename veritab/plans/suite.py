@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.functions.relations import count_rows
-from veritab.model import (
-    SUMMARY_COLUMNS, Check, RowRule, TablePlan, Tables, rate, status, summarise,
-)
+from veritab.model import SUMMARY_COLUMNS, Check, RowRule, TablePlan, Tables, rate, summarise
 from veritab.operators import fuzzy, reconciliation, tablelevel, uniqueness
 from veritab.operators.rowlevel import is_row_level, row_rule
 
-# Aggregates per scan; beyond this generated code gets too large to compile.
-CHECKS_PER_SCAN = 100
+# Checks per scan; with more the generated code gets too long to be compiled well
+# and stops sharing the common parts of conditions.
+CHECKS_PER_SCAN = 20
 
 
 def moment(as_of: Column | str | None) -> Column:
@@ -27,12 +26,12 @@ def moment(as_of: Column | str | None) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("timestamp")
 
 
-def _scope(check: Check, rule: RowRule) -> Column:
+def _scope(check: Check, rule: RowRule) -> Column | None:
     """Rows that count for a check: its filter and its population."""
     parts = [F.expr(check.filter)] if check.filter else []
     if rule.population is not None:
         parts.append(rule.population)
-    return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+    return reduce(and_, parts) if parts else None
 
 
 def _fused(df: DataFrame, checks: Sequence[Check], as_of: Column) -> DataFrame:
@@ -42,32 +41,53 @@ def _fused(df: DataFrame, checks: Sequence[Check], as_of: Column) -> DataFrame:
         # Let the scan see the union of the filters.
         wanted = dict.fromkeys(c.filter for c in checks)
         df = df.where(reduce(or_, [F.expr(w) for w in wanted]))
-    aggregates = []
-    for i, (check, rule) in enumerate(rules):
+    none = F.lit(0).cast("long")
+    counts = []
+    for check, rule in rules:
         scope = _scope(check, rule)
-        skipped = rule.skipped if rule.skipped is not None else F.lit(False)
-        aggregates += [
-            count_rows(scope).alias(f"t{i}"), count_rows(scope & rule.passed).alias(f"p{i}"),
-            count_rows(scope & rule.failed).alias(f"f{i}"),
-            count_rows(scope & skipped).alias(f"s{i}"),
-        ]
-    one_row = df.agg(*aggregates)
-    cells = []
-    for i, (check, _) in enumerate(rules):
-        total, passed, failed, skipped = (F.col(f"{x}{i}") for x in "tpfs")
-        evaluated = total - skipped
-        pass_rate = rate(passed, evaluated)
-        cells.append(F.struct(
-            F.lit(check.check_id).alias("check_id"), F.lit(check.dimension).alias("dimension"),
-            F.lit(check.subtype).alias("subtype"), F.lit(check.dataset).alias("dataset"),
-            total.alias("total_rows"), passed.alias("passed_rows"), failed.alias("failed_rows"),
-            skipped.alias("skipped_rows"),
-            (total - passed - failed - skipped).alias("undetermined_rows"),
-            pass_rate.alias("pass_rate"),
-            status(pass_rate, check.threshold_pass, check.threshold_warn, failed,
-                   check.max_violations).alias("check_status"),
+        counts.append((
+            F.count("*") if scope is None else _count(scope),
+            _count(rule.passed if scope is None else scope & rule.passed),
+            _count(rule.failed if scope is None else scope & rule.failed),
+            none if rule.skipped is None else _count(
+                rule.skipped if scope is None else scope & rule.skipped),
         ))
-    return one_row.select(F.inline(F.array(*cells)))
+    one_row = df.agg(*[F.array(*column).alias(name) for name, column in zip(
+        ("total_rows", "passed_rows", "failed_rows", "skipped_rows"), zip(*counts))])
+    return _verdicts(one_row, checks)
+
+
+def _count(cond: Column) -> Column:
+    return F.count(F.when(cond, 1))
+
+
+def _verdicts(one_row: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """One row of count arrays to one summary row per check."""
+    def constants(values, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+    zipped = F.arrays_zip(
+        constants([c.check_id for c in checks], "string").alias("check_id"),
+        constants([c.dimension for c in checks], "string").alias("dimension"),
+        constants([c.subtype for c in checks], "string").alias("subtype"),
+        constants([c.dataset for c in checks], "string").alias("dataset"),
+        "total_rows", "passed_rows", "failed_rows", "skipped_rows",
+        constants([c.threshold_pass for c in checks], "double").alias("at_least"),
+        constants([c.threshold_warn for c in checks], "double").alias("warn_at"),
+        constants([c.max_violations for c in checks], "bigint").alias("at_most"),
+    )
+    rows = one_row.select(F.inline(zipped)).toDF(
+        "check_id", "dimension", "subtype", "dataset", "total_rows", "passed_rows", "failed_rows",
+        "skipped_rows", "at_least", "warn_at", "at_most")
+    total, passed, failed, skipped = (
+        F.col(c) for c in ("total_rows", "passed_rows", "failed_rows", "skipped_rows"))
+    rated = rows.withColumn("pass_rate", rate(passed, total - skipped)).withColumn(
+        "undetermined_rows", total - passed - failed - skipped)
+    verdict = (
+        F.when(failed > F.col("at_most"), "FAIL")
+        .when(F.col("pass_rate") >= F.col("at_least"), "PASS")
+        .when(F.col("pass_rate") >= F.col("warn_at"), "WARN").otherwise("FAIL"))
+    return rated.withColumn("check_status", verdict).select(*SUMMARY_COLUMNS)
 
 
 def table_plan(tables: Tables, check: Check, as_of: Column) -> TablePlan:
@@ -112,6 +132,9 @@ def run_suite(tables: Tables, checks: Iterable[Check],
         else:
             parts.append(run_check(tables, check, now).select(*SUMMARY_COLUMNS))
     for name, group in per_table.items():
+        # Checks of the same columns end up in the same scan, so that several scans
+        # of a table read mostly different columns.
+        group.sort(key=lambda c: (c.filter or "", c.columns))
         for start in range(0, len(group), CHECKS_PER_SCAN):
             parts.append(_fused(tables[name], group[start:start + CHECKS_PER_SCAN], now))
     if not parts:
@@ -124,7 +147,8 @@ def violations(tables: Tables, check: Check, as_of: Column | str | None = None)
     now = moment(as_of)
     if is_row_level(check):
         rule = row_rule(check, now)
-        return tables[check.dataset].where(_scope(check, rule) & rule.failed)
+        scope = _scope(check, rule)
+        return tables[check.dataset].where(rule.failed if scope is None else scope & rule.failed)
     return table_plan(tables, check, now).violations()
 
 
