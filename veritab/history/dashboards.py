@@ -146,7 +146,8 @@ def dataset_scores(runs: DataFrame) -> DataFrame:
 def dataset_overall(runs: DataFrame) -> DataFrame:
     w = weight(F.col("dimension"))
     return dataset_scores(runs).groupBy("dataset").agg(
-        F.round(F.sum(F.col("score") * w) / F.sum(w), 1).alias("overall_score"),
+        # Rounding twice keeps the order of summation out of the last digit.
+        F.round(F.round(F.sum(F.col("score") * w) / F.sum(w), 6), 1).alias("overall_score"),
         F.count("*").alias("dimensions"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.predicates import epoch_micros
-from veritab.functions.quantiles import quantile_row, value_at_rank
+from veritab.functions.quantiles import interpolated, quantile_ranks, values_at_ranks
 from veritab.functions.relations import count_rows
 from veritab.history.common import days_before, lookup
 
@@ -176,12 +176,19 @@ def resolution_times(items: DataFrame) -> DataFrame:
     """
     hours = hours_between(F.col("opened_at"), F.col("resolved_at"))
     done = items.select(hours.alias("h")).where(F.col("h") >= 0)
-    value, n = F.col("h"), F.col("n")
-    stats = done.agg(F.round(F.avg(value), 2).alias("avg_hours"), F.count("*").alias("total_resolved"))
-    median = quantile_row(done, value, [0.5]).select(F.round("q0", 2).alias("median_hours"))
-    p95 = value_at_rank(done, value, F.least(F.floor(n * F.lit(0.95)), n - 1)).select(
-        F.round("value", 2).alias("p95_hours"))
-    return stats.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(p95))
+    stats = done.agg(F.round(F.avg("h"), 2).alias("avg_hours"), F.count("*").alias("total_resolved"))
+    total = F.col("total")
+    ranks = [*quantile_ranks([0.5]), F.least(F.floor(total * F.lit(0.95)), total - 1)]
+    found = values_at_ranks(done, [F.col("h")], ranks)
+
+    def pick(i: int) -> Column:
+        return F.max(F.when(F.col("ask") == i, F.col("value")))
+
+    ranked = found.agg(F.max("total").alias("total"), *[pick(i).alias(f"v{i}") for i in range(3)])
+    return stats.crossJoin(F.broadcast(ranked)).select(
+        "avg_hours", "total_resolved",
+        F.round(interpolated(0.5, F.col("v0"), F.col("v1")), 2).alias("median_hours"),
+        F.round("v2", 2).alias("p95_hours"))
 
 
 # --- service levels -----------------------------------------------------------

@@ -111,6 +111,10 @@ class Check:
         if dimension not in SUBTYPES:
             dimension = "generic"
         params = dict(rule.get("parameters") or {})
+        for name, spellings in _PARAMETER_ALIASES.items():
+            for spelling in spellings:
+                if params.get(name) is None and params.get(spelling) is not None:
+                    params[name] = params[spelling]
         table, _, column = str(rule.get("entity", "")).partition(".")
         columns = tuple(params.get("columns") or ([column] if column else []))
         if dimension == "generic" and rule.get("condition"):
@@ -130,12 +134,24 @@ class Check:
         )
 
 
+# Other spellings of parameters met in rule documents.
+_PARAMETER_ALIASES: dict[str, tuple[str, ...]] = {
+    "expression": ("business_rule_expression",),
+    "regex_pattern": ("pattern",),
+    "comparison_operator": ("date_operator",),
+    "comparison_column": ("right_column", "start_column"),
+    "allowed_values": ("values", "accepted_values"),
+    "min_value": ("min",),
+    "max_value": ("max",),
+}
+
 # Per dimension, in order: the first present parameter decides the subtype.
 _SIGNALS: dict[str, list[tuple[str, str]]] = {
     "validity": [
         ("regex_pattern", "regex"), ("min_value", "range"), ("max_value", "range"),
         ("allowed_values", "allowed_values"), ("reference_dataset", "reference_lookup"),
         ("reference_column", "reference_lookup"), ("expression", "business_rule"),
+        ("validator", "validator"),
     ],
     "uniqueness": [
         ("scope_columns", "scoped"), ("cross_dataset_name", "cross_dataset"),
@@ -174,7 +190,8 @@ _DEFAULT_SUBTYPE = {
 
 def infer_subtype(dimension: str, params: Mapping[str, Any], columns: tuple[str, ...]) -> str:
     for name, subtype in _SIGNALS.get(dimension, []):
-        if params.get(name) not in (None, "", [], False):
+        value = params.get(name)
+        if value is not None and value is not False and value != "" and value != []:
             return subtype
     if dimension == "uniqueness" and len(columns) > 1:
         return "composite"

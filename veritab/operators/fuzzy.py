@@ -63,7 +63,10 @@ def _by_deletion(values: DataFrame, threshold: float) -> DataFrame:
     keys = rows.select("v", F.explode(F.when(reach == 1, once).otherwise(twice)).alias("k"))
     keys = keys.select("v", F.xxhash64("k").alias("k"))
     left, right = keys.select(F.col("v").alias("a"), "k"), keys.select(F.col("v").alias("b"), "k")
-    return left.join(right, "k").where(F.col("a") < F.col("b")).select("a", "b")
+    gap = F.abs(F.length("a") - F.length("b"))
+    return left.join(right, "k").where(
+        (F.col("a") < F.col("b"))
+        & (gap <= _allowed(F.greatest(F.length("a"), F.length("b")), threshold))).select("a", "b")
 
 
 def _piece_start(size: Column, pieces: Column, i: Column) -> Column:
@@ -114,7 +117,7 @@ def _by_pieces(values: DataFrame, threshold: float) -> DataFrame:
     long = long.where(first <= last).select(
         "*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("at"))
     long = long.select(F.col("v").alias("b"), "shorter", size.alias("longer"), "i",
-                       text_at(F.col("at"), F.col("width")).alias("piece")).distinct()
+                       text_at(F.col("at"), F.col("width")).alias("piece"))
     return (
         short.join(long, ["shorter", "longer", "i", "piece"])
         .where((F.col("shorter") < F.col("longer")) | (F.col("a") < F.col("b")))

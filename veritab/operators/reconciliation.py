@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import predicates as X
-from veritab.functions.relations import count_rows, key_pairs, key_tallies, match_keys, sum_where
+from veritab.functions.relations import (
+    conjunction, count_rows, key_pairs, key_tallies, match_keys, sum_where,
+)
 from veritab.model import Check, TablePlan, Tables
 from veritab.operators.tablelevel import aggregate, columns_equal, joined_pairs
 
@@ -136,11 +140,33 @@ def aggregates(check: Check, source: DataFrame, target: DataFrame) -> TablePlan:
     return TablePlan(counts, lambda: both.where(~ok), ("source_agg", "target_agg"))
 
 
+def _nearby(kind: str, value: float):
+    """Slots such that values within tolerance differ by at most one slot.
+
+    Returns the slot of a value, or None when the tolerance bounds no slot width.
+    """
+    slack = 1.25  # far above rounding errors
+    if kind == "absolute" and value > 0:
+        return lambda v: F.floor(v.cast("double") / F.lit(value * slack))
+    if kind == "percentage" and 0 < value < 100:
+        # Values close in proportion share a sign and are close in logarithm.
+        width = -math.log1p(-value / 100) * slack
+        size = lambda v: F.floor(F.ln(F.abs(v.cast("double"))) / F.lit(width))
+        return lambda v: F.when(v > 0, size(v) * 2).when(v < 0, size(v) * 2 + 1)
+    return None
+
+
+def _slot_and_neighbours(slot: Column, kind: str) -> Column:
+    step = 2 if kind == "percentage" else 1  # signs alternate
+    return F.explode(F.array(slot - step, slot, slot + step))
+
+
 def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> TablePlan:
     """Inner join on the keys, one column within tolerance.
 
-    Copies of (key, value) collapse to a weight before the join, so a key that
-    repeats on one side costs its distinct values only.
+    Copies of (key, value) collapse to a weight first. The number of pairs per key
+    is a product of counts; only pairs of nearby values are formed and compared,
+    so a key that repeats on both sides does not multiply out.
     """
     column = check.param("compare_column") or check.column
     kind, value = check.param("tolerance_type", "absolute"), check.params.get("tolerance_value")
@@ -149,23 +175,51 @@ def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> Tabl
     if kind == "none":
         return columns_equal(check, source, target, pairs, [(column, column)])
     names = [f"__k{i}" for i in range(len(pairs))]
-    a = source.groupBy(*[F.col(s).alias(n) for n, (s, _) in zip(names, pairs)],
-                       F.col(column).alias("__l0")).agg(F.count("*").alias("__n"))
-    b = target.groupBy(*[F.col(t).alias(f"{n}__r") for n, (_, t) in zip(names, pairs)],
-                       F.col(column).alias("__r0")).agg(F.count("*").alias("__m"))
-    joined = a.join(b, [F.col(n) == F.col(f"{n}__r") for n in names])
-    near = X.within_tolerance(F.col("__l0"), F.col("__r0"), kind, value)
-    weight = F.col("__n") * F.col("__m")
-    seen = joined.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("total"),
-                      sum_where(near, weight).alias("ok"), sum_where(~near, weight).alias("bad"))
+
+    def weighted(df: DataFrame, which: int) -> DataFrame:
+        keyed = df.select(*[F.col(p[which]).alias(n) for n, p in zip(names, pairs)],
+                          F.col(column).alias("v"))
+        keyed = keyed.where(conjunction([F.col(n).isNotNull() for n in names]))
+        return keyed.groupBy(*names, "v").agg(F.count("*").alias("n"))
+
+    a, b = weighted(source, 0), weighted(target, 1)
+    # A pair is comparable when both values are there and the percentage is defined.
+    usable = [F.col("v").isNotNull(), F.col("v").isNotNull()]
+    if kind == "percentage":
+        usable[1] = usable[1] & (F.col("v") != 0)
+    zero = F.lit(0).cast("long")
+    stacked = [
+        df.select(*names, *[c.alias(x) for c, x in zip(
+            (F.col("n"), zero, F.when(ok, F.col("n")).otherwise(zero), zero) if side == 0 else
+            (zero, F.col("n"), zero, F.when(ok, F.col("n")).otherwise(zero)),
+            ("l", "r", "l_ok", "r_ok"))])
+        for side, (df, ok) in enumerate(zip((a, b), usable))]
+    per_key = stacked[0].unionByName(stacked[1]).groupBy(*names).agg(
+        *[F.sum(c).alias(c) for c in ("l", "r", "l_ok", "r_ok")])
+    totals = per_key.agg(
+        F.coalesce(F.sum(F.col("l") * F.col("r")), zero).alias("pairs"),
+        F.coalesce(F.sum(F.col("l_ok") * F.col("r_ok")), zero).alias("comparable"))
+
+    left = a.where(usable[0]).withColumnsRenamed({"v": "__l0", "n": "__n"})
+    right = b.where(usable[1]).withColumnsRenamed(
+        {"v": "__r0", "n": "__m", **{n: f"{n}__r" for n in names}})
+    on = [F.col(n) == F.col(f"{n}__r") for n in names]
+    if (slot := _nearby(kind, float(value))) is not None:
+        left = left.withColumn("__near", _slot_and_neighbours(slot(F.col("__l0")), kind))
+        right = right.withColumn("__slot", slot(F.col("__r0")))
+        on.append(F.col("__near") == F.col("__slot"))
+    within = X.within_tolerance(F.col("__l0"), F.col("__r0"), kind, value)
+    near = left.join(right, on).agg(
+        sum_where(within, F.col("__n") * F.col("__m")).alias("ok"))
+    seen = totals.crossJoin(F.broadcast(near))
 
     def violations() -> DataFrame:
         pairs_out = joined_pairs(source, target, pairs, [(column, column)])
-        within = X.within_tolerance(F.col("__l0"), F.col("__r0"), kind, value)
         return pairs_out.where(~within).drop(*names, "__l0").withColumnRenamed(
             "__r0", f"target_{column}")
 
-    return TablePlan(_counts(seen, F.col("total"), F.col("ok"), F.col("bad")), violations)
+    return TablePlan(
+        _counts(seen, F.col("pairs"), F.col("ok"), F.col("comparable") - F.col("ok")), violations)
 
 
 def plan(check: Check, tables: Tables) -> TablePlan:

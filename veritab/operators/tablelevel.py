@@ -22,8 +22,7 @@ def aggregate(name: str, column: str) -> Column:
     return _AGGREGATES[name.upper()](F.col(column))
 
 
-def count_rule(df: DataFrame, rule: RowRule, *extras: Column,
-               evaluated: Column | None = None) -> DataFrame:
+def count_rule(df: DataFrame, rule: RowRule) -> DataFrame:
     """Counts of a row verdict computed on ``df`` (after its join or statistic)."""
     if rule.population is not None:
         df = df.where(rule.population)
@@ -33,12 +32,8 @@ def count_rule(df: DataFrame, rule: RowRule, *extras: Column,
         count_rows(rule.passed).alias("passed_rows"),
         count_rows(rule.failed).alias("failed_rows"),
         skipped.alias("skipped_rows"),
-        *([evaluated.alias("evaluated_rows")] if evaluated is not None else []),
-        *extras,
     )
-    if evaluated is None:
-        counted = counted.withColumn("evaluated_rows", F.col("total_rows") - F.col("skipped_rows"))
-    return counted
+    return counted.withColumn("evaluated_rows", F.col("total_rows") - F.col("skipped_rows"))
 
 
 def failing(df: DataFrame, rule: RowRule) -> DataFrame:
@@ -222,22 +217,34 @@ def against_reference(check: Check, df: DataFrame, reference: DataFrame) -> Tabl
     kind, value = check.param("tolerance_type", "none"), check.params.get("tolerance_value")
     if check.subtype == "tolerated_deviation" and (kind == "none" or value is None):
         raise ValueError(f"{check.check_id}: needs tolerance_type and tolerance_value")
-    ref = reference.select(
+    # Copies of a reference row collapse to a weight and are not joined one by one.
+    ref = reference.groupBy(
         F.col(check.param("reference_column", column)).alias("__trusted"),
-        *[F.col(t).alias(f"__r{i}") for i, (_, t) in enumerate(keys)])
+        *[F.col(t).alias(f"__r{i}") for i, (_, t) in enumerate(keys)],
+    ).agg(F.count("*").alias("__copies"))
     on = conjunction([F.col(s) == F.col(f"__r{i}") for i, (s, _) in enumerate(keys)])
     joined = df.join(ref, on, "left").drop(*[f"__r{i}" for i in range(len(keys))])
-    trusted = F.col("__trusted")
+    trusted, copies = F.col("__trusted"), F.coalesce(F.col("__copies"), F.lit(1))
     verdict = drop_nulls_or(check, X.within_tolerance(F.col(column), trusted, kind, value),
                             F.col(column).isNull(), "fail")
     verified = trusted.isNotNull()
     rule = RowRule(verified & verdict.passed, verified & verdict.failed, verdict.population)
-    counts = count_rule(
-        joined, rule, count_rows(verified).alias("verified_rows"),
-        count_rows(~verified).alias("unverifiable_rows"), evaluated=count_rows(verified))
-    return TablePlan(counts,
-                     lambda: failing(joined, rule).withColumnRenamed("__trusted", "reference_value"),
-                     ("verified_rows", "unverifiable_rows"))
+    judged = joined if rule.population is None else joined.where(rule.population)
+    counts = judged.agg(
+        F.coalesce(F.sum(copies), F.lit(0)).alias("total_rows"),
+        sum_where(rule.passed, copies).alias("passed_rows"),
+        sum_where(rule.failed, copies).alias("failed_rows"),
+        F.lit(0).cast("long").alias("skipped_rows"),
+        sum_where(verified, copies).alias("verified_rows"),
+        sum_where(~verified, copies).alias("unverifiable_rows"),
+    ).withColumn("evaluated_rows", F.col("verified_rows"))
+
+    def violations() -> DataFrame:
+        repeated = failing(joined, rule).withColumn(
+            "__nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+        return repeated.drop("__nth", "__copies").withColumnRenamed("__trusted", "reference_value")
+
+    return TablePlan(counts, violations, ("verified_rows", "unverifiable_rows"))
 
 
 def statistical(check: Check, df: DataFrame) -> TablePlan:

@@ -103,7 +103,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     moments = _unpivot(one_row, names, min_value="lo", max_value="hi", mean="mu", std_dev="sd")
     label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("cid") + 1)
     medians = exact_quantiles(df, number, [0.5]).select(
-        label.alias("column_name"), F.col("value").alias("median"))
+        label.alias("column_name"), F.col("q0").alias("median"))
     return moments.join(medians, "column_name", "left").select(
         "column_name", "min_value", "max_value", "mean", "median", "std_dev")
 

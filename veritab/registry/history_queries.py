@@ -201,7 +201,7 @@ def _dsprofile(t):
 
 
 @query("HIS-dsprofile.overall", f"""
-    SELECT dataset, round(sum(score * w) / sum(w), 1) AS overall_score, count(*) AS dimensions
+    SELECT dataset, round(round(sum(score * w) / sum(w), 6), 1) AS overall_score, count(*) AS dimensions
     FROM (SELECT *, {WEIGHT.format(x='dimension')} AS w FROM ({_DS}) d) x GROUP BY dataset""")
 def _dsoverall(t):
     return dashboards.dataset_overall(t["runs"])

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veritab.functions import patterns as P
+from veritab.functions import predicates as X
 from veritab.model import Check
 from veritab.operators.reconciliation import grouped_aggregates, unmatched
 from veritab.operators.tablelevel import column_statistics, group_completeness
+from veritab.plans.preview import violating
 from veritab.plans.suite import run_suite
 from veritab.registry.base import AS_OF, check_query, query, register, source, summary_sql
 
@@ -404,3 +407,47 @@ for _logic in ("AND", "OR"):
 register("GEN-compound.independent", lambda t: run_suite(t, _MEMBERS, AS_OF), " UNION ALL ".join(
     summary_sql(c, _plain("count(*)", _count(ok), _count(f"NOT {ok}"), f"{source('li')} t"))
     for c, ok in zip(_MEMBERS, _M)))
+
+# --- shared predicates, each judged over all orders in one scan ---
+_SPELLINGS = [(alias, op) for op, aliases in X.OPERATOR_ALIASES.items() for alias in aliases]
+_INVERTED = {"=": "<>", "!=": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}
+
+
+def _tallied(df, names, conditions):
+    """One row per named condition with the rows it holds for."""
+    row = df.agg(F.array(*[F.count(F.when(c, 1)) for c in conditions]).alias("n"))
+    labels = F.array(*[F.lit(n) for n in names])
+    return row.select(F.inline(F.arrays_zip(labels.alias("name"), F.col("n")))).toDF("name", "n")
+
+
+def _tallied_sql(pairs, table="ords"):
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, {_count(c)} AS n FROM {source(table)} t" for n, c in pairs)
+
+
+@query("PRED-ops", _tallied_sql([(a, f"buyer {op} o_custkey") for a, op in _SPELLINGS]))
+def _operators(t):
+    return _tallied(t["ords"], [a for a, _ in _SPELLINGS],
+                    [X.compare(F.col("buyer"), a, F.col("o_custkey")) for a, _ in _SPELLINGS])
+
+
+@query("PRED-invert", _tallied_sql([(op, f"booked {inv} o_totalprice") for op, inv in _INVERTED.items()]))
+def _inverted(t):
+    return _tallied(t["ords"], list(_INVERTED), [violating("column_comparison", {
+        "columns": ["booked"], "operator": op, "compare_column": "o_totalprice"}) for op in _INVERTED])
+
+
+@query("PRED-neg", _tallied_sql([("exact", "phone = 'n/a'"), ("contains", "phone LIKE '%1_5%'"),
+                                 ("regex", "regexp_matches(phone, '[05]$')")], "cust"))
+def _negatives(t):
+    wanted = {"exact": "n/a", "contains": "1_5", "regex": "[05]$"}
+    return _tallied(t["cust"], list(wanted),
+                    [P.negative_match(F.col("phone"), p, mode) for mode, p in wanted.items()])
+
+
+_TEMPLATES = {"AA-9999": "^[A-Z][A-Z]-[0-9][0-9][0-9][0-9]$", "AA-0999": "^[A-Z][A-Z]-0[0-9][0-9][0-9]$",
+              "ab-99": "^ab-[0-9][0-9]$"}
+
+
+@query("PRED-template", _tallied_sql([(n, f"regexp_matches(code, '{r}')") for n, r in _TEMPLATES.items()], "cust"))
+def _templates(t):
+    return _tallied(t["cust"], list(_TEMPLATES), [F.col("code").rlike(P.template_regex(n)) for n in _TEMPLATES])

@@ -92,7 +92,7 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
              if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
     if not lists:
         return df
-    document = spark.read.option("wholetext", True).text(path)
+    document = spark.read.text(path, wholetext=True)
     keys = document.select(F.json_object_keys("value").alias("keys")).first()
     if keys is None or keys[0] is None:  # a top-level array whose rows hold lists
         return df

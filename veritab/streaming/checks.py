@@ -81,20 +81,33 @@ def heartbeat_sessions(df: DataFrame, ts: str, frequency: str, keys: Sequence[st
         *keys, F.col("s.start").alias("first_beat"), "last_beat", "beats")
 
 
+# Cells ordered in one group when looking for gaps.
+CELLS_PER_BLOCK = 4096
+
+
 def missed_heartbeats(df: DataFrame, ts: str, frequency: str, keys: Sequence[str] = ()) -> DataFrame:
     """Batch form: every gap longer than the frequency, per key.
 
     Rows first collapse to cells one frequency wide. Beats in a cell are close
-    enough, so only the ends of neighbouring cells are compared, and a busy key
-    costs one row per cell.
+    enough, so only the ends of neighbouring cells are compared. Cells are
+    ordered in blocks; blocks hand on their last beat only, so neither a busy
+    key nor a long history is ordered in one task.
     """
     width = duration_seconds(frequency) * 1_000_000
-    at = epoch_micros(F.col(ts))
-    cells = df.withColumn("__at", at).where(F.col("__at").isNotNull()).groupBy(
-        *keys, ((F.col("__at") - F.pmod("__at", F.lit(width))) / width).cast("long").alias("cell")).agg(
-        F.min("__at").alias("lo"), F.max("__at").alias("hi"))
-    order = Window.partitionBy(*keys).orderBy("cell")
-    gaps = cells.withColumn("before", F.lag("hi").over(order))
-    return gaps.where(F.col("lo") - F.col("before") > width).select(
+    keys = list(keys)
+    at = F.col("__at")
+    cell = ((at - F.pmod(at, F.lit(width))) / width).cast("long")
+    cells = df.withColumn("__at", epoch_micros(F.col(ts))).where(at.isNotNull()).groupBy(
+        *keys, cell.alias("cell")).agg(F.min("__at").alias("lo"), F.max("__at").alias("hi"))
+    cells = cells.withColumn("block", F.floor(F.col("cell") / CELLS_PER_BLOCK))
+    inside = cells.withColumn("before", F.lag("hi").over(
+        Window.partitionBy(*keys, "block").orderBy("cell")))
+    blocks = cells.groupBy(*keys, "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    seams = blocks.withColumn("before", F.lag("hi").over(
+        Window.partitionBy(*keys).orderBy("block")))
+    steps = [*keys, "lo", "before"]
+    gaps = inside.select(*steps).unionByName(seams.select(*steps)).where(
+        F.col("lo") - F.col("before") > width)
+    return gaps.select(
         *keys, F.timestamp_micros("before").alias("last_beat"), F.timestamp_micros("lo").alias("next_beat"),
         ((F.col("lo") - F.col("before")) / 1e6).alias("gap_seconds"))
