@@ -113,8 +113,17 @@ def test_reference_with_copies(sides, mode):
     assert violations(t, check).count() == bad
 
 
-def test_cross_dataset_and_lookup(sides):
+@pytest.mark.parametrize("limit", ["10MB", "-1"])
+def test_cross_dataset_and_lookup(spark, sides, limit):
     left, right, t, _ = sides
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        look_up(left, right, t)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def look_up(left, right, t):
     known = {y[0] for y in right if y[0] is not None}
     hits = sum(x[0] in known for x in left)
     check = Check("x", "uniqueness", "cross_dataset", "l", ("k1",), {
@@ -124,9 +133,11 @@ def test_cross_dataset_and_lookup(sides):
     assert violations(t, check).count() == hits
     for mode, failed, skipped in (("fail", len(left) - hits, 0),
                                   ("skip", sum(x[0] is not None for x in left) - hits,
-                                   sum(x[0] is None for x in left))):
+                                   sum(x[0] is None for x in left)),
+                                  ("pass", sum(x[0] is not None for x in left) - hits, 0)):
         check = Check("v", "validity", "reference_lookup", "l", ("k1",), {
             "reference_dataset": "r", "reference_column": "k1", "null_handling": mode})
         row = run_check(t, check).first()
-        assert (row.passed_rows, row.failed_rows, row.skipped_rows) == (hits, failed, skipped)
+        assert (row.failed_rows, row.skipped_rows) == (failed, skipped)
+        assert row.passed_rows == len(left) - failed - skipped
         assert violations(t, check).count() == failed

@@ -33,6 +33,14 @@ def attach_one_row(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))
 
 
+def small_enough_to_broadcast(df: DataFrame) -> bool:
+    """Whether the planner's size estimate is below the session's broadcast limit."""
+    spark = df.sparkSession
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return estimate <= limit
+
+
 def match_keys(left: DataFrame, right: DataFrame, how: str, names: list[str],
                null_safe: bool = False) -> DataFrame:
     """Join on ``__key`` columns that both sides carry under the same names."""

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from veritab.functions import predicates as X
 from veritab.functions.quantiles import quantile_row
 from veritab.functions.relations import (
-    attach_one_row, conjunction, count_rows, key_pairs, match_keys, pair_counts, sum_where,
+    attach_one_row, conjunction, count_rows, key_pairs, key_tallies, match_keys, pair_counts,
+    small_enough_to_broadcast, sum_where,
 )
 from veritab.model import Check, RowRule, TablePlan, Tables, rate, status, worst_status
 from veritab.operators.rowlevel import count_nulls_as, drop_nulls_or
@@ -78,24 +79,41 @@ def completeness_by_group(check: Check, df: DataFrame) -> TablePlan:
 
 # --- lookups ---------------------------------------------------------------
 
-def _listed(df: DataFrame, value: Column, allowed: DataFrame) -> DataFrame:
-    """Flag rows whose value is among the distinct values of ``allowed.__k0``.
+def _among(check: Check, df: DataFrame, value: Column, allowed: DataFrame) -> TablePlan:
+    """Rows whose value is among the values of ``allowed.__k0``; copies there do not count.
 
-    A plain left join: small reference sides are broadcast by their measured
-    size, big ones are shuffled and a hot value is split by adaptive execution.
+    A reference known to be small is joined by broadcast. Otherwise both sides
+    are tallied by value, so a value that fills a third of the table is one row
+    per task before anything is shuffled.
     """
+    missing = value.isNull()
     known = allowed.where(F.col("__k0").isNotNull()).distinct().select(
         F.col("__k0").alias("__known"))
-    return df.join(known, value == F.col("__known"), "left")
+
+    def flagged() -> DataFrame:
+        return df.join(known, value == F.col("__known"), "left")
+
+    rule = count_nulls_as(check, F.col("__known").isNotNull(), missing)
+    if small_enough_to_broadcast(known):
+        counts = count_rule(flagged(), rule)
+    else:
+        tallies = key_tallies(df.select(value.alias("__k0")), allowed, [("__k0", "__k0")])
+        found = F.col("keyed") & (F.col("n_right") > 0)
+        per_value = count_nulls_as(check, found, ~F.col("keyed"))
+        n = F.col("n_left")
+        skipped = F.lit(False) if per_value.skipped is None else per_value.skipped
+        counts = tallies.agg(
+            F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"),
+            sum_where(per_value.passed, n).alias("passed_rows"),
+            sum_where(per_value.failed, n).alias("failed_rows"),
+            sum_where(skipped, n).alias("skipped_rows"),
+        ).withColumn("evaluated_rows", F.col("total_rows") - F.col("skipped_rows"))
+    return TablePlan(counts, lambda: failing(flagged(), rule).drop("__known"))
 
 
 def lookup(check: Check, df: DataFrame, reference: DataFrame) -> TablePlan:
-    column = F.col(check.column)
     allowed = reference.select(F.col(check.need("reference_column")).alias("__k0"))
-    flagged = _listed(df, column, allowed)
-    rule = count_nulls_as(check, F.col("__known").isNotNull(), column.isNull())
-    return TablePlan(count_rule(flagged, rule),
-                     lambda: failing(flagged, rule).drop("__known"))
+    return _among(check, df, F.col(check.column), allowed)
 
 
 def long_value_list(check: Check, df: DataFrame) -> TablePlan:
@@ -103,12 +121,8 @@ def long_value_list(check: Check, df: DataFrame) -> TablePlan:
     fold = not check.param("case_sensitive", True)
     column = F.col(check.column)
     values = [str(v).lower() if fold else v for v in check.need("allowed_values")]
-    spark = df.sparkSession
-    allowed = spark.createDataFrame([(v,) for v in values], ["__k0"])
-    flagged = _listed(df, F.lower(column) if fold else column, allowed)
-    rule = count_nulls_as(check, F.col("__known").isNotNull(), column.isNull())
-    return TablePlan(count_rule(flagged, rule),
-                     lambda: failing(flagged, rule).drop("__known"))
+    allowed = df.sparkSession.createDataFrame([(v,) for v in values], ["__k0"])
+    return _among(check, df, F.lower(column) if fold else column, allowed)
 
 
 def custom_sql(check: Check, df: DataFrame) -> TablePlan:
