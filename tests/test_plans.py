@@ -41,6 +41,16 @@ def test_row_checks_share_scans(tables):
     assert scans(run_suite(tables, some_checks(21))) == 2
 
 
+def test_checks_on_the_same_keys_share_a_grouping(tables):
+    checks = [ALL[4], Check("x", "uniqueness", "exact", "t", ("k",)),
+              Check("y", "consistency", "inter_record", "t", (), {"group_by_columns": ["k"], "comparison_columns": ["v"]})]
+    df = run_suite(tables, checks)
+    assert scans(df) == 1
+    alone = {r.check_id: r for c in checks for r in run_check(tables, c).collect()}
+    for row in df.collect():
+        assert (row.total_rows, row.failed_rows) == (alone[row.check_id].total_rows, alone[row.check_id].failed_rows)
+
+
 def test_only_needed_columns_and_pushed_filters(tables):
     text = plan(run_check(tables, Check("c", "validity", "range", "t", ("v",), {"min_value": 3}, filter="k = 5")))
     assert "ReadSchema: struct<k:int,v:double>" in text

@@ -10,6 +10,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.relations import sum_where
 from veritab.model import SUMMARY_COLUMNS, Check, RowRule, TablePlan, Tables, rate, summarise
 from veritab.operators import fuzzy, reconciliation, tablelevel, uniqueness
 from veritab.operators.rowlevel import is_row_level, row_rule
@@ -90,6 +91,44 @@ def _verdicts(one_row: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return rated.withColumn("check_status", verdict).select(*SUMMARY_COLUMNS)
 
 
+def _group_keys(check: Check) -> tuple[str, ...] | None:
+    """Columns a check groups on, when another check may share the grouping."""
+    if check.dimension == "uniqueness" and check.param("case_sensitive", True):
+        if check.subtype in ("exact", "composite"):
+            return check.columns
+        if check.subtype == "scoped":
+            return (*check.need("scope_columns"), *check.columns)
+    if check.subtype == "inter_record" and check.param("null_handling", "fail") == "fail":
+        return tuple(check.need("group_by_columns"))
+    return None
+
+
+def _share_grouping(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
+    """Uniqueness and inter-record checks on the same keys from a single group-by."""
+    columns = dict.fromkeys(c.need("comparison_columns")[0] for c in checks
+                            if c.subtype == "inter_record")
+    spread = {c: i for i, c in enumerate(columns)}
+    groups = df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(
+        F.count("*").alias("n"),
+        *[F.min(c).alias(f"lo{i}") for c, i in spread.items()],
+        *[F.max(c).alias(f"hi{i}") for c, i in spread.items()])
+    n, zero = F.col("n"), F.lit(0).cast("long")
+    counts = []
+    for check in checks:
+        wanted = F.lit(True)
+        if check.subtype == "inter_record":
+            i = spread[check.need("comparison_columns")[0]]
+            bad = F.coalesce(F.col(f"lo{i}") != F.col(f"hi{i}"), F.lit(False))
+        else:
+            bad = n > 1
+            if check.param("null_handling", "exclude") == "exclude":
+                wanted = reduce(and_, [F.col(f"k{keys.index(c)}").isNotNull() for c in check.columns])
+        counts.append((sum_where(wanted, n), sum_where(wanted & ~bad, n), sum_where(wanted & bad, n), zero))
+    one_row = groups.agg(*[F.array(*column).alias(name) for name, column in zip(
+        ("total_rows", "passed_rows", "failed_rows", "skipped_rows"), zip(*counts))])
+    return _verdicts(one_row, checks)
+
+
 def table_plan(tables: Tables, check: Check, as_of: Column) -> TablePlan:
     """The plan of a check that is not row-level."""
     if check.dimension == "reconciliation":
@@ -121,16 +160,28 @@ def run_suite(tables: Tables, checks: Iterable[Check],
               as_of: Column | str | None = None) -> DataFrame:
     """Summary rows of all checks.
 
-    Row-level checks on one table share a scan; the others add a plan each.
+    Row-level checks on a table share scans, checks that group on the same keys
+    share the grouping, the others add a plan each.
     """
     now = moment(as_of)
     per_table: dict[str, list[Check]] = {}
-    parts: list[DataFrame] = []
+    per_keys: dict[tuple, list[Check]] = {}
+    single: list[Check] = []
     for check in checks:
         if is_row_level(check):
             per_table.setdefault(check.dataset, []).append(check)
+        elif keys := _group_keys(check):
+            per_keys.setdefault((check.dataset, check.filter, keys), []).append(check)
+        else:
+            single.append(check)
+    parts: list[DataFrame] = []
+    for (name, wanted, keys), group in per_keys.items():
+        if len(group) == 1:
+            single += group
         else:
-            parts.append(run_check(tables, check, now).select(*SUMMARY_COLUMNS))
+            df = tables[name].where(wanted) if wanted else tables[name]
+            parts.append(_share_grouping(df, keys, group))
+    parts += [run_check(tables, check, now).select(*SUMMARY_COLUMNS) for check in single]
     for name, group in per_table.items():
         # Checks of the same columns end up in the same scan, so that several scans
         # of a table read mostly different columns.

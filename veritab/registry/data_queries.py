@@ -49,17 +49,17 @@ def _json(t):
     return readers.read_json(spark_of(t), path, lines=True)
 
 
-@query("SRC-json.object", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SRC-json.object", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def _json_object(t):
-    """One document per region, whose list holds the rows."""
+    """One document per hundred customers, whose list holds the rows."""
     path = scratch_path(spark_of(t), "json")
-    cell = F.struct(F.col("n_nationkey").alias("n_nationkey"), "n_name", "n_regionkey")
-    documents = t["nation"].groupBy("n_regionkey").agg(F.collect_list(cell).alias("rows"))
-    documents.select("n_regionkey", F.to_json(F.struct(
-        F.lit("nations").alias("label"), "rows")).alias("value")).write.partitionBy("n_regionkey").text(path)
+    row = F.struct(F.col("c_custkey").alias("c_custkey"), "c_name", "c_nationkey")
+    documents = t["customer"].groupBy(F.floor(F.col("c_custkey") / 100).alias("part")).agg(
+        F.collect_list(row).alias("rows"))
+    documents.select("part", F.to_json(F.struct(
+        F.lit("customers").alias("label"), "rows")).alias("value")).write.partitionBy("part").text(path)
     return readers.read_json(spark_of(t), path).select(
-        F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name",
-        F.col("n_regionkey").cast("int").alias("n_regionkey"))
+        "c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"))
 
 
 @query("SRC-object", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")

@@ -394,6 +394,26 @@ register("SUITE-flagship",
              "count(*)", _count("o_orderkey IS NOT NULL"), _count("o_orderkey IS NULL"),
              "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")))
 
+# Three checks on the customers of orders share one grouping.
+_KEYED = [Check("g1", "uniqueness", "exact", "ords", ("buyer",)),
+          Check("g2", "uniqueness", "exact", "ords", ("buyer",), {"null_handling": "include"}),
+          Check("g3", "consistency", "inter_record", "ords", (), {
+              "group_by_columns": ["buyer"], "comparison_columns": ["currency"]}),
+          Check("g4", "consistency", "inter_record", "ords", (), {
+              "group_by_columns": ["buyer"], "comparison_columns": ["status"]})]
+
+
+def _mixed(column):
+    return f"""SELECT sum(n) AS total_rows, sum(CASE WHEN d > 1 THEN 0 ELSE n END) AS passed_rows,
+        sum(CASE WHEN d > 1 THEN n ELSE 0 END) AS failed_rows, 0 AS skipped_rows, sum(n) AS evaluated_rows
+        FROM (SELECT count(*) AS n, count(DISTINCT {column}) AS d FROM {source('ords')} t GROUP BY buyer) g"""
+
+
+register("SUITE-keyed", lambda t: run_suite(t, _KEYED, AS_OF), " UNION ALL ".join([
+    summary_sql(_KEYED[0], _duplicates("buyer", source("ords"), "WHERE buyer IS NOT NULL")),
+    summary_sql(_KEYED[1], _duplicates("buyer", source("ords"), "")),
+    summary_sql(_KEYED[2], _mixed("currency")), summary_sql(_KEYED[3], _mixed("status"))]))
+
 # --- compound groups ---
 _MEMBERS = [Check("m1", "validity", "range", "li", ("l_quantity",), {"max_value": 40}),
             Check("m2", "completeness", "null", "li", ("flag",)),
