@@ -7,8 +7,10 @@ the longer length of the pair:
 
 * ``d <= 2``: deleting up to ``d`` characters on both sides must meet in a common
   string (deletion neighbourhoods). Long shared prefixes do not create candidates.
-* ``d >= 3``: cut the shorter string into ``d + 1`` pieces; ``d`` edits leave one
-  piece whole, found in the longer string at a position shifted by at most ``d``.
+* ``d >= 3``: cut the shorter string into so many pieces that one of them carries
+  at most one edit; it meets a stretch of the longer string after one deletion on
+  both sides. Pieces are twice as long as whole ones could be, so common words
+  and prefixes rarely make candidates.
 
 Every candidate is verified with the exact similarity before it is kept.
 """
@@ -36,19 +38,19 @@ def _longest_partner(length: Column, threshold: float) -> Column:
     return F.floor(length / F.lit(threshold) + F.lit(1e-9)).cast("int")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    longer = F.greatest(F.length(a), F.length(b), F.lit(1))
-    return F.lit(1.0) - F.levenshtein(a, b) / longer
+def _without(text: Column, p: Column, q: Column) -> Column:
+    """The text without its one-based places ``p < q``; 0 deletes nothing."""
+    return F.concat(F.substring(text, F.lit(1), p - 1), F.substring(text, p + 1, q - p - 1),
+                    F.substring(text, q + 1, F.length(text)))
 
 
-def _deletions(value: Column) -> Column:
-    """The value and everything left after deleting one character."""
-    size = F.length(value)
-    shorter = F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))),
-        lambda i: F.concat(F.substring(value, F.lit(1), i - 1), F.substring(value, i + 1, size)),
-    )
-    return F.array_distinct(F.concat(F.array(value), shorter))
+def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with a common key.
+
+    Keys are many times the strings they come from, which size estimates do not
+    see, so the join is shuffled whatever the estimate says.
+    """
+    return left.hint("merge").join(right, "k")
 
 
 def _by_deletion(values: DataFrame, threshold: float) -> DataFrame:
@@ -58,15 +60,18 @@ def _by_deletion(values: DataFrame, threshold: float) -> DataFrame:
     reach = F.least(_allowed(_longest_partner(size, threshold), threshold),
                     F.lit(MAX_DELETIONS))
     rows = values.where((_allowed(size, threshold) <= MAX_DELETIONS) & (reach >= 1))
-    once = _deletions(F.col("v"))
-    twice = F.array_distinct(F.flatten(F.transform(once, _deletions)))
-    keys = rows.select("v", F.explode(F.when(reach == 1, once).otherwise(twice)).alias("k"))
-    keys = keys.select("v", F.xxhash64("k").alias("k"))
-    left, right = keys.select(F.col("v").alias("a"), "k"), keys.select(F.col("v").alias("b"), "k")
+    p, q = F.col("p"), F.col("q")
+    first = F.explode(F.sequence(F.lit(0), F.when(reach == 2, size - 1).otherwise(0)))
+    rows = rows.where(size > 0).select("v", first.alias("p"))
+    rows = rows.select("v", "p", F.explode(F.sequence(
+        F.when(p == 0, F.lit(0)).otherwise(p + 1), size)).alias("q"))
+    # A hash collision only adds a candidate, and candidates are verified.
+    keys = rows.select("v", F.xxhash64(_without(F.col("v"), p, q)).alias("k"))
+    left, right = keys.withColumnRenamed("v", "a"), keys.withColumnRenamed("v", "b")
     gap = F.abs(F.length("a") - F.length("b"))
-    return left.join(right, "k").where(
-        (F.col("a") < F.col("b"))
-        & (gap <= _allowed(F.greatest(F.length("a"), F.length("b")), threshold))).select("a", "b")
+    possible = (F.col("a") < F.col("b")) & (
+        gap <= _allowed(F.greatest(F.length("a"), F.length("b")), threshold))
+    return _meet(left, right).select("a", "b", possible.alias("possible"))
 
 
 def _piece_start(size: Column, pieces: Column, i: Column) -> Column:
@@ -76,64 +81,111 @@ def _piece_start(size: Column, pieces: Column, i: Column) -> Column:
     return i * base + F.greatest(i - (pieces - longer), F.lit(0))
 
 
+def _pieces(edits: Column) -> Column:
+    """So many pieces that one of them has at most one of the edits."""
+    return F.floor(edits / 2) + 1
+
+
+def _piece_keys(df: DataFrame, start: Column, width: Column, grown: Column | None) -> DataFrame:
+    """Key rows such that two stretches at most one edit apart have a key in common.
+
+    Equal stretches meet as wholes; an insertion meets a whole with one character
+    deleted on the other side; a substitution meets with the same place deleted on
+    both. ``gone`` is the character a substitution deleted: it has to differ, or
+    equal stretches would meet again at every place.
+
+    ``grown`` is how much longer the stretch is than the piece it is compared
+    with; without it ``df`` holds the pieces themselves.
+    """
+    text = F.substring(F.col("v"), (start + 1).cast("int"), width.cast("int"))
+    kept = [] if grown is None else [grown.alias("grown")]
+    cut = df.select("v", "shorter", "g", "i", text.alias("text"), *kept)
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("q"))
+    q = F.col("q")
+    if grown is None:
+        kinds = F.when(q == 0, F.array(F.lit("whole"))).otherwise(F.array(F.lit("less"), F.lit("same place")))
+    else:
+        kinds = (F.when((F.col("grown") == 0) & (q == 0), F.array(F.lit("whole")))
+                 .when(F.col("grown") == 0, F.array(F.lit("same place")))
+                 .when((F.col("grown") == 1) & (q > 0), F.array(F.lit("whole")))
+                 .when((F.col("grown") == -1) & (q == 0), F.array(F.lit("less"))))
+    cut = cut.select("*", F.explode(kinds).alias("kind"))
+    swapped = F.col("kind") == "same place"
+    left = _without(F.col("text"), F.lit(0), q)
+    return cut.select(
+        "v", F.xxhash64("shorter", "g", "i", "kind", F.when(swapped, q).otherwise(0), left).alias("k"),
+        F.when(swapped, F.substring(F.col("text"), q, F.lit(1))).alias("gone"))
+
+
 def _by_pieces(values: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs whose longer string allows three edits or more.
 
-    Columns of the key: length of the shorter, length of the longer, piece, text.
+    The shorter string is cut into ``g = d // 2 + 1`` pieces, so that one of them
+    carries at most one edit: after a deletion on both sides it meets a stretch of
+    the longer string. Taking the first such piece ``i``, every piece before it
+    has two edits or more, which leaves ``d - 2 i`` for the rest and bounds where
+    the stretch may start.
     """
     size = F.length("v")
 
-    def text_at(start: Column, width: Column) -> Column:
-        return F.substring(F.col("v"), (start + 1).cast("int"), width.cast("int"))
-
-    def cut(pieces: Column, i: Column, length: Column) -> tuple[Column, Column]:
-        start = _piece_start(length, pieces, i)
-        return start, _piece_start(length, pieces, i + 1) - start
-
-    # The shorter side: its own pieces, once for every length a partner may have.
-    short = values.select("v", F.explode(F.filter(
+    # The shorter side: its pieces, for every cut a longer partner may ask for.
+    partners = F.filter(
         F.sequence(size, F.greatest(_longest_partner(size, threshold), size)),
-        lambda n: _allowed(n, threshold) > MAX_DELETIONS)).alias("longer"))
-    pieces = _allowed(F.col("longer"), threshold) + 1
-    short = short.select("v", "longer", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("i"))
-    start, width = cut(_allowed(F.col("longer"), threshold) + 1, F.col("i"), size)
-    short = short.select(F.col("v").alias("a"), size.alias("shorter"), "longer", "i",
-                         text_at(start, width).alias("piece"))
-
-    # The longer side: substrings where such a piece may have moved to.
-    long = values.where(_allowed(size, threshold) > MAX_DELETIONS).select(
-        "v", _allowed(size, threshold).alias("d"))
-    long = long.select("v", "d", F.explode(F.sequence(
+        lambda n: _allowed(n, threshold) > MAX_DELETIONS)
+    cuts = F.array_distinct(F.transform(partners, lambda n: _pieces(_allowed(n, threshold))))
+    short = values.select("v", F.explode(cuts).alias("g"))
+    short = short.select("v", "g", size.alias("shorter"),
+                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"))
+    start = _piece_start(F.col("shorter"), F.col("g"), F.col("i"))
+    end = _piece_start(F.col("shorter"), F.col("g"), F.col("i") + 1)
+    left = _piece_keys(short, start, end - start, None).withColumnsRenamed(
+        {"v": "a", "gone": "gone_a"})
+
+    # The longer side: the stretches where such a piece may be found.
+    long = values.select("v", _allowed(size, threshold).alias("d")).where(
+        F.col("d") > MAX_DELETIONS).withColumn("g", _pieces(F.col("d")))
+    long = long.select("*", F.explode(F.sequence(
         F.greatest(size - F.col("d"), F.lit(1)), size)).alias("shorter"))
-    long = long.select("*", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i"))
-    start, width = cut(F.col("d") + 1, F.col("i"), F.col("shorter"))
-    long = long.withColumns({"start": start.cast("int"), "width": width.cast("int")})
-    # Shift bound: i edits at most before piece i, or d - i after it.
-    gap = size - F.col("shorter")
-    first = F.greatest(F.col("start") - F.col("i"),
-                       F.col("start") + gap - (F.col("d") - F.col("i")), F.lit(0))
-    last = F.least(F.col("start") + F.col("i"),
-                   F.col("start") + gap + (F.col("d") - F.col("i")), size - F.col("width"))
-    long = long.where(first <= last).select(
-        "*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("at"))
-    long = long.select(F.col("v").alias("b"), "shorter", size.alias("longer"), "i",
-                       text_at(F.col("at"), F.col("width")).alias("piece"))
-    return (
-        short.join(long, ["shorter", "longer", "i", "piece"])
-        .where((F.col("shorter") < F.col("longer")) | (F.col("a") < F.col("b")))
-        .select("a", "b")
-    )
+    long = long.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"))
+    long = long.select("*", F.explode(F.array(*[F.lit(x) for x in (-1, 0, 1)])).alias("grown"))
+    start = _piece_start(F.col("shorter"), F.col("g"), F.col("i"))
+    end = _piece_start(F.col("shorter"), F.col("g"), F.col("i") + 1)
+    # Total growth is shift before the piece, growth in it, and growth after it.
+    spare = F.col("d") - 2 * F.col("i") - F.abs("grown")
+    centre = size - F.col("shorter") - F.col("grown")
+    first = F.when(F.col("i") == 0, F.lit(0)).otherwise(
+        F.greatest(centre - spare, -F.col("d"), -start))
+    last = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.least(centre + spare, F.col("d")))
+    width = end - start + F.col("grown")
+    long = long.withColumns({"first": first, "last": last, "start": start, "width": width}).where(
+        (F.col("first") <= F.col("last")) & (F.col("width") >= 0))
+    long = long.select("*", F.explode(F.sequence("first", "last")).alias("shift"))
+    right = _piece_keys(long, F.col("start") + F.col("shift"), F.col("width"),
+                        F.col("grown")).withColumnsRenamed({"v": "b", "gone": "gone_b"})
+    shorter, longer = F.length("a"), F.length("b")
+    possible = (
+        ((shorter < longer) | ((shorter == longer) & (F.col("a") < F.col("b"))))
+        & (longer - shorter <= _allowed(longer, threshold))
+        & F.coalesce(F.col("gone_a") != F.col("gone_b"), F.lit(True)))
+    return _meet(left, right).select("a", "b", possible.alias("possible"))
 
 
 def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs ``a, b, similarity`` of the strings in column ``v``."""
     if not 0 < threshold <= 1:
         raise ValueError("fuzzy_threshold must be in (0, 1]")
+    # Few bytes of strings become many keys: keep the tasks the session asks for.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = values.repartition(tasks, F.xxhash64("v"))
     candidates = _by_deletion(values, threshold).unionByName(_by_pieces(values, threshold))
-    scored = candidates.withColumn("similarity", similarity(F.col("a"), F.col("b")))
-    kept = scored.where(F.col("similarity") >= F.lit(threshold))
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return kept.select(low.alias("a"), high.alias("b"), "similarity").distinct()
+    # The cheap test guards the distance, which with its bound stops early (-1).
+    longer = F.greatest(F.length("a"), F.length("b"), F.lit(1))
+    distance = F.call_function("levenshtein", F.col("a"), F.col("b"), _allowed(longer, threshold))
+    near = candidates.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+        F.when(F.col("possible"), distance).alias("edits")).where(F.col("edits") >= 0)
+    scored = near.distinct().withColumn("similarity", F.lit(1.0) - F.col("edits") / longer)
+    return scored.where(F.col("similarity") >= F.lit(threshold)).select("a", "b", "similarity")
 
 
 def fuzzy(check: Check, df: DataFrame) -> TablePlan:
@@ -144,8 +196,8 @@ def fuzzy(check: Check, df: DataFrame) -> TablePlan:
     counted = df.groupBy(text.alias("v")).agg(F.count("*").alias("n"))
     values = counted.where(F.col("v").isNotNull())
     pairs = similar_pairs(values.select("v"), threshold)
-    partners = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"),
-                                                               F.col("a").alias("b")))
+    both_ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    partners = pairs.select(F.inline(both_ways))
     weights = values.select(F.col("v").alias("b"), F.col("n").alias("m"))
     # Rows of all partner values, per value: each distinct pair counts n * m row pairs.
     linked = partners.join(weights, "b").groupBy(F.col("a").alias("v")).agg(
