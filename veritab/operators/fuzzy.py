@@ -17,8 +17,6 @@ Every candidate is verified with the exact similarity before it is kept.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veritab.functions import patterns as P
-from veritab.registry.base import AS_OF, query, row_query, source
+from veritab.registry.base import AS_OF, row_query
 
 # --- completeness ---
 _BLANK = "segment IS NULL OR trim(segment) = ''"
