@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veritab.llm import op2_decontamination as op2, op10_token_counts as op10
 from veritab.llm.op1_token_files import op1_token_files
+from veritab.llm.op3_quality import op3_quality
+from veritab.llm.op5_toxicity import op5_toxicity
 from veritab.llm.op6_packing import op6_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_decontamination": op2.op2_decontamination,
+    "op3_quality": op3_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op10_token_counts": op10.op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": op2.ORACLE, "op10_token_counts": op10.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
