@@ -11,6 +11,7 @@ from veritab.llm.op1_token_files import op1_token_files
 from veritab.llm.op3_quality import op3_quality
 from veritab.llm.op5_toxicity import op5_toxicity
 from veritab.llm.op6_packing import op6_packing
+from veritab.llm.op9_html import op9_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op9_html": op9_html,
     "op10_token_counts": op10.op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": op2.ORACLE, "op10_token_counts": op10.ORACLE}
