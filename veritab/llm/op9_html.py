@@ -194,19 +194,30 @@ class Model:
     """Tables of the tree model as logarithms, counted from labelled pages."""
 
     def __init__(self, pages: list[str]):
+        self.root = [1.0, 1.0]
         moves: dict[tuple, list[float]] = {}  # (kind, parent state) -> [not, content]
         signs: dict[tuple, list[float]] = {}
         for page in pages:
             nodes, states = parse(page), []
             for node in nodes:
-                state = node.label if node.label is not None else states[node.parent] if node.parent >= 0 else 0
-                states.append(state)
+                states.append(node.label if node.label is not None else states[node.parent] if node.parent >= 0 else 0)
+            for k in range(len(nodes) - 1, -1, -1):  # what has nothing but content in it is content
+                below = [s for n, s in zip(nodes, states, strict=True) if n.parent == k]
+                if nodes[k].label is None and below and all(below):
+                    states[k] = 1
+            self.root[states[0]] += 1
+            for node, state in zip(nodes, states, strict=True):
                 if node.parent >= 0:
                     moves.setdefault((node.kind, states[node.parent]), [0.2, 0.2])[state] += 1
                 for sign in shown(node):
                     signs.setdefault(sign, [2.0, 2.0])[state] += 1
         total = {name: [sum(n[s] for (own, _), n in signs.items() if own == name) for s in (0, 1)] for name, _ in signs}
-        self.moves = {key: [n / sum(row) for n in row] for key, row in moves.items()}
+        self.moves = {}
+        for kind in {kind for kind, _ in moves}:
+            every = [sum(moves[k][s] for k in moves if k[0] == kind) for s in (0, 1)]
+            for state in (0, 1):  # a pair seen rarely leans on the kind's own share
+                row = [n + 2 * e / sum(every) for n, e in zip(moves.get((kind, state), (0, 0)), every, strict=True)]
+                self.moves[kind, state] = [n / sum(row) for n in row]
         self.signs = {key: [n[s] / total[key[0]][s] for s in (0, 1)] for key, n in signs.items()}
 
     def move(self, kind: str, state: int) -> list[float]:
@@ -233,7 +244,8 @@ class Model:
             x, y = own[0] * up[k][0], own[1] * up[k][1]
             own[0], own[1] = x / (x + y), y / (x + y)
         out = [0.0] * len(nodes)
-        full = [(1.0, 0.0)] * len(nodes)  # the root is not content itself
+        x, y = belief[0][0] * self.root[0], belief[0][1] * self.root[1]
+        full = [(x / (x + y), y / (x + y))] * len(nodes)
         for k in range(1, len(nodes)):
             node = nodes[k]
             p0, p1 = full[node.parent]
