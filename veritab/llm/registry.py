@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veritab.llm import op2_decontamination as op2, op10_token_counts as op10
 from veritab.llm.op1_token_files import op1_token_files
 from veritab.llm.op3_quality import op3_quality
+from veritab.llm.op4_permutation_index import op4_permutation_index
 from veritab.llm.op5_toxicity import op5_toxicity
 from veritab.llm.op6_packing import op6_packing
 from veritab.llm.op9_html import op9_html
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_decontamination": op2.op2_decontamination,
     "op3_quality": op3_quality,
+    "op4_permutation_index": op4_permutation_index,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op9_html": op9_html,
