@@ -12,6 +12,7 @@ from veritab.llm.op3_quality import op3_quality
 from veritab.llm.op4_permutation_index import op4_permutation_index
 from veritab.llm.op5_toxicity import op5_toxicity
 from veritab.llm.op6_packing import op6_packing
+from veritab.llm.op7_suffix_dedup import op7_suffix_dedup
 from veritab.llm.op9_html import op9_html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_permutation_index": op4_permutation_index,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_signature_join": op8.op8_signature_join,
     "op9_html": op9_html,
     "op10_token_counts": op10.op10_token_counts,
