@@ -184,16 +184,20 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     return [often[a: a + max(n - length + 1, 0)] for a, n in zip(starts[:-1].tolist(), size.tolist(), strict=True)]
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame, more: str | None = None) -> DataFrame:
+    """doc_id, text, ``more`` and t1, t2, the hash of the text."""
+    passed = ["doc_id", "text"] + ([more] if more else [])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, at = text_bytes(batch["text"])
             raw = data.tobytes()
             key = [both(xxhash.xxh3_128_intdigest(raw[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             key = np.array(key, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(key[:, 0]), pa.array(key[:, 1])], ["doc_id", "text", "t1", "t2"])
+            yield pa.RecordBatch.from_arrays([batch[c] for c in passed] + [pa.array(key[:, 0]), pa.array(key[:, 1])], [*passed, "t1", "t2"])
 
-    return docs.mapInArrow(rows, "doc_id long, text string, t1 long, t2 long")
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed]
+    return docs.select(*passed).mapInArrow(rows, ", ".join([*kinds, "t1 long", "t2 long"]))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -275,13 +279,14 @@ def united(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, make, schema: str, length: int = LENGTH) -> DataFrame:
-    """``make(batch, kept)`` for each batch of docs(doc_id, text), kept being (bytes, removed spans, rest) a text."""
+def without_repeats(docs: DataFrame, make, schema: str, more: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+    """Rows of ``make(batch, kept)``: batch has doc_id and ``rest``, a struct of the columns ``more``;
+    kept has (size, removed runs, what is left) of each text."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in docs.columns if c not in ("doc_id", "text")])
-    own = docs.select("doc_id", "text")
-    spans = repeated_spans(own, length).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    joined = keyed_texts(own).join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.struct(*(more or [F.lit(None).cast("string").alias("none")])).alias("rest"))
+    spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    joined = keyed_texts(docs, "rest").join(spans, ["t1", "t2"], "left").select("doc_id", "text", "rest", "spans")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -312,7 +317,7 @@ def removal_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     strings are judged on the input. Rows with equal or null doc_id stay rows of their own; other
     columns are ignored; an empty table gives no rows. ``length`` is a multiple of STRIDE.
     """
-    return without_repeats(docs, digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length)
+    return without_repeats(docs, digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length=length)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
