@@ -28,15 +28,16 @@ def _stack(df: DataFrame, values: Sequence[Column]) -> DataFrame:
             for i, v in enumerate(values)
         ])
         long = df.select(F.inline(cells))
-    return long.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return long.where(F.col("v").isNotNull())
 
 
 def _relative_slot(v: Column) -> Column:
-    """Integer that never decreases with the value."""
+    """Integer that never decreases with the value; NaN is the greatest, as everywhere in Spark."""
     size = F.least(F.abs(v), F.lit(1.7e308))
     # The offset keeps the exponent of the smallest number positive.
     scaled = F.floor(F.log2(size) * SLOTS_PER_OCTAVE) + F.lit(1 << 20)
-    return F.when(v == 0, F.lit(0).cast("long")).when(v > 0, scaled).otherwise(-scaled)
+    return F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0).cast("long")).when(
+        v > 0, scaled).otherwise(-scaled)
 
 
 def _first_targets(long: DataFrame, ranks: Sequence[Column]) -> DataFrame:
@@ -83,7 +84,7 @@ def values_at_ranks(df: DataFrame, values: Sequence[Column],
     long = _stack(df, values)
     targets = _first_targets(long, ranks)
     span = F.col("hi") - F.col("lo")
-    step = F.when(span > 0, F.least(
+    step = F.when((span > 0) & (span < float("inf")), F.least(
         F.floor((F.col("v") - F.col("lo")) / span * STEPS), F.lit(STEPS - 1))).otherwise(0)
     steps = _candidates(long, targets).groupBy(*_TARGET, "below", step.alias("step")).agg(
         F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -104,7 +105,7 @@ def quantile_ranks(probabilities: Sequence[float]) -> list[Column]:
 def interpolated(p: float, low: Column, high: Column) -> Column:
     """Quantile between its two neighbours; ``total`` must be in scope."""
     at = F.lit(float(p)) * (F.col("total") - 1)
-    return low + (high - low) * (at - F.floor(at))
+    return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
 
 
 def exact_quantiles(df: DataFrame, values: Sequence[Column],

@@ -15,6 +15,7 @@ DISTINCT_VALUES = 10
 
 # A bare number is never a date, though it casts to a year.
 DATE_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+WHOLE = r"^\s*[+-]?[0-9]+(\.0*)?\s*$"
 # The texts that count as booleans when a text column is typed.
 BOOLEAN_TEXTS = ("true", "false", "True", "False", "TRUE", "FALSE", "1", "0")
 
@@ -46,14 +47,20 @@ def _unpivot(one_row: DataFrame, names: Sequence[str], **fields: str) -> DataFra
     return one_row.select(F.inline(F.array(*cells)))
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A value as text; both zeros of a fraction are one value."""
+    fraction = isinstance(df.schema[name].dataType, T.FractionalType) and not isinstance(
+        df.schema[name].dataType, T.DecimalType)
+    return (F.col(name) + F.lit(0.0) if fraction else F.col(name)).cast("string")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column_name, value, n`` for every distinct value, NULL included.
 
     One stacked group-by serves all columns; copies collapse before the shuffle.
     """
     names = list(columns or df.columns)
-    cells = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-             for c in names]
+    cells = [F.struct(F.lit(c).alias("column_name"), as_text(df, c).alias("value")) for c in names]
     return df.select(F.inline(F.array(*cells))).groupBy("column_name", "value").agg(
         F.count("*").alias("n"))
 
@@ -216,7 +223,7 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None,
                 boolean_step: bool = True) -> DataFrame:
     """Type of text columns, judged on every value: datetime, boolean-like, integer,
 
-    float, else string. The profiler's variant has no boolean step.
+    decimal (whole numbers beyond bigint), float (also NaN and infinities), else string. The profiler's variant has no boolean step.
     """
     names = list(columns or _of_kind(df, "string"))
 
@@ -227,12 +234,16 @@ def infer_types(df: DataFrame, columns: Sequence[str] | None = None,
     aggs = []
     for i, c in enumerate(names):
         col, number = F.col(c), F.col(c).try_cast("double")
-        whole = F.when(F.abs(number) < 9e15, number == F.floor(number)).otherwise(number.isNotNull())
+        exact = col.try_cast("decimal(38,0)")
+        digits = col.rlike(WHOLE) | ((F.abs(number) < 2.0 ** 53) & (number == F.floor(number)))
+        fits = digits & exact.try_cast("bigint").isNotNull()
         kind = F.when(F.count(col) == 0, "string").when(
             every(c, col.rlike(DATE_START) & col.try_cast("timestamp").isNotNull()), "datetime")
         if boolean_step:
             kind = kind.when(every(c, col.isin(*BOOLEAN_TEXTS)), "boolean")
-        kind = kind.when(every(c, whole), "integer").when(every(c, number.isNotNull()), "float")
+        # Numbers beyond bigint stay exact as decimals, beyond 38 digits as text.
+        kind = (kind.when(every(c, fits), "integer").when(every(c, digits & exact.isNotNull()), "decimal")
+                .when(every(c, digits), "string").when(every(c, number.isNotNull()), "float"))
         aggs.append(kind.otherwise("string").alias(f"k{i}"))
     return _unpivot(df.agg(*aggs), names, inferred_type="k")
 
