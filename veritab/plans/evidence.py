@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ MASK = "[MASKED]"
 # Classifications whose columns are masked.
 MASKED_CLASSES = ("confidential", "restricted")
 
-# What each dimension expects of a value, and why it was rejected.
+# What each dimension expects of a value, and why it was rejected. The most specific
+# template counts: dimension and subtype with a named column, without one, then the dimension's own.
 EXPECTED_TEXT = {
     "completeness": "NOT NULL",
     "validity": "valid per rule",
@@ -24,37 +26,58 @@ EXPECTED_TEXT = {
     "reconciliation": "matched in target",
 }
 REASON_TEXT = {
-    "uniqueness": "Duplicate value found",
-    "consistency": "Inconsistent value detected",
-    "timeliness": "Record exceeds maximum allowed age",
-    "accuracy": "Value deviates from reference",
-    "reconciliation": "Reconciliation mismatch",
+    ("completeness", "null", True): "Column '{column}' is NULL",
+    ("completeness", "null", False): "Value is NULL",
+    ("completeness", "empty", True): "Column '{column}' is empty",
+    ("completeness", "empty", False): "Value is empty",
+    ("completeness", "placeholder", True): "Column '{column}' contains a placeholder value",
+    ("completeness", "placeholder", False): "Placeholder value detected",
+    ("completeness", None, True): "Completeness {subtype} check failed on column '{column}'",
+    ("completeness", None, False): "Completeness {subtype} check failed",
+    ("validity", None, None): "Value does not satisfy {subtype} validation",
+    ("conformity", None, None): "Value does not conform to {subtype} format",
+    ("uniqueness", None, None): "Duplicate value found",
+    ("consistency", None, None): "Inconsistent value detected",
+    ("timeliness", None, None): "Record exceeds maximum allowed age",
+    ("accuracy", None, None): "Value deviates from reference",
+    ("reconciliation", None, None): "Reconciliation mismatch",
+    (None, None, None): "Data quality check failed",
 }
+OCCURRENCES_TEXT, AGE_TEXT, RECON_TEXT = " ({n} occurrences)", " ({n}s)", "Record {n}"
 
 
 def _text(col: Column) -> Column:
     return col.cast("string")
 
 
-def _reason(check: Check, age: Column) -> Column:
-    kind, name = check.subtype, (check.columns[0] if check.columns else None)
-    if check.dimension == "completeness":
-        texts = {"null": "is NULL", "empty": "is empty", "placeholder": "contains a placeholder value"}
-        if kind in texts:
-            bare = {"null": "Value is NULL", "empty": "Value is empty",
-                    "placeholder": "Placeholder value detected"}[kind]
-            return F.lit(f"Column '{name}' {texts[kind]}" if name else bare)
-        tail = f" on column '{name}'" if name else ""
-        return F.lit(f"Completeness {kind} check failed{tail}")
-    if check.dimension == "validity":
-        return F.lit(f"Value does not satisfy {kind} validation")
-    if check.dimension == "conformity":
-        return F.lit(f"Value does not conform to {kind} format")
-    if check.dimension == "timeliness":
-        return F.when(age.isNotNull(), F.concat(
-            F.lit(REASON_TEXT["timeliness"] + " ("), age.cast("long").cast("string"), F.lit("s)"))
-        ).otherwise(REASON_TEXT["timeliness"])
-    return F.lit(REASON_TEXT.get(check.dimension, "Data quality check failed"))
+def _filled(template: str, n: Column) -> Column:
+    before, after = template.split("{n}")
+    return F.concat(F.lit(before), _text(n), F.lit(after))
+
+
+def _reason(check: Check, rows: DataFrame, age: Column | None) -> Column:
+    """The template of the check, with what the row itself tells."""
+    named = bool(check.columns)
+    keys = [(check.dimension, check.subtype, named), (check.dimension, None, named),
+            (check.dimension, None, None), (None, None, None)]
+    template = next(REASON_TEXT[k] for k in keys if k in REASON_TEXT)
+    reason = F.lit(template.format(column=check.columns[0] if named else "", subtype=check.subtype))
+    if check.dimension == "timeliness" and age is not None:
+        return F.concat(reason, F.coalesce(_filled(AGE_TEXT, age.cast("long")), F.lit("")))
+    if check.dimension == "uniqueness" and "occurrences" in rows.columns:
+        return F.concat(reason, _filled(OCCURRENCES_TEXT, F.col("occurrences")))
+    if "recon_status" in rows.columns:
+        return _filled(RECON_TEXT, F.col("recon_status"))
+    return reason
+
+
+def _uses(value, hidden: set[str]) -> bool:
+    """Whether a rule's parameters name a hidden column, alone or within a formula."""
+    if isinstance(value, str):
+        return any(re.search(rf"(?<![A-Za-z0-9_]){re.escape(c)}(?![A-Za-z0-9_])", value) for c in hidden)
+    if isinstance(value, Mapping):
+        return any(_uses(x, hidden) for pair in value.items() for x in pair)
+    return isinstance(value, (list, tuple, set)) and any(_uses(x, hidden) for x in value)
 
 
 def _observation(check: Check, rows: DataFrame, now: Column) -> tuple[Column, Column, Column]:
@@ -107,19 +130,35 @@ def canonical_violations(
 ) -> DataFrame:
     """Violating rows in the canonical shape; the row itself as JSON in ``record``.
 
+    A hidden column hides all that is derived from it: the other side's copy, the values a
+    check computes or compares with, the deviation; a hidden key is shown as a hash.
+
     ``result_id`` is a content hash, so a re-run or a lost task yields the same id.
     """
     now = moment(as_of)
     rows = violations(tables, check, now)
     observed, expected, deviation = _observation(check, rows, now)
     hidden = {c for c, s in (sensitivity or {}).items() if s in MASKED_CLASSES}
-    if check.columns and check.columns[0] in hidden:
+    touched = _uses([*check.columns, check.params], hidden)
+    given = tables[check.dataset].columns if check.dataset in tables else rows.columns
+
+    def is_hidden(name: str) -> bool:
+        """Own columns by name; those a check adds, when it reads a hidden one."""
+        return name in hidden or (name not in given and name != "recon_status" and (
+            touched or name.removeprefix("target_") in hidden))
+
+    if touched:
         observed = F.when(observed.isNotNull(), F.lit(MASK))
-    reason = _reason(check, deviation)
-    if "recon_status" in rows.columns:
-        reason = F.concat(F.lit("Record "), F.col("recon_status"))
+        if check.dimension in ("consistency", "accuracy"):
+            expected = F.when(expected.isNotNull(), F.lit(MASK))
+        reason = _reason(check, rows, None)
+        deviation = F.lit(None).cast("double")
+    else:
+        reason = _reason(check, rows, deviation)
     reference = row_reference(rows, key)
-    shown = [F.lit(MASK).alias(c) if c in hidden else F.col(c) for c in rows.columns]
+    if key in hidden:
+        reference = F.sha2(F.concat_ws("|", F.lit(check.dataset), reference), 256)
+    shown = [F.lit(MASK).alias(c) if is_hidden(c) else F.col(c) for c in rows.columns]
     return rows.select(
         F.sha2(F.concat_ws("|", F.lit(check.check_id), reference), 256).alias("result_id"),
         F.lit(check.check_id).alias("check_id"),
@@ -136,7 +175,7 @@ def canonical_violations(
         reason.alias("issue_reason"),
         F.lit(check.severity).alias("severity"),
         F.to_json(F.struct(*shown)).alias("record"),
-        F.lit(bool(hidden & set(rows.columns))).alias("masking_applied"),
+        F.lit(touched or key in hidden or any(is_hidden(c) for c in rows.columns)).alias("masking_applied"),
     )
 
 
@@ -145,6 +184,11 @@ def evidence_page(rows: DataFrame, order: Iterable[str], limit: int = 100) -> Da
     return rows.orderBy(*order).limit(limit)
 
 
-def run_on_sample(df: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """Input of a sampled run: the rows are sampled, not the result."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def run_on_sample(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 0) -> DataFrame:
+    """Input of a sampled run: the rows are sampled, not the result.
+
+    A hash of the key decides, so that a restart or another engine takes the same rows.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return df.where(place < int(fraction * 2**32))
