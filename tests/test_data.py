@@ -46,7 +46,9 @@ def test_jdbc_settings(spark):
     with pytest.raises(ValueError):
         readers.jdbc_target("sheet", "h", 1, "d")
     with pytest.raises(ValueError):
-        readers.read_jdbc(spark, url, "t", partition_column="id")
+        readers.read_jdbc(spark, url, "t", partition_column="id", lower=1)
+    with pytest.raises(ValueError):
+        readers.read_jdbc(spark, url, "t")
     with pytest.raises(ValueError):
         readers.read_files(spark, "s3a://bucket/data")
 
@@ -62,7 +64,9 @@ def test_exports_and_retention(spark, tmp_path):
     assert sinks.drop_expired(spark, path, date(2024, 4, 15), 60) == ["2024-01-01"]
     left = spark.read.parquet(path)
     assert left.count() == 6 and {r[0] for r in left.select("run_date").distinct().collect()} == {date(2024, 3, 1)}
-    sinks.write_evidence(df, str(tmp_path / "e"), {"a": "restricted"}, limit=2)
+    sinks.write_evidence(df, str(tmp_path / "e"), {"a": "restricted"}, limit=2, order=["n"])
+    with pytest.raises(ValueError):
+        sinks.write_evidence(df, str(tmp_path / "f"), limit=2)
     docs = spark.read.json(str(tmp_path / "e")).collect()
     assert len(docs) == 2 and all(d.a == "[MASKED]" and d.masking_applied for d in docs)
 

@@ -33,7 +33,6 @@ ISSUE_COST = {"critical": 15000.0, "major": 5000.0, "minor": 1000.0, "info": 200
 PRIORITY = {"critical": "P1", "major": "P2", "minor": "P3", "informational": "P4"}
 SEVERITY_RANK = {"critical": 0, "major": 1, "minor": 2, "informational": 3}
 OPEN_STATUSES = ("open", "in_progress", "reopened")
-MAX_TITLE = 500
 
 
 def issue_severity(rule_severity: Column) -> Column:
@@ -63,7 +62,7 @@ def derive_issues(rule_runs: DataFrame, sla_hours: Mapping[str, float] = SLA_HOU
     hours = F.create_map(*[F.lit(x) for item in sla_hours.items() for x in item])[severity]
     return failing.select(
         "run_id", "rule_id", "dataset_id", severity.alias("severity"),
-        F.substring(title, 1, MAX_TITLE).alias("title"), summary.alias("impact_summary"),
+        title.alias("title"), summary.alias("impact_summary"),
         F.col("rows_failed").alias("failure_count"), F.col("completed_at").alias("opened_at"),
         F.when(hours.isNotNull(), hours_after(F.col("completed_at"), hours)).alias("due_at"))
 
@@ -126,9 +125,7 @@ def auto_incidents(issues: DataFrame, open_links: DataFrame, min_severity: str =
     free = wanted.join(open_links.select("issue_id").distinct(), "issue_id", "left_anti")
     derived = F.lit(priority) if priority else lookup(F.col("severity"), PRIORITY, "P3")
     title = F.concat(F.lit("[Auto] "), F.col("title"))
-    short = F.when(F.char_length(title) > MAX_TITLE, F.concat(
-        F.substring(title, 1, MAX_TITLE - 3), F.lit("..."))).otherwise(title)
-    return free.select("issue_id", short.alias("title"), "severity", derived.alias("priority"),
+    return free.select("issue_id", title.alias("title"), "severity", derived.alias("priority"),
                        F.lit("open").alias("status"))
 
 

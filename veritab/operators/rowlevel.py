@@ -13,9 +13,6 @@ from veritab.functions import patterns as P
 from veritab.functions import predicates as X
 from veritab.model import Check, RowRule
 
-# Above this many literals an IN list becomes a join against a values frame.
-MAX_IN_LIST = 1000
-
 
 def _all(conditions: list[Column]) -> Column:
     return reduce(and_, conditions)
@@ -92,6 +89,24 @@ def _absent(check: Check) -> Column:
     return _any(gaps)
 
 
+def _equals_literal(col: Column, value) -> Column:
+    """Equality with a literal that takes the type of the column, as a quoted one does in SQL."""
+    text, kind = col.cast("string"), F.typeof(col)
+    if value is None:
+        return F.lit(None).cast("boolean")
+    words = str(value).lower() if isinstance(value, bool) else str(value)
+    literal = F.lit(words)
+    number = kind.isin("double", "float") | kind.startswith("decimal")
+    whole = literal.try_cast("decimal(38,0)").cast("string")
+    exact = F.coalesce(literal.try_cast("double") == whole.try_cast("double"), F.lit(False))
+    return (F.when(kind == "boolean", col.cast("string").try_cast("boolean") == literal.try_cast("boolean"))
+            .when(number, text.try_cast("double") == literal.try_cast("double"))
+            .when(kind.isin("tinyint", "smallint", "int", "bigint"), exact & (text == whole))
+            .when(kind.isin("date", "timestamp", "timestamp_ntz"),
+                  text.try_cast("timestamp") == literal.try_cast("timestamp"))
+            .otherwise(text == F.lit(str(value))))
+
+
 def completeness(check: Check) -> RowRule:
     if check.subtype == "must_be_null":
         gap = F.col(check.column).isNotNull()
@@ -101,8 +116,7 @@ def completeness(check: Check) -> RowRule:
     if check.subtype == "conditional":
         values = check.need("condition_value")
         values = list(values) if isinstance(values, (list, tuple)) else [values]
-        driver = F.col(check.need("condition_column")).cast("string")
-        population = driver.isin([str(v) for v in values])
+        population = _any([_equals_literal(F.col(check.need("condition_column")), v) for v in values])
     return RowRule(~gap, gap, population=population)
 
 
@@ -272,18 +286,19 @@ def compound(check: Check, as_of: Column) -> RowRule:
     """AND / OR of row-level members, judged row by row.
 
     A member's population and skips count as "not concerned": such a row passes
-    that member, so the group judges every row of the table once.
+    that member, so the group judges every row of the table once. An unknown verdict
+    stays unknown unless the other members decide.
     """
     logic = str(check.param("logic", "AND")).upper()
     verdicts = []
     for member in check.need("members"):
         rule = row_rule(member, as_of)
-        bad = F.coalesce(rule.failed, F.lit(False))
-        for scope in (rule.population, None if rule.skipped is None else ~rule.skipped):
+        bad = rule.failed
+        scopes = [rule.population, None if rule.skipped is None else ~rule.skipped,
+                  F.expr(member.filter) if member.filter else None]
+        for scope in scopes:
             if scope is not None:
-                bad = bad & F.coalesce(scope, F.lit(False))
-        if member.filter:
-            bad = bad & F.coalesce(F.expr(member.filter), F.lit(False))
+                bad = F.when(F.coalesce(scope, F.lit(False)), bad).otherwise(F.lit(False))
         verdicts.append(bad)
     if logic == "AND":
         bad = _any(verdicts)
@@ -307,8 +322,6 @@ _TABLE_LEVEL = {
 def is_row_level(check: Check) -> bool:
     if check.dimension in ("uniqueness", "reconciliation"):
         return False
-    if (check.dimension, check.subtype) == ("validity", "allowed_values"):
-        return len(check.param("allowed_values", ())) <= MAX_IN_LIST
     return (check.dimension, check.subtype) not in _TABLE_LEVEL
 
 

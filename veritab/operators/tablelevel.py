@@ -116,15 +116,6 @@ def lookup(check: Check, df: DataFrame, reference: DataFrame) -> TablePlan:
     return _among(check, df, F.col(check.column), allowed)
 
 
-def long_value_list(check: Check, df: DataFrame) -> TablePlan:
-    """An allowed-values list too long for an IN predicate."""
-    fold = not check.param("case_sensitive", True)
-    column = F.col(check.column)
-    values = [str(v).lower() if fold else v for v in check.need("allowed_values")]
-    allowed = df.sparkSession.createDataFrame([(v,) for v in values], ["__k0"])
-    return _among(check, df, F.lower(column) if fold else column, allowed)
-
-
 def custom_sql(check: Check, df: DataFrame) -> TablePlan:
     """A SELECT returning ``total`` and ``failed``; ``{dataset}`` names the data."""
     answer = df.sparkSession.sql(check.need("sql"), dataset=df)
@@ -370,8 +361,6 @@ def plan(check: Check, df: DataFrame, tables: Tables, as_of: Column) -> TablePla
             return completeness_by_group(check, df)
         case "validity", "reference_lookup":
             return lookup(check, df, other("reference_dataset"))
-        case "validity", "allowed_values":
-            return long_value_list(check, df)
         case "validity", "custom_sql":
             return custom_sql(check, df)
         case "consistency", "inter_record":

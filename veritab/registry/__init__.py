@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veritab.registry import base
 from veritab.registry import (  # noqa: F401
-    data_queries, history_queries, row_checks, streaming_queries, table_checks,
+    data_queries, edge_queries, history_queries, row_checks, streaming_queries, table_checks,
 )
 
 

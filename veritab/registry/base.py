@@ -54,6 +54,9 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
            WHEN c_custkey % 15 = 0 THEN NULL WHEN c_custkey % 16 = 0 THEN '[1, 2, ' || CAST(c_custkey AS STRING) || ']'
            ELSE '{"k": ' || CAST(c_custkey AS STRING) || ', "s": "' || c_mktsegment || '"}' END AS json""",
     ]),
+    "flagged": ("cust", [
+        "c_custkey", "email", "credit > 5000 AS rich", "CAST(c_nationkey AS DOUBLE) AS ratio",
+    ]),
     "ords": ("orders", [
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority",
         "nullif(o_orderstatus, 'P') AS status",

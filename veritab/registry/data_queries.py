@@ -263,12 +263,6 @@ def _rowref(t):
                        evidence.row_reference(rows, "email").alias("row_reference"))
 
 
-@query("EVD-sample")
-def _sample(t):
-    sampled = evidence.run_on_sample(t["li"], 0.1, seed=7)
-    return run_check({"li": sampled}, Check("sample", "completeness", "null", "li", ("flag",)))
-
-
 # --- previews ---
 _PREVIEWS = [
     ("null", {"columns": ["segment"]}, "cust", "segment IS NULL"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 from veritab.plans.evidence import mask
 
 RETENTION_DAYS = 90
-EVIDENCE_ROWS = 50
+# Width of a title in the stores that cut it.
+TITLE_WIDTH = 500
 
 
 def append_results(summaries: DataFrame, path: str, run_date: date) -> None:
@@ -21,10 +23,17 @@ def append_results(summaries: DataFrame, path: str, run_date: date) -> None:
 
 
 def write_evidence(rows: DataFrame, path: str, sensitivity: dict[str, str] | None = None,
-                   limit: int | None = EVIDENCE_ROWS) -> None:
-    """Masked sample of failing rows as JSON documents; no limit keeps them all."""
-    masked = mask(rows, sensitivity or {})
-    (masked if limit is None else masked.limit(limit)).write.mode("overwrite").json(path)
+                   limit: int | None = None, order: Sequence[str] = ()) -> None:
+    """Masked failing rows as JSON documents: all, or the first ``limit`` in ``order``."""
+    if limit is not None and not order:
+        raise ValueError("a limit needs an order")
+    chosen = rows if limit is None else rows.orderBy(*order).limit(limit)
+    mask(chosen, sensitivity or {}).write.mode("overwrite").json(path)
+
+
+def fixed_width(col: Column, width: int = TITLE_WIDTH) -> Column:
+    """Text for a column of fixed width; longer text ends in dots."""
+    return F.when(F.char_length(col) > width, F.concat(F.substring(col, 1, width - 3), F.lit("..."))).otherwise(col)
 
 
 def spreadsheet_safe(col: Column) -> Column:

@@ -21,11 +21,17 @@ def check_stream(stream: DataFrame, dataset: str, checks: Sequence[Check], out:
     """Run the suite on every micro-batch.
 
     Each batch writes its own ``batch_id`` folder by overwriting it, so a batch
-    that is repeated after a failure leaves one copy of its results.
+    that is repeated after a failure leaves one copy of its results. The batch is
+    kept while its suite runs, which reads it several times. Uniqueness is judged
+    within a batch; repeats across batches are the business of ``first_seen``.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
-        tables = {**(references or {}), dataset: batch}
-        run_suite(tables, checks, as_of).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        held = batch.persist()
+        try:
+            tables = {**(references or {}), dataset: held}
+            run_suite(tables, checks, as_of).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            held.unpersist()
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -35,7 +41,9 @@ def windowed_counts(df: DataFrame, check: Check, ts: str, window: str, slide: st
                     watermark: str | None = None, as_of=None) -> DataFrame:
     """Counts of a row-level check per time window, batch or streaming.
 
-    With a watermark late rows are dropped and finished windows leave the state.
+    With a watermark late rows are dropped and finished windows leave the state. Rows
+    without a timestamp are counted in a window of NULLs; a stream, which has no such
+    window, leaves them to a batch run.
     """
     rule = row_rule(check, moment(as_of))
     if check.filter:
@@ -48,9 +56,13 @@ def windowed_counts(df: DataFrame, check: Check, ts: str, window: str, slide: st
         rule.failed.alias("__bad"), skipped.alias("__skip"))
     if watermark:
         judged = judged.withWatermark("__ts", watermark)
-    grouped = judged.groupBy(F.window("__ts", window, slide or window).alias("w")).agg(
-        F.count("*").alias("total_rows"), count_rows(F.col("__ok")).alias("passed_rows"),
-        count_rows(F.col("__bad")).alias("failed_rows"), count_rows(F.col("__skip")).alias("skipped_rows"))
+    counts = [F.count("*").alias("total_rows"), count_rows(F.col("__ok")).alias("passed_rows"),
+              count_rows(F.col("__bad")).alias("failed_rows"), count_rows(F.col("__skip")).alias("skipped_rows")]
+    grouped = judged.groupBy(F.window("__ts", window, slide or window).alias("w")).agg(*counts)
+    if not df.isStreaming:
+        no_window = F.lit(None).cast("struct<start:timestamp,end:timestamp>")
+        undated = judged.where(F.col("__ts").isNull()).groupBy(no_window.alias("w")).agg(*counts)
+        grouped = grouped.unionByName(undated)
     counted = grouped.withColumn(
         "pass_rate", rate(F.col("passed_rows"), F.col("total_rows") - F.col("skipped_rows")))
     return counted.select(
