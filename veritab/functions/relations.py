@@ -80,10 +80,12 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
     and ``differing_pairs`` (some compared column certainly differs). A pair with
     a NULL among otherwise equal columns is in neither, as in SQL.
 
-    Per key the number of pairs is a product of two counts. Pairs that *may* agree
-    have equal values wherever both sides are non-NULL, so each row is counted
-    once per NULL pattern present on the other side (at most 2**columns, one when
-    there are no NULLs), with the values outside the shared pattern blanked.
+    Rows collapse to weighted cells of key, NULL pattern and values first. Per key the
+    number of pairs is a product of two counts. Pairs that *may* agree have equal values
+    wherever both sides are non-NULL, so a cell is counted once for each NULL pattern that
+    the other side has *under the same key* (one, where keys are unique), with the values
+    outside the shared pattern blanked. One or two columns have at most four patterns, all
+    of which are faced without looking them up.
     """
     width = len(compared)
     full = (1 << width) - 1
@@ -99,43 +101,35 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
                     for i, v in enumerate(vals)), F.lit(0))
         return shaped.withColumn("mask", mask)
 
-    def patterns(df: DataFrame) -> DataFrame:
-        return df.agg(F.collect_set("mask").alias("masks"))
+    def cells_of(df: DataFrame, which: int) -> DataFrame:
+        return side(df, which).groupBy(*keys_out, "mask", *vals).agg(F.count("*").alias("n"))
 
-    def facing(df: DataFrame, other: DataFrame, which: int) -> DataFrame:
-        spread = attach_one_row(df, patterns(other)).select(
-            *keys_out, *vals, "mask", F.posexplode("masks").alias("nth", "other"))
+    def counted(df: DataFrame, which: int) -> DataFrame:
+        one, zero = F.col("n"), F.lit(0).cast("long")
+        return df.select(*keys_out, (zero if which else one).alias("l"), (one if which else zero).alias("r"))
+
+    def facing(mine: DataFrame, theirs: DataFrame, which: int) -> DataFrame:
+        if width <= 2:  # so few patterns that each cell faces them all
+            spread = mine.withColumn("other", F.explode(F.array(*[F.lit(p) for p in range(full + 1)])))
+        else:
+            spread = mine.join(theirs.select(*keys_out, F.col("mask").alias("other")).distinct(), keys_out)
         shared = F.col("mask").bitwiseAND(F.col("other"))
-        first = (F.col("nth") == 0).cast("long")
-        mine, theirs = ("mask", "other") if which == 0 else ("other", "mask")
-        one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+        own, facing_ = ("mask", "other") if which == 0 else ("other", "mask")
+        one, zero = F.col("n"), F.lit(0).cast("long")
         return spread.select(
-            *keys_out,
-            F.col(mine).alias("ml"), F.col(theirs).alias("mr"),
-            *[F.when(shared.bitwiseAND(1 << i) != 0, F.col(v)).alias(v)
-              for i, v in enumerate(vals)],
-            (one if which == 0 else zero).alias("l"), (zero if which == 0 else one).alias("r"),
-            (first if which == 0 else zero).alias("l_rows"),
-            (zero if which == 0 else first).alias("r_rows"),
-        )
-
-    a, b = side(left, 0), side(right, 1)
-    sums = [F.sum(c).alias(c) for c in ("l", "r", "l_rows", "r_rows")]
-    cells = (
-        facing(a, b, 0).unionByName(facing(b, a, 1))
-        .groupBy(*keys_out, "ml", "mr", *vals).agg(*sums)
-    )
-    whole = (F.col("ml") == full) & (F.col("mr") == full)
+            *keys_out, F.col(own).alias("ml"), F.col(facing_).alias("mr"),
+            *[F.when(shared.bitwiseAND(1 << i) != 0, F.col(v)).alias(v) for i, v in enumerate(vals)],
+            (zero if which else one).alias("l"), (one if which else zero).alias("r"))
+
+    a, b = cells_of(left, 0), cells_of(right, 1)
+    sums = [F.sum(c).alias(c) for c in ("l", "r")]
     product = F.col("l") * F.col("r")
-    per_key = cells.groupBy(*keys_out).agg(
-        F.sum("l_rows").alias("l_rows"), F.sum("r_rows").alias("r_rows"),
-        F.sum(product).alias("maybe"),
-        F.sum(F.when(whole, product).otherwise(0)).alias("equal"),
-    )
     zero = F.lit(0)
-    return per_key.agg(
-        F.coalesce(F.sum(F.col("l_rows") * F.col("r_rows")), zero).alias("pairs"),
-        F.coalesce(F.sum("equal"), zero).alias("equal_pairs"),
-        F.coalesce(F.sum(F.col("l_rows") * F.col("r_rows") - F.col("maybe")), zero)
-        .alias("differing_pairs"),
-    )
+    per_key = counted(a, 0).unionByName(counted(b, 1)).groupBy(*keys_out).agg(*sums)
+    pairs = per_key.agg(F.coalesce(F.sum(product), zero).alias("pairs"))
+    whole = (F.col("ml") == full) & (F.col("mr") == full)
+    agreeing = facing(a, b, 0).unionByName(facing(b, a, 1)).groupBy(*keys_out, "ml", "mr", *vals).agg(*sums).agg(
+        F.coalesce(F.sum(product), zero).alias("maybe"),
+        F.coalesce(F.sum(F.when(whole, product)), zero).alias("equal_pairs"))
+    return attach_one_row(pairs, agreeing).select(
+        "pairs", "equal_pairs", (F.col("pairs") - F.col("maybe")).alias("differing_pairs"))

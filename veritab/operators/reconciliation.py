@@ -147,7 +147,10 @@ def _nearby(kind: str, value: float):
     """
     slack = 1.25  # far above rounding errors
     if kind == "absolute" and value > 0:
-        return lambda v: F.floor(v.cast("double") / F.lit(value * slack))
+        # Slots are whole doubles: where they no longer count by one, the tolerance is below
+        # the spacing of the values and only equal ones, which share a slot, are within it.
+        place = lambda v: v.cast("double") / F.lit(value * slack)
+        return lambda v: place(v) - F.pmod(place(v), F.lit(1.0))
     if kind == "percentage" and 0 < value < 100:
         # Values close in proportion share a sign and are close in logarithm.
         width = -math.log1p(-value / 100) * slack
@@ -158,7 +161,7 @@ def _nearby(kind: str, value: float):
 
 def _slot_and_neighbours(slot: Column, kind: str) -> Column:
     step = 2 if kind == "percentage" else 1  # signs alternate
-    return F.explode(F.array(slot - step, slot, slot + step))
+    return F.explode(F.array_distinct(F.array(slot - step, slot, slot + step)))
 
 
 def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> TablePlan:
@@ -172,7 +175,7 @@ def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> Tabl
     kind, value = check.param("tolerance_type", "absolute"), check.params.get("tolerance_value")
     if kind != "none" and value is None:
         raise ValueError(f"{check.check_id}: {kind} tolerance needs tolerance_value")
-    if kind == "none":
+    if kind == "none" or (kind == "absolute" and float(value) == 0):
         return columns_equal(check, source, target, pairs, [(column, column)])
     names = [f"__k{i}" for i in range(len(pairs))]
 

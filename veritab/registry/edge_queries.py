@@ -139,3 +139,43 @@ def _undated(t):
     check = Check("big", "validity", "range", "events", ("value",), {"max_value": 100})
     return streaming.windowed_counts(undated, check, "ts", "1 day").select(
         F.unix_micros("window_start").alias("start_us"), "total_rows", "failed_rows")
+
+
+# --- pairs on patterns of NULLs and on tolerances ---
+_MANY = [f"c{i}" for i in range(12)]
+
+
+def _holes(side: int) -> str:
+    return ", ".join(f"CASE WHEN (o_orderkey * {7 + 2 * i} + {side}) % 4 > 0 THEN o_custkey + {i} END AS c{i}" for i in range(12))
+
+
+_MANY_EQUAL = " AND ".join(f"a.{c} = b.{c}" for c in _MANY)
+_MANY_DIFFER = " OR ".join(f"a.{c} <> b.{c}" for c in _MANY)
+
+
+@query("REC-field.many_nulls", f"""SELECT count(*) AS total_rows, count(CASE WHEN {_MANY_EQUAL} THEN 1 END) AS passed_rows,
+    count(CASE WHEN {_MANY_DIFFER} THEN 1 END) AS failed_rows
+    FROM (SELECT o_orderkey, {_holes(0)} FROM orders) a JOIN
+         (SELECT o_orderkey, {_holes(1).replace("o_custkey + 3", "o_custkey + 4")} FROM orders) b USING (o_orderkey)""")
+def _many_nulls(t):
+    tables = {"s": t["orders"].selectExpr("o_orderkey", *[x + f" AS c{i}" for i, x in enumerate(
+                  p.rsplit(" AS ", 1)[0] for p in _holes(0).split(", "))]),
+              "t": t["orders"].selectExpr("o_orderkey", *[x + f" AS c{i}" for i, x in enumerate(
+                  p.rsplit(" AS ", 1)[0] for p in _holes(1).replace("o_custkey + 3", "o_custkey + 4").split(", "))])}
+    check = Check("many", "reconciliation", "field_level", "s", (), {
+        "source_dataset": "s", "target_dataset": "t", "join_keys": ["o_orderkey"], "compare_columns": _MANY})
+    return run_check(tables, check).select("total_rows", "passed_rows", "failed_rows")
+
+
+for _name, _tolerance, _scale in (("zero", 0, 1), ("tiny", 1e-9, 1_000_000)):
+    def _close(t, value=_tolerance, scale=_scale):
+        tables = {"s": t["orders"].selectExpr("o_custkey", f"CAST(o_totalprice * {scale} AS DOUBLE) AS v"),
+                  "t": t["orders"].selectExpr("o_custkey", f"CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END) * {scale} AS DOUBLE) AS v")}
+        check = Check("close", "reconciliation", "tolerance", "s", ("v",), {
+            "source_dataset": "s", "target_dataset": "t", "join_keys": ["o_custkey"], "tolerance_type": "absolute", "tolerance_value": value})
+        return run_check(tables, check).select("total_rows", "passed_rows", "failed_rows")
+
+    query(f"REC-tolerance.{_name}", f"""SELECT count(*) AS total_rows, count(CASE WHEN abs(a.v - b.v) <= {_tolerance} THEN 1 END) AS passed_rows,
+        count(CASE WHEN abs(a.v - b.v) > {_tolerance} THEN 1 END) AS failed_rows
+        FROM (SELECT o_custkey, CAST(o_totalprice * {_scale} AS DOUBLE) AS v FROM orders) a JOIN
+             (SELECT o_custkey, CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END) * {_scale} AS DOUBLE) AS v FROM orders) b USING (o_custkey)""")(_close)
