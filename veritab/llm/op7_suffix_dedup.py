@@ -34,7 +34,7 @@ BUCKET_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
 RUNS = "doc_id long, t1 long, t2 long, off long, n long, m long, c1 long, c2 long, own boolean"
 FOUND = "m long, c1 long, c2 long, spans array<struct<at:long,n:long>>"
 BYTE = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
-STEP = np.random.default_rng(8).integers(1, 2**64, 8, np.uint64, endpoint=False) | np.uint64(1)
+STEP = np.random.default_rng(8).integers(1, 2**64, 64, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def both(x: int) -> tuple[int, int]:
@@ -47,7 +47,7 @@ def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     power, out, done, size = BYTE[data], None, 0, 1
     for k in range(length.bit_length()):
         if length >> k & 1:
-            out = power if out is None else out[: len(power) - done] * STEP[7 - k] + power[done:] if len(power) > done else power[:0]
+            out = power if out is None else out[: len(power) - done] * STEP[32 + k] + power[done:] if len(power) > done else power[:0]
             done += size
         if length >> (k + 1):
             power = power[:-size] * STEP[k] + power[size:] if len(power) > size else power[:0]
