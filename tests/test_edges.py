@@ -65,3 +65,15 @@ def test_quantiles_put_nan_last(spark):
     assert quantile_row(df, F.col("x"), [0.5]).first()[0] == 3.0
     inf = spark.createDataFrame([(float("inf"),), (float("inf"),), (1.0,)], "x double")
     assert quantile_row(inf, F.col("x"), [0.5, 1.0, 0.0]).first()[:] == (float("inf"), float("inf"), 1.0)
+
+
+def test_rules_say_their_subtype():
+    rule = Check.from_rule({"dimension": "validity", "entity": "t.a", "parameters": {"filter_expression": "a > 0"}})
+    assert (rule.subtype, rule.params["expression"], rule.filter) == ("business_rule", "a > 0", None)
+    kept = Check.from_rule({"dimension": "validity", "entity": "t.a", "parameters": {"filter_expression": "a > 0", "min_value": 1}})
+    assert (kept.subtype, kept.filter) == ("range", "a > 0")
+    half = Check.from_rule({"dimension": "consistency", "entity": "t.a", "parameters": {"comparison_dataset": "u", "reference_column": "b"}})
+    assert half.subtype == "intra_record"
+    for params, subtype in (({"comparison_dataset": "u", "join_keys": ["k"]}, "cross_table"),
+                            ({"group_by_columns": ["k"], "comparison_columns": ["a"]}, "inter_record"), ({"group_by_columns": ["k"]}, "intra_record")):
+        assert Check.from_rule({"dimension": "consistency", "entity": "t.a", "parameters": params}).subtype == subtype

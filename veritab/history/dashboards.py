@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.relations import count_rows
@@ -214,6 +214,17 @@ def execution_report(runs: DataFrame) -> DataFrame:
     return counted.withColumn("overall_quality_score", F.round(score, 2))
 
 
+def execution_nodes(runs: DataFrame) -> DataFrame:
+    """The nodes of every execution in the order they ran, with times and result."""
+    order = Window.partitionBy("execution_id").orderBy("created_at", "node_id")
+    return runs.select(
+        "execution_id", "node_id", "node_type", "status",
+        F.row_number().over(order).alias("position"), F.col("created_at").alias("started_at"),
+        F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + F.col("duration_seconds") * 1_000_000)
+        .alias("ended_at"), "duration_seconds",
+        F.when(F.col("node_type") == "check", F.when(_passed(), "passed").otherwise("failed")).alias("result"))
+
+
 def execution_violations(runs: DataFrame) -> DataFrame:
     """The failing checks of every execution."""
     failed, total = F.col("rows_failed"), F.col("rows_scanned")

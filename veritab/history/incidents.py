@@ -301,18 +301,28 @@ def top_flows(issues: DataFrame, as_of: Column, days: int = 30, limit: int = 10,
 
 # --- escalation -------------------------------------------------------------------
 
+def _overdue_rules(alert_rules: DataFrame) -> DataFrame:
+    return alert_rules.where(F.col("enabled") & (F.col("event") == "issue_overdue")).withColumn(
+        "sent_to", F.coalesce("channel", "recipient")).where(F.col("sent_to").isNotNull())
+
+
+def escalated_issues(issues: DataFrame, alert_rules: DataFrame, as_of: Column) -> DataFrame:
+    """Each rule that notifies about overdue issues with each of these issues."""
+    late = overdue(issues, as_of, OPEN_STATUSES).select("workspace_id", "issue_id", "severity", "due_at")
+    return _overdue_rules(alert_rules).join(late, "workspace_id").select(
+        "alert_rule_id", "workspace_id", "sent_to", "issue_id", "severity", "due_at")
+
+
 def escalate(issues: DataFrame, alert_rules: DataFrame, as_of: Column) -> DataFrame:
     """Notifications for overdue issues: one per enabled rule and channel.
 
     ``alert_rules``: alert_rule_id, workspace_id, event, enabled, channel,
     recipient. A rule without channel notifies its recipient; with neither it
-    stays silent. The issues themselves are ``overdue(issues, as_of, OPEN_STATUSES)``.
+    stays silent. ``escalated_issues`` lists the issues each of them is about.
     """
     late = overdue(issues, as_of, OPEN_STATUSES).groupBy("workspace_id").agg(
         F.count("*").alias("overdue_issues"), F.min("due_at").alias("earliest_due"))
-    rules = alert_rules.where(F.col("enabled") & (F.col("event") == "issue_overdue")).withColumn(
-        "sent_to", F.coalesce("channel", "recipient")).where(F.col("sent_to").isNotNull())
-    return rules.join(late, "workspace_id").select(
+    return _overdue_rules(alert_rules).join(late, "workspace_id").select(
         "alert_rule_id", "workspace_id", "sent_to", "overdue_issues", "earliest_due")
 
 

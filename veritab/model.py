@@ -119,14 +119,20 @@ class Check:
         columns = tuple(params.get("columns") or ([column] if column else []))
         if dimension == "generic" and rule.get("condition"):
             params.setdefault("expression", rule["condition"])
+        named = SUBTYPES[dimension][0]
+        subtype = params.get(named) or infer_subtype(dimension, params, columns)
+        condition = params.get("filter_expression")
+        if subtype == "business_rule" and not params.get("expression") and condition:
+            # A rule with nothing but a filter states the condition rows must meet.
+            params["expression"], condition = condition, None
         return cls(
             check_id=check_id or rule.get("rule_id") or rule.get("name") or f"{dimension}:{table}",
             dimension=dimension,
-            subtype=params.get(SUBTYPES[dimension][0]) or infer_subtype(dimension, params, columns),
+            subtype=subtype,
             dataset=rule.get("target_table") or params.get("source_dataset") or table,
             columns=columns,
             params=params,
-            filter=params.get("filter_expression"),
+            filter=condition,
             threshold_pass=float(params.get("threshold_pass", 100)),
             threshold_warn=params.get("threshold_warn"),
             max_violations=params.get("max_violations"),
@@ -145,13 +151,13 @@ _PARAMETER_ALIASES: dict[str, tuple[str, ...]] = {
     "max_value": ("max",),
 }
 
-# Per dimension, in order: the first present parameter decides the subtype.
-_SIGNALS: dict[str, list[tuple[str, str]]] = {
+# Per dimension, in order, the parameters whose presence decides the subtype.
+_SIGNALS: dict[str, list[tuple[str | tuple[str, ...], str]]] = {
     "validity": [
         ("regex_pattern", "regex"), ("min_value", "range"), ("max_value", "range"),
         ("allowed_values", "allowed_values"), ("reference_dataset", "reference_lookup"),
         ("reference_column", "reference_lookup"), ("expression", "business_rule"),
-        ("validator", "validator"),
+        ("validator", "validator"), ("filter_expression", "business_rule"),
     ],
     "uniqueness": [
         ("scope_columns", "scoped"), ("cross_dataset_name", "cross_dataset"),
@@ -163,8 +169,8 @@ _SIGNALS: dict[str, list[tuple[str, str]]] = {
         ("structural_format", "structural"),
     ],
     "consistency": [
-        ("aggregation_function", "aggregation"), ("comparison_dataset", "cross_table"),
-        ("group_by_columns", "inter_record"), ("comparison_column", "temporal"),
+        ("aggregation_function", "aggregation"), (("comparison_dataset", "join_keys"), "cross_table"),
+        (("group_by_columns", "comparison_columns"), "inter_record"), ("comparison_column", "temporal"),
         ("expected_column", "formula"),
     ],
     "timeliness": [
@@ -189,9 +195,12 @@ _DEFAULT_SUBTYPE = {
 
 
 def infer_subtype(dimension: str, params: Mapping[str, Any], columns: tuple[str, ...]) -> str:
-    for name, subtype in _SIGNALS.get(dimension, []):
+    def present(name: str) -> bool:
         value = params.get(name)
-        if value is not None and value is not False and value != "" and value != []:
+        return value is not None and value is not False and value != "" and value != []
+
+    for names, subtype in _SIGNALS.get(dimension, []):
+        if all(present(n) for n in ((names,) if isinstance(names, str) else names)):
             return subtype
     if dimension == "uniqueness" and len(columns) > 1:
         return "composite"

@@ -462,6 +462,16 @@ def _report_violations(t):
     return dashboards.execution_violations(t["runs"])
 
 
+@query("HIS-report.nodes", f"""
+    SELECT execution_id, node_id, node_type, status, CAST(row_number() OVER (PARTITION BY execution_id ORDER BY created_at, node_id) AS INTEGER) AS position,
+           epoch_us(created_at) AS started_us, epoch_us(created_at) + duration_seconds * 1000000 AS ended_us, duration_seconds,
+           CASE WHEN node_type = 'check' THEN CASE WHEN pass_rate >= coalesce(threshold_pass, 100) THEN 'passed' ELSE 'failed' END END AS result
+    FROM {RUNS} r""")
+def _report_nodes(t):
+    nodes = dashboards.execution_nodes(t["runs"])
+    return nodes.withColumns({"started_us": F.unix_micros(F.col("started_at").cast("timestamp")), "ended_us": F.unix_micros("ended_at")}).drop("started_at", "ended_at")
+
+
 # --- anomalies ---
 derive("hectic", "events", [
     "event_id AS execution_id", "user_id % 10 AS flow_id", "ts AS started_at",
@@ -779,6 +789,15 @@ def _escalate(t):
     return incidents.escalate(t["issues"], t["alert_rules"], NOW(CLOSING))
 
 
+@query("INC-escalate.issues", f"""
+    SELECT alert_rule_id, r.workspace_id, coalesce(channel, recipient) AS sent_to, issue_id, severity, due_at
+    FROM {source('alert_rules')} r JOIN {ISSUES} i ON r.workspace_id = i.workspace_id
+    WHERE enabled AND event = 'issue_overdue' AND coalesce(channel, recipient) IS NOT NULL
+      AND i.status IN ('open', 'in_progress', 'reopened') AND due_at < {CLOSING_SQL}""")
+def _escalated_issues(t):
+    return incidents.escalated_issues(t["issues"], t["alert_rules"], NOW(CLOSING))
+
+
 _ALERT_RULES = {
     "any": None, "failed": {"status": "failed"}, "types": {"check_type": ["validity", "accuracy"], "status": {"ne": "completed"}},
     "members": {"flow_id": {"in": [1, 2, 3]}, "node_type": {"eq": "check"}}, "unknown": {"status": {"like": "f%"}},
