@@ -161,7 +161,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score, predicted for each row of ``docs(doc_id, text)``.
 
     ``labels(doc_id, toxic)``: rows with a null label or doc_id are not learned from, nor are the
-    held-out ones (crc32 of the doc_id modulo 3 is 1; a null doc_id counts as held out). Null and
+    held-out ones (crc32 of the doc_id modulo 3 is 1; a null doc_id counts as held out); of rows that
+    share a doc_id one is learned from, as toxic if any of its labels says so. Null and
     empty texts have a score like any other; when labels of both kinds are missing each score is the
     share of toxic rows (0 without labels); an empty table gives no rows; other columns are ignored.
     """
@@ -169,9 +170,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.filter("toxic is not null").filter(remainder("doc_id", 3) != 1).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("y"))
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     size = max(known.count(), 1)
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / size) * (1 << 20))
-    train = stored(docs.join(known, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"), "toxicity-sample")
+    train = stored(docs.join(F.broadcast(known), "doc_id").select(  # known: about `sample` ids at most
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").dropDuplicates(["doc_id"]), "toxicity-sample")
     lexicon, second = learn_lexicon(train), hashes_of(SECOND_PERSON)
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out")
     size, toxic = train.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
@@ -180,7 +183,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         return docs.select("doc_id", held_out, rate.alias("score")).withColumn("predicted", verdict())
 
     ranked = stored(features(train, lambda texts: measure(texts, lexicon, second), "toxicity-sample-features").join(
-        train.select("doc_id", "y").distinct(), "doc_id").select(array_to_vector("f").alias("f"), F.col("y").cast("double").alias("y")).coalesce(4), "toxicity-fit")
+        train.select("doc_id", "y"), "doc_id").select(array_to_vector("f").alias("f"), F.col("y").cast("double").alias("y")).coalesce(4), "toxicity-fit")
     trees = GBTClassifier(featuresCol="f", labelCol="y", maxIter=15, maxDepth=4, stepSize=0.3, maxBins=64, seed=5,
                           minInstancesPerNode=5).fit(ranked)
     raw = vector_to_array("probability")[1]
