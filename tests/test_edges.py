@@ -77,3 +77,35 @@ def test_rules_say_their_subtype():
     for params, subtype in (({"comparison_dataset": "u", "join_keys": ["k"]}, "cross_table"),
                             ({"group_by_columns": ["k"], "comparison_columns": ["a"]}, "inter_record"), ({"group_by_columns": ["k"]}, "intra_record")):
         assert Check.from_rule({"dimension": "consistency", "entity": "t.a", "parameters": params}).subtype == subtype
+
+
+def test_reference_counts_are_those_of_the_joined_rows(spark):
+    """Keys repeated on both sides, NULLs, zeros, NaN: counts from weights equal counts of pairs."""
+    nan = float("nan")
+    left = [(k, v) for k in (1, 1, 2, None, 3) for v in (1.0, 2.0, 2.0, None, nan, 0.0, -1.0)]
+    right = [(k, v) for k in (1, 1, 2, None, 4) for v in (1.01, 2.0, None, 0.0, nan, -1.0)] + [(3, None)]
+    t = {"l": spark.createDataFrame(left, "k int, v double"), "r": spark.createDataFrame(right, "k int, v double")}
+    for kind, value in (("none", None), ("absolute", 0), ("absolute", 0.05), ("absolute", 9), ("percentage", 1), ("percentage", 150)):
+        for policy in ("fail", "skip", "pass"):
+            check = Check("a", "accuracy", "trusted_source", "l", ("v",), {
+                "reference_dataset": "r", "join_keys": ["k"], "tolerance_type": kind, "tolerance_value": value, "null_handling": policy})
+            row = run_check(t, check).first()
+            total = passed = failed = verified = 0
+            for k, a in left:
+                if a is None and policy == "skip":
+                    continue
+                partners = [b for j, b in right if k is not None and j == k] or [None]
+                for b in partners:
+                    total += 1
+                    if b is None:
+                        continue
+                    verified += 1
+                    if a is None:
+                        passed += policy == "pass"
+                        continue
+                    if kind == "percentage" and b == 0:
+                        continue
+                    gap = abs(a - b)
+                    same = (a == b or (a != a and b != b)) if kind == "none" else gap <= value if kind == "absolute" else gap / abs(b) * 100 <= value
+                    passed, failed = passed + same, failed + (not same)
+            assert (row.total_rows, row.passed_rows, row.failed_rows, row.verified_rows) == (total, passed, failed, verified), (kind, value, policy)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions import predicates as X
+from veritab.functions.nearby import pairs_within
 from veritab.functions.relations import (
     conjunction, count_rows, key_pairs, key_tallies, match_keys, sum_where,
 )
@@ -140,30 +139,6 @@ def aggregates(check: Check, source: DataFrame, target: DataFrame) -> TablePlan:
     return TablePlan(counts, lambda: both.where(~ok), ("source_agg", "target_agg"))
 
 
-def _nearby(kind: str, value: float):
-    """Slots such that values within tolerance differ by at most one slot.
-
-    Returns the slot of a value, or None when the tolerance bounds no slot width.
-    """
-    slack = 1.25  # far above rounding errors
-    if kind == "absolute" and value > 0:
-        # Slots are whole doubles: where they no longer count by one, the tolerance is below
-        # the spacing of the values and only equal ones, which share a slot, are within it.
-        place = lambda v: v.cast("double") / F.lit(value * slack)
-        return lambda v: place(v) - F.pmod(place(v), F.lit(1.0))
-    if kind == "percentage" and 0 < value < 100:
-        # Values close in proportion share a sign and are close in logarithm.
-        width = -math.log1p(-value / 100) * slack
-        size = lambda v: F.floor(F.ln(F.abs(v.cast("double"))) / F.lit(width))
-        return lambda v: F.when(v > 0, size(v) * 2).when(v < 0, size(v) * 2 + 1)
-    return None
-
-
-def _slot_and_neighbours(slot: Column, kind: str) -> Column:
-    step = 2 if kind == "percentage" else 1  # signs alternate
-    return F.explode(F.array_distinct(F.array(slot - step, slot, slot + step)))
-
-
 def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> TablePlan:
     """Inner join on the keys, one column within tolerance.
 
@@ -175,7 +150,7 @@ def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> Tabl
     kind, value = check.param("tolerance_type", "absolute"), check.params.get("tolerance_value")
     if kind != "none" and value is None:
         raise ValueError(f"{check.check_id}: {kind} tolerance needs tolerance_value")
-    if kind == "none" or (kind == "absolute" and float(value) == 0):
+    if kind == "none":
         return columns_equal(check, source, target, pairs, [(column, column)])
     names = [f"__k{i}" for i in range(len(pairs))]
 
@@ -203,20 +178,11 @@ def tolerance(check: Check, source: DataFrame, target: DataFrame, pairs) -> Tabl
         F.coalesce(F.sum(F.col("l") * F.col("r")), zero).alias("pairs"),
         F.coalesce(F.sum(F.col("l_ok") * F.col("r_ok")), zero).alias("comparable"))
 
-    left = a.where(usable[0]).withColumnsRenamed({"v": "__l0", "n": "__n"})
-    right = b.where(usable[1]).withColumnsRenamed(
-        {"v": "__r0", "n": "__m", **{n: f"{n}__r" for n in names}})
-    on = [F.col(n) == F.col(f"{n}__r") for n in names]
-    if (slot := _nearby(kind, float(value))) is not None:
-        left = left.withColumn("__near", _slot_and_neighbours(slot(F.col("__l0")), kind))
-        right = right.withColumn("__slot", slot(F.col("__r0")))
-        on.append(F.col("__near") == F.col("__slot"))
-    within = X.within_tolerance(F.col("__l0"), F.col("__r0"), kind, value)
-    near = left.join(right, on).agg(
-        sum_where(within, F.col("__n") * F.col("__m")).alias("ok"))
+    near = pairs_within(a.where(usable[0]), b.where(usable[1]), names, kind, value)
     seen = totals.crossJoin(F.broadcast(near))
 
     def violations() -> DataFrame:
+        within = X.within_tolerance(F.col("__l0"), F.col("__r0"), kind, value)
         pairs_out = joined_pairs(source, target, pairs, [(column, column)])
         return pairs_out.where(~within).drop(*names, "__l0").withColumnRenamed(
             "__r0", f"target_{column}")

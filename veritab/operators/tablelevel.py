@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritab.functions import predicates as X
+from veritab.functions.nearby import pairs_within
 from veritab.functions.quantiles import quantile_row
 from veritab.functions.relations import (
     attach_one_row, conjunction, count_rows, key_pairs, key_tallies, match_keys, pair_counts,
@@ -215,6 +217,43 @@ def aggregation(check: Check, df: DataFrame, header_source: DataFrame) -> TableP
 
 # --- accuracy and statistics ------------------------------------------------
 
+def _reference_counts(check: Check, df: DataFrame, ref: DataFrame, keys, kind: str, value) -> DataFrame:
+    """Counts of ``against_reference`` from weighted values; no joined rows.
+
+    Per key the pairs are products of counts; only the pairs within tolerance are counted
+    value by value, equal values without a join and others among their neighbours.
+    """
+    names, v = [f"__k{i}" for i in range(len(keys))], F.col("v")
+    policy = check.param("null_handling", "fail")
+    own = df.select(*[F.col(s).alias(n) for n, (s, _) in zip(names, keys)], F.col(check.column).alias("v"))
+    own = (own.where(v.isNotNull()) if policy == "skip" else own).groupBy(*names, "v").agg(F.count("*").alias("n"))
+    trusted = ref.select(*[F.col(f"__r{i}").alias(n) for i, n in enumerate(names)], F.col("__trusted").alias("v"),
+                         F.col("__copies").alias("n")).where(conjunction([F.col(n).isNotNull() for n in names]))
+    usable = v.isNotNull() & (v != 0) if kind == "percentage" else v.isNotNull()
+    zero = F.lit(0).cast("long")
+
+    def some(cond: Column) -> Column:
+        return F.when(cond, F.col("n")).otherwise(zero)
+
+    sides = own.select(*names, F.col("n").alias("l"), some(v.isNotNull()).alias("l_val"), zero.alias("r"), zero.alias("r_val"), zero.alias("r_use"))
+    sides = sides.unionByName(trusted.select(
+        *names, zero.alias("l"), zero.alias("l_val"), F.col("n").alias("r"), some(v.isNotNull()).alias("r_val"), some(usable).alias("r_use")))
+    per_key = sides.groupBy(*names).agg(*[F.sum(c).alias(c) for c in ("l", "l_val", "r", "r_val", "r_use")])
+
+    def total(product: Column) -> Column:
+        return F.coalesce(F.sum(product), F.lit(0)).cast("long")
+
+    sums = per_key.agg(
+        total(F.col("l") * F.greatest("r", F.lit(1))).alias("total_rows"), total(F.col("l") * F.col("r_val")).alias("verified_rows"),
+        total(F.col("l_val") * F.col("r_use")).alias("comparable"), total((F.col("l") - F.col("l_val")) * F.col("r_val")).alias("missing"))
+    near = pairs_within(own.where(v.isNotNull()), trusted.where(usable), names, kind, value)
+    passed = F.col("ok") + F.col("missing") if policy == "pass" else F.col("ok")
+    return attach_one_row(sums, near).select(
+        "total_rows", passed.alias("passed_rows"), (F.col("comparable") - F.col("ok")).alias("failed_rows"),
+        F.lit(0).cast("long").alias("skipped_rows"), "verified_rows",
+        (F.col("total_rows") - F.col("verified_rows")).alias("unverifiable_rows"), F.col("verified_rows").alias("evaluated_rows"))
+
+
 def against_reference(check: Check, df: DataFrame, reference: DataFrame) -> TablePlan:
     """Left join to trusted values; rows without one are unverifiable."""
     column = check.column
@@ -235,14 +274,18 @@ def against_reference(check: Check, df: DataFrame, reference: DataFrame) -> Tabl
     verified = trusted.isNotNull()
     rule = RowRule(verified & verdict.passed, verified & verdict.failed, verdict.population)
     judged = joined if rule.population is None else joined.where(rule.population)
-    counts = judged.agg(
-        F.coalesce(F.sum(copies), F.lit(0)).alias("total_rows"),
-        sum_where(rule.passed, copies).alias("passed_rows"),
-        sum_where(rule.failed, copies).alias("failed_rows"),
-        F.lit(0).cast("long").alias("skipped_rows"),
-        sum_where(verified, copies).alias("verified_rows"),
-        sum_where(~verified, copies).alias("unverifiable_rows"),
-    ).withColumn("evaluated_rows", F.col("verified_rows"))
+    types = df.schema[column].dataType, reference.schema[check.param("reference_column", column)].dataType
+    if types[0] != types[1] and T.StringType() in types:  # text against a number: as the comparison casts it
+        counts = judged.agg(
+            F.coalesce(F.sum(copies), F.lit(0)).alias("total_rows"),
+            sum_where(rule.passed, copies).alias("passed_rows"),
+            sum_where(rule.failed, copies).alias("failed_rows"),
+            F.lit(0).cast("long").alias("skipped_rows"),
+            sum_where(verified, copies).alias("verified_rows"),
+            sum_where(~verified, copies).alias("unverifiable_rows"),
+        ).withColumn("evaluated_rows", F.col("verified_rows"))
+    else:
+        counts = _reference_counts(check, df, ref, keys, kind, value)
 
     def violations() -> DataFrame:
         repeated = failing(joined, rule).withColumn(

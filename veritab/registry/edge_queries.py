@@ -179,3 +179,12 @@ for _name, _tolerance, _scale in (("zero", 0, 1), ("tiny", 1e-9, 1_000_000)):
         count(CASE WHEN abs(a.v - b.v) > {_tolerance} THEN 1 END) AS failed_rows
         FROM (SELECT o_custkey, CAST(o_totalprice * {_scale} AS DOUBLE) AS v FROM orders) a JOIN
              (SELECT o_custkey, CAST((CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END) * {_scale} AS DOUBLE) AS v FROM orders) b USING (o_custkey)""")(_close)
+
+
+_REPEATED = Check("ACC-deviation.repeated", "accuracy", "tolerated_deviation", "orders", ("o_totalprice",), {
+    "reference_dataset": "ords", "reference_column": "booked", "join_keys": ["o_custkey"], "tolerance_type": "absolute", "tolerance_value": 5000})
+check_query(_REPEATED.check_id, _REPEATED, f"""
+    SELECT count(*) AS total_rows, count(CASE WHEN abs(a.o_totalprice - b.booked) <= 5000 THEN 1 END) AS passed_rows,
+           count(CASE WHEN abs(a.o_totalprice - b.booked) > 5000 THEN 1 END) AS failed_rows, 0 AS skipped_rows,
+           count(b.booked) AS evaluated_rows, count(b.booked) AS verified_rows, count(*) - count(b.booked) AS unverifiable_rows
+    FROM orders a LEFT JOIN {source('ords')} b ON a.o_custkey = b.o_custkey""", ("verified_rows", "unverifiable_rows"))
