@@ -50,6 +50,9 @@ LAYOUTS = [
     '<html><body><div><div y="1"><h2>#h</h2><div>#p</div><div>#p</div><div>#s</div></div></div></body></html>',
     '<html><body y="1"><div><p>#p</p><p>#p</p></div><div><p>#p</p></div></body></html>',
     '<p y="1">#p</p><p y="1">#p</p>',
+    # verse, lists and dialogue: content in many short pieces
+    '<html><body><nav><a href="#">#w</a><a href="#">#w</a></nav><article y="1">' + "<p>#w</p>" * 30 + "<p>#s</p>" * 10 + '</article><footer>#s</footer></body></html>',
+    '<html><body><main y="1"><h1>#h</h1><ul>' + "<li>#w</li>" * 15 + '</ul></main><aside><p>#p</p></aside></body></html>',
     # breadcrumbs, promotion, notice within main
     '<html><body><div class="breadcrumb"><a href="#">#w</a> <a href="#">#w</a></div><main y="1"><div class="notice alert" y="0"><p>#s</p></div><article><h1>#h</h1><p>#p</p><p>#p</p>'
     '<div class="promo sponsored" y="0"><p>#s</p><a href="#">#s</a></div><p>#p</p><nav y="0"><a href="#">#w</a><a href="#">#w</a></nav></article></main><div class="subscribe"><p>#s</p></div><footer><p>#p</p></footer></body></html>',
