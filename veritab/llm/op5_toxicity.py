@@ -23,7 +23,7 @@ from veritab.llm.scoring import BINS, features, isotonic, per_text, remainder, s
 from veritab.llm.words import LOWER, RANDOM, REACH, lookup, spans
 
 SAMPLE = 40_000
-LEXICON, LEAST_ROWS, LEAST_ODDS, LEAST_SURPRISE = 4096, 6, 2.0, 16.0
+LEXICON, LEAST_ROWS, LEAST_ODDS, LEAST_SURPRISE = 4096, 4, 2.0, 9.0
 PREFIXES = (4, 5, 6)
 NEAR = 8
 
