@@ -24,6 +24,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
@@ -34,8 +36,6 @@ SHINGLE, NEED = 3, (90, 100)  # link if 100 * intersection >= 90 * union
 BLANK = lookup(9, 10, 11, 12, 13, 32)
 RATIO, BLOCK, LEAF, FAN, WORDS = 1.5, 5000, 32, 8, 16
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-ROWS = "kind int, doc_id long, text_key long, n long, a long, b long, x long"
-DOC, KEY, LINK = 0, 1, 2
 
 
 def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,50 +102,58 @@ def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int]) -> tu
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def rows_of(texts: pa.Array, doc_ids: pa.Array, need: tuple[int, int], shingle: int) -> pa.RecordBatch:
-    """A row for each text, for each key met (once a batch), and for each link to the first set with a key."""
-    import xxhash
-
-    tokens, starts = token_sets(texts, shingle)
-    n = np.diff(starts)
+def fingerprints(tokens: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, which name it."""
     upto = [np.concatenate(([np.uint64(0)], np.cumsum(mix(tokens * k + k)))) for k in (A, C)]
-    a, b = ((u[starts[1:]] - u[starts[:-1]]).view(np.int64) for u in upto)
+    return [(u[starts[1:]] - u[starts[:-1]]).view(np.int64) for u in upto]
+
+
+def text_keys(texts: pa.Array) -> pa.Array:
     data, at = text_bytes(texts)
     raw = data.tobytes()
-    text_key = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], np.uint64).view(np.int64)
+    keys = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.array(np.array(keys, np.uint64).view(np.int64))
+
+
+def doc_rows(texts: pa.Array, doc_ids: pa.Array, shingle: int) -> pa.RecordBatch:
+    """The size and the name of each text's set."""
+    tokens, starts = token_sets(texts, shingle)
+    a, b = fingerprints(tokens, starts)
+    return pa.RecordBatch.from_arrays([doc_ids, text_keys(texts), pa.array(np.diff(starts).astype(np.int64)), pa.array(a), pa.array(b)],
+                                      ["doc_id", "text_key", "n", "a", "b"])
+
+
+def key_rows(texts: pa.Array, need: tuple[int, int], shingle: int) -> pa.RecordBatch:
+    """Each key met, once, with the first set that has it; and a link to that set from each other one (``lead``)."""
+    tokens, starts = token_sets(texts, shingle)
+    a, _ = fingerprints(tokens, starts)
     whose, key = keys_of(tokens, starts, need)
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
     leader = first[back]
-    linked = a[whose] != a[whose[leader]]
+    linked = np.flatnonzero(a[whose] != a[whose[leader]])
     links = np.unique(np.column_stack([a[whose[linked]], a[whose[leader[linked]]]]), axis=0)
     some = np.sort(first)
-    none = lambda k: pa.nulls(k, pa.int64())
-    columns = [
-        pa.array(np.repeat([DOC, KEY, LINK], [len(n), len(some), len(links)]).astype(np.int32)),
-        pa.concat_arrays([doc_ids.cast(pa.int64()), none(len(some) + len(links))]),
-        pa.concat_arrays([pa.array(text_key), none(len(some) + len(links))]),
-        pa.concat_arrays([pa.array(n.astype(np.int64)), none(len(some) + len(links))]),
-        pa.array(np.concatenate([a, a[whose[some]], links[:, 0]])),
-        pa.concat_arrays([pa.array(b), none(len(some) + len(links))]),
-        pa.concat_arrays([none(len(n)), pa.array(key[some].view(np.int64)), pa.array(links[:, 1])]),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "text_key", "n", "a", "b", "x"])
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([key[some].view(np.int64), links[:, 0]])), pa.array(np.concatenate([a[whose[some]], links[:, 0]])),
+        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(links[:, 1])])], ["x", "a", "lead"])
 
 
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, a) sorted: a link (u, v) from each set to the first with the same key."""
+    """Rows (x, a, lead) sorted by key: a link (u, v) from each set to the first with the same key, and the links as they came."""
     key = first = None
     for batch in batches:
+        known = batch.filter(batch["lead"].is_valid())
+        if len(known):
+            yield pa.RecordBatch.from_arrays([known["a"], known["lead"]], ["u", "v"])
+        batch = batch.filter(batch["lead"].is_null())
         x, a = batch["x"].to_numpy(), batch["a"].to_numpy()
         if not len(x):
             continue
         new = np.ones(len(x), bool)
         new[1:] = x[1:] != x[:-1]
-        if key is not None and x[0] == key:
-            new[0] = False
-        at = np.cumsum(new) - 1
-        heads = a[new]
-        lead = np.where(at >= 0, heads[np.maximum(at, 0)] if len(heads) else 0, first if first is not None else 0)
+        new[0] = key is None or x[0] != key
+        heads, at = a[new], np.cumsum(new) - 1
+        lead = np.where(at >= 0, heads[np.maximum(at, 0)] if len(heads) else 0, 0 if first is None else first)
         key, first = x[-1], lead[-1]
         far = a != lead
         if far.any():
@@ -256,11 +264,6 @@ def join_sets(sets: list[np.ndarray], need: tuple[int, int] = NEED, apart: np.nd
     return out
 
 
-def sets_column(texts: pa.Array, shingle: int) -> list[bytes]:
-    tokens, starts = token_sets(texts, shingle)
-    return [tokens[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
-
-
 def name(a: str = "a", b: str = "b") -> Column:
     return F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
@@ -278,16 +281,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 8 << 20):
-            yield rows_of(batch["text"], batch["doc_id"], need, shingle)
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            yield doc_rows(batch["text"], batch["doc_id"], shingle)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            yield key_rows(batch["text"], need, shingle)
 
-    rows = stored(docs.mapInArrow(first_pass, ROWS), "set-keys")
-    entries = rows.filter(F.col("kind") == DOC).select("doc_id", "text_key", "n", "a", "b")
-    keyed = rows.filter(F.col("kind") == KEY).select("x", "a").repartition("x").sortWithinPartitions("x", "a")
-    near = keyed.mapInArrow(leaders, "u long, v long").unionByName(
-        rows.filter(F.col("kind") == LINK).select(F.col("a").alias("u"), F.col("x").alias("v")))
-    hoods = stored(components(near), "neighbourhoods")
+    entries = stored(docs.mapInArrow(named, "doc_id long, text_key long, n long, a long, b long"), "set-names")
+    keys = docs.mapInArrow(keyed, "x long, a long, lead long").repartition("x").sortWithinPartitions("x", "a")
+    hoods = stored(components(keys.mapInArrow(leaders, "u long, v long")), "neighbourhoods")
 
     sets = entries.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("text_key", "doc_id")).alias("pick"))
     sets = sets.join(hoods.withColumnRenamed("node", "a"), "a").select("a", "b", "label", "pick.text_key", "pick.doc_id")
@@ -295,36 +299,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
     sets = stored(sets.join(counts, "label").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")), "sets-in-question")
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in sliced(batches):
+            packed = pa.array([pack(x.as_buffer()) if x.is_valid else pack(b"") for x in batch["text"].cast(pa.binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], packed, text_keys(batch["text"])], ["doc_id", "packed", "text_key"])
 
-        for batch in batches:
-            data, at = text_bytes(batch["text"])
-            raw = data.tobytes()
-            key = np.array([xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(key.view(np.int64))], ["doc_id", "text", "text_key"])
-
-    own = docs.mapInArrow(with_key, "doc_id long, text string, text_key long")
+    # Texts travel compressed, which is less than their tokens; the join is by shuffle at any size.
+    own = docs.mapInArrow(with_key, "doc_id long, packed binary, text_key long")
     match = own.text_key.eqNullSafe(sets.text_key) & own.doc_id.eqNullSafe(sets.doc_id)
-    picked = own.join(sets, match).select(own.text, sets.a, sets.b, sets.label, sets.blocks, sets.block)
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 8 << 20):
-            yield pa.RecordBatch.from_arrays(
-                [batch[c] for c in ("a", "b", "label", "blocks", "block")] + [pa.array(sets_column(batch["text"], shingle), pa.binary())],
-                ["a", "b", "label", "blocks", "block", "tokens"])
-
-    held = picked.mapInArrow(tokens, "a long, b long, label long, blocks int, block int, tokens binary")
+    held = own.join(sets.hint("merge"), match).select(own.packed, sets.a, sets.b, sets.label, sets.blocks, sets.block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = held.withColumn("other", other).select(
-        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "b", "tokens")
+        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "b", "packed")
 
     def links_of(unit: list[tuple]) -> list[tuple]:
         unit = list({(a, b): (block, a, b, t) for block, a, b, t in unit}.values())
         if len(unit) < 2:
             return []
+        unpack = zstandard.ZstdDecompressor().decompress
         marks = np.array([block for block, *_ in unit])
         apart = marks if len(set(marks.tolist())) > 1 else None
-        first = join_sets([np.frombuffer(t, np.uint64) for *_, t in unit], need, apart)
+        sets = []
+        for at in range(0, len(unit), 64):
+            tokens, starts = token_sets(pa.array([unpack(t) for *_, t in unit[at: at + 64]], pa.binary()), shingle)
+            sets += [tokens[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+        first = join_sets(sets, need, apart)
         return [(*unit[i][1:3], *unit[f][1:3]) for i, f in enumerate(first.tolist()) if i != f]
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +334,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b", "c", "d"])
 
         for batch in batches:
-            columns = [batch[c].to_pylist() for c in ("label", "i", "j", "block", "a", "b", "tokens")]
+            columns = [batch[c].to_pylist() for c in ("label", "i", "j", "block", "a", "b", "packed")]
             for label, i, j, *row in zip(*columns, strict=True):
                 if (label, i, j) != at:
                     if links := links_of(unit):
