@@ -50,19 +50,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def rest_of_text(batch: pa.RecordBatch, kept: list[tuple]) -> pa.RecordBatch:
-    """Texts without their repeats; characters that lost some of their bytes go with them."""
-    texts = [rest.decode(errors="ignore") if cuts else None for _, cuts, rest in kept]
-    old, rest = batch["text"].to_pylist(), batch["rest"]
-    texts = [o if new is None else new for o, new in zip(old, texts, strict=True)]
-    lang, source, size = (rest.field(k) for k in range(3))
-    size = [n if not cuts else len(text) for n, text, (_, cuts, _) in zip(size.to_pylist(), texts, kept, strict=True)]
+    """Texts without their repeats; characters that lost some of their bytes go with them. Null stays null."""
+    lang, source, size, null = (batch["rest"].field(k) for k in range(4))
+    texts = [None if none else rest.decode(errors="ignore") for (_, _, rest), none in zip(kept, null.to_pylist(), strict=True)]
+    size = [len(text) if cuts else n for n, text, (_, cuts, _) in zip(size.to_pylist(), texts, kept, strict=True)]
     return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(texts, pa.string()), lang, source, pa.array(size, pa.int64())], COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 400 that occur elsewhere are cut out; all documents stay."""
-    typed = docs.select(*COLUMNS).withColumn("n_chars", F.col("n_chars").cast("long"))
-    return without_repeats(typed, rest_of_text, DOCUMENTS, ["lang", "source", "n_chars"])
+    typed = docs.select(*COLUMNS).withColumns({"n_chars": F.col("n_chars").cast("long"), "no_text": F.col("text").isNull()})
+    return without_repeats(typed, rest_of_text, DOCUMENTS, ["lang", "source", "n_chars", "no_text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

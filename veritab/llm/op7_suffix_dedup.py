@@ -1,6 +1,6 @@
 """Removal of bytes in strings of 400 bytes that occur more than once, by merged suffix orders.
 
-1. Each text is cut into runs of windows (400-byte strings) that share their smallest 16-byte hash. Equal
+1. Each text is cut into runs of windows (400-byte strings) that share the smallest hash of their 64-byte pieces. Equal
    windows have the same smallest hash, so whatever repeats meets under one hash, wherever it stands.
    Runs are rows of hashes and positions, not of bytes.
 2. A run whose bytes occur more than once is repeated as a whole. A hash under which only one run's
@@ -25,12 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
 
-LENGTH, GRAM, STRIDE = 400, 16, 50
-BUCKET_BYTES, SHARD_BYTES = 4 << 20, 1 << 20
+LENGTH, GRAM, STRIDE = 400, 64, 50
+BUCKET_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 RUNS = "doc_id long, t1 long, t2 long, off long, n long, m long, c1 long, c2 long, own boolean"
 FOUND = "m long, c1 long, c2 long, spans array<struct<at:long,n:long>>"
 BYTE = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
@@ -185,19 +186,22 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
 
 
 def keyed_texts(docs: DataFrame, more: str | None = None) -> DataFrame:
-    """doc_id, text, ``more`` and t1, t2, the hash of the text."""
-    passed = ["doc_id", "text"] + ([more] if more else [])
+    """doc_id, ``more``, the text compressed (``packed``) and t1, t2, the hash of the text."""
+    passed = ["doc_id"] + ([more] if more else [])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in sliced(batches):
             data, at = text_bytes(batch["text"])
             raw = data.tobytes()
-            key = [both(xxhash.xxh3_128_intdigest(raw[i:j])) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            key = np.array(key, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch[c] for c in passed] + [pa.array(key[:, 0]), pa.array(key[:, 1])], [*passed, "t1", "t2"])
+            texts = [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            key = np.array([both(xxhash.xxh3_128_intdigest(t)) for t in texts], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in passed), pa.array([pack(t) for t in texts], pa.binary()), pa.array(key[:, 0]), pa.array(key[:, 1])],
+                [*passed, "packed", "t1", "t2"])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in passed]
-    return docs.select(*passed).mapInArrow(rows, ", ".join([*kinds, "t1 long", "t2 long"]))
+    return docs.select(*passed, "text").mapInArrow(rows, ", ".join([*kinds, "packed binary", "t1 long", "t2 long"]))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -205,7 +209,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     content = ["m", "c1", "c2"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, 2 << 20):
             yield runs_of(batch["text"], batch["doc_id"], length)
 
     runs = stored(docs.mapInArrow(first_pass, RUNS), "window-runs")
@@ -224,15 +228,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     match = own.doc_id.eqNullSafe(asked.doc_id) & (own.t1 == asked.t1) & (own.t2 == asked.t2)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches, 1 << 20):
             rows = []
-            for text, parts in zip(batch["text"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-                text = text.encode()
+            for packed, parts in zip(batch["packed"].to_pylist(), batch["parts"].to_pylist(), strict=True):
+                text = unpack(packed)
                 rows += [(p["m"], p["c1"], p["c2"], text[p["off"]: p["off"] + p["n"] - 1 + length]) for p in parts]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["m", "c1", "c2", "bytes"])
 
-    cuts = own.join(asked, match).select(own.text, asked.parts).mapInArrow(cut, "m long, c1 long, c2 long, bytes binary")
+    # Texts travel compressed and are joined by shuffle at any size.
+    cuts = own.join(asked.hint("merge"), match).select(own.packed, asked.parts).mapInArrow(cut, "m long, c1 long, c2 long, bytes binary")
 
     def search(bucket: list[tuple]) -> pa.RecordBatch | None:
         bucket = list({row[:3]: row for row in bucket}.values())
@@ -281,18 +287,19 @@ def united(spans: list[dict], length: int) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, make, schema: str, more: list[str] | None = None, length: int = LENGTH) -> DataFrame:
     """Rows of ``make(batch, kept)``: batch has doc_id and ``rest``, a struct of the columns ``more``;
-    kept has (size, removed runs, what is left) of each text."""
+    kept has (size, removed runs, what is left) of each text, as bytes."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.struct(*(more or [F.lit(None).cast("string").alias("none")])).alias("rest"))
     spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-    joined = keyed_texts(docs, "rest").join(spans, ["t1", "t2"], "left").select("doc_id", "text", "rest", "spans")
+    joined = keyed_texts(docs, "rest").join(spans.hint("merge"), ["t1", "t2"], "left").select("doc_id", "packed", "rest", "spans")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches, 1 << 20):
             kept = []
-            for text, found in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                data, cuts = (text or "").encode(), united(found, length)
+            for packed, found in zip(batch["packed"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                data, cuts = unpack(packed), united(found, length)
                 ends = [0, *[x for cut in cuts for x in cut], len(data)]
                 kept.append((len(data), cuts, b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))))
             yield make(batch, kept)
