@@ -70,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes, so that memory doesn't follow the length of texts."""
     for batch in batches:
         step = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
