@@ -5,7 +5,8 @@ The tree's upper levels are laid out over the cluster, its lower levels in the t
 1. *Size ranges.* Sets that can link differ in size by at most a tenth, so a pair belongs to the size
    class of its smaller set; a set is entered in its own class and, near the border, in the one below.
 2. *Token classes.* Sets that link differ in at most d tokens, d known for the class. Tokens are dealt
-   by a hash into d + 1 parts, so linked sets agree in one whole part: what a part holds is a key.
+   by a hash into more than d parts, so linked sets agree in a whole part: what a part holds is a key.
+   Tokens that many documents have, and empty parts, are kept out of keys without losing a link.
    Sets that share a key get a leader; leaders connect them into neighbourhoods, outside of which no
    set can have a link. A task passes a key on once, however many of its sets have it.
 3. *Bitmaps.* Within a neighbourhood a tree is built over the sets: each node holds the OR of its
@@ -34,6 +35,7 @@ from veritab.llm.words import LOWER, hashes, lookup, spans
 
 SHINGLE, NEED = 3, (90, 100)  # link if 100 * intersection >= 90 * union
 BLANK = lookup(9, 10, 11, 12, 13, 32)
+SAMPLE, MOST_COMMON = 4000, 4096  # documents sampled for tokens that many have; bound on those
 RATIO, BLOCK, LEAF, FAN, WORDS = 1.5, 5000, 32, 8, 16
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -67,24 +69,34 @@ def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.
 
 @lru_cache(maxsize=8)
 def classes(need: tuple[int, int], longest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size classes, and the number of parts of each."""
-    low, parts = [1], []
+    """Lower ends of the size classes, the number of parts of each, and how many of them may be empty."""
+    low, parts, spare = [1], [], []
     p, q = need
     while low[-1] < longest:
         low.append(int(low[-1] * RATIO) + 1)
         top = low[-1] - 1
         both = top + top * q // p  # sizes of the largest pair whose smaller set is in the class
-        parts.append(both * (q - p) // (q + p) + 1)
-    return np.array(low[:-1]), np.array(parts)
+        differ = both * (q - p) // (q + p)
+        spare.append((differ + 1) * 15 // 100 + 1)
+        parts.append(differ + 1 + spare[-1])
+    return np.array(low[:-1]), np.array(parts), np.array(spare)
 
 
-def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) for each part of each set in each of its classes."""
+def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) for each part of each set in each of its classes.
+
+    ``common`` tokens are left out of the parts; what two sets then differ in is no more than before. A
+    class has more parts than two sets can differ in, so linked sets agree in more parts than may be
+    empty: empty parts are keys only of sets that have more of them than that.
+    """
     size = np.diff(starts)
-    low, parts = classes(need)
+    low, parts, spare = classes(need)
     own = np.searchsorted(low, size, "right") - 1
     below = np.searchsorted(low, np.maximum(-(-size * need[0] // need[1]), 1), "right") - 1
     member = np.repeat(np.arange(len(size)), size)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] != tokens
+        member, tokens = member[rare], tokens[rare]
     value, deal = mix(tokens ^ C), mix(tokens + B) >> np.uint64(32)
     out = []
     for level in (own, below):
@@ -97,8 +109,12 @@ def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int]) -> tu
         total = np.zeros(int(n.sum()), np.uint64)
         np.add.at(total, slot, value[on])
         whose = np.repeat(np.arange(len(size)), n)
+        empty = np.bincount(slot, minlength=len(total)) == 0
+        many = np.bincount(whose[empty], minlength=len(size)) > spare[level]
         part = (np.arange(len(total)) - base[whose]).astype(np.uint64)
-        out.append((whose, mix(total + mix(part * A + level[whose].astype(np.uint64) * B + C))))
+        key = mix(total + mix(part * A + level[whose].astype(np.uint64) * B + C))
+        keep = ~empty | many[whose]
+        out.append((whose[keep], key[keep]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -123,11 +139,11 @@ def doc_rows(texts: pa.Array, doc_ids: pa.Array, shingle: int) -> pa.RecordBatch
                                       ["doc_id", "text_key", "n", "a", "b"])
 
 
-def key_rows(texts: pa.Array, need: tuple[int, int], shingle: int) -> pa.RecordBatch:
+def key_rows(texts: pa.Array, need: tuple[int, int], shingle: int, common: np.ndarray) -> pa.RecordBatch:
     """Each key met, once, with the first set that has it; and a link to that set from each other one (``lead``)."""
     tokens, starts = token_sets(texts, shingle)
     a, _ = fingerprints(tokens, starts)
-    whose, key = keys_of(tokens, starts, need)
+    whose, key = keys_of(tokens, starts, need, common)
     _, first, back = np.unique(key, return_index=True, return_inverse=True)
     leader = first[back]
     linked = np.flatnonzero(a[whose] != a[whose[leader]])
@@ -138,6 +154,23 @@ def key_rows(texts: pa.Array, need: tuple[int, int], shingle: int) -> pa.RecordB
         pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(links[:, 1])])], ["x", "a", "lead"])
 
 
+def common_tokens(docs: DataFrame, size: int, shingle: int) -> np.ndarray:
+    """Tokens of many documents, from a bounded sample; at most MOST_COMMON reach the driver.
+
+    They only keep chance agreement out of the keys: with any choice of them the join is exact.
+    """
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 2 << 20):
+            token, n = np.unique(token_sets(batch["text"], shingle)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    share = int(min(1.0, SAMPLE / max(size, 1)) * (1 << 20))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)
+    found = (sample.mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+             .filter(F.col("n") >= max(3, min(SAMPLE, size) * 3 // 1000)).orderBy(F.desc("n"), "token").limit(MOST_COMMON).collect())
+    return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
+
+
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, a, lead) sorted by key: a link (u, v) from each set to the first with the same key, and the links as they came."""
     key = first = None
@@ -287,9 +320,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2 << 20):
-            yield key_rows(batch["text"], need, shingle)
+            yield key_rows(batch["text"], need, shingle, common)
 
     entries = stored(docs.mapInArrow(named, "doc_id long, text_key long, n long, a long, b long"), "set-names")
+    common = common_tokens(docs, entries.count(), shingle)
     keys = docs.mapInArrow(keyed, "x long, a long, lead long").repartition("x").sortWithinPartitions("x", "a")
     hoods = stored(components(keys.mapInArrow(leaders, "u long, v long")), "neighbourhoods")
 
