@@ -108,6 +108,30 @@ def test_suffix_dedup_is_exact(spark):
     assert op7.removal_digest(docs.filter("false")).count() == 0
 
 
+def test_no_bucket_holds_a_hot_line(spark, monkeypatch):
+    """A line in many surroundings, with some repeats among them, and one long run of its own."""
+    rnd = random.Random(11)
+    fresh = lambda n: "".join(rnd.choices("abcdefghijklmnop ", k=n))
+    line, shared = fresh(180), fresh(260)
+    texts = [fresh(500) + line + (shared if i % 10 == 0 else fresh(260)) + fresh(rnd.randrange(300)) for i in range(120)]
+    texts += [texts[3], "ab" * 3000, "ab" * 2500 + line + fresh(300), None, ""]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = docs.collect()
+    limit, held = 20_000, Counter()
+    for run in op7.runs_of(pa.array([r.text for r in rows]), pa.array(range(len(rows)))).to_pylist():
+        held[run["m"]] += run["n"] + 399
+    assert max(held.values()) > limit  # the line alone is more than a bucket
+    monkeypatch.setattr(op7, "BUCKET_BYTES", limit)
+    monkeypatch.setattr(op7, "BATCH_WINDOWS", 1000)
+    asked = []
+    counted = op7.counted_windows
+    monkeypatch.setattr(op7, "counted_windows", lambda hot, length: asked.append(hot.groupBy("m").count().collect()) or counted(hot, length))
+    got = op7.removal_digest(docs).collect()
+    expected = sorted(str((r.doc_id, *e)) for r, e in zip(rows, brute_removed([r.text for r in rows]), strict=True))
+    assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == expected
+    assert asked and max(r["count"] for r in asked[0]) > 100
+
+
 # --- op8 ---
 def brute_groups(sets, need):
     root = list(range(len(sets)))

@@ -5,7 +5,9 @@
    Runs are rows of hashes and positions, not of bytes.
 2. A run whose bytes occur more than once is repeated as a whole. A hash under which only one run's
    bytes occur has no other repeats. What remains, one run for each distinct content, is fetched as
-   bytes and dealt into buckets by its hash.
+   bytes and dealt into buckets by its hash. A hash whose runs are longer than a bucket altogether (a line
+   in many surroundings) is dealt again by the windows themselves: their hashes are counted by a
+   shuffle that adds up before it sends, so no task holds what is under one hash.
 3. In a bucket, suffixes are read in symbols of ``STRIDE`` bytes, so that 400 bytes are eight symbols and
    a string is ``STRIDE`` interleaved sequences. Shards of the bucket are sorted on their own and give
    their Burrows-Wheeler transforms. The transforms are merged by refining their interleaving: each
@@ -14,7 +16,7 @@
    together have a common prefix of 400 bytes: the repeated intervals. Suffixes are never sorted anew.
 4. Repeated windows go back to all places of their run's bytes, and are united per text.
 
-Strings are compared as 64-bit (pieces) and 128-bit (runs, texts) hashes.
+Strings are compared as 64-bit (pieces) and 128-bit (runs, texts, counted windows) hashes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,11 @@ LENGTH, GRAM, STRIDE = 400, 64, 50
 BUCKET_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 RUNS = "doc_id long, t1 long, t2 long, off long, n long, m long, c1 long, c2 long, own boolean"
 FOUND = "m long, c1 long, c2 long, spans array<struct<at:long,n:long>>"
+WINDOWS = "m long, c1 long, c2 long, at long, w1 long, w2 long"
+#: Windows of one batch of counted windows.
+BATCH_WINDOWS = 1 << 16
 BYTE = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
+BYTE_2 = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64, endpoint=False)
 STEP = np.random.default_rng(8).integers(1, 2**64, 64, np.uint64, endpoint=False) | np.uint64(1)
 
 
@@ -43,9 +49,9 @@ def both(x: int) -> tuple[int, int]:
     return tuple(int.from_bytes(x.to_bytes(16, "little")[k: k + 8], "little", signed=True) for k in (0, 8))
 
 
-def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, length: int, values: np.ndarray = BYTE) -> np.ndarray:
     """A hash of the ``length`` bytes from each position on, put together from powers of two."""
-    power, out, done, size = BYTE[data], None, 0, 1
+    power, out, done, size = values[data], None, 0, 1
     for k in range(length.bit_length()):
         if length >> k & 1:
             out = power if out is None else out[: len(power) - done] * STEP[32 + k] + power[done:] if len(power) > done else power[:0]
@@ -185,6 +191,56 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     return [often[a: a + max(n - length + 1, 0)] for a, n in zip(starts[:-1].tolist(), size.tolist(), strict=True)]
 
 
+def window_hashes(batch: pa.RecordBatch, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the runs ``batch(m, c1, c2, bytes)``: where in its run it begins, and its hash."""
+    data, starts = text_bytes(batch["bytes"])
+    for k, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+        for a in range(i, j - length + 1, BATCH_WINDOWS):
+            piece = data[a: min(a + BATCH_WINDOWS - 1 + length, j)]
+            w1, w2 = (gram_hashes(piece, length, values).view(np.int64) for values in (BYTE, BYTE_2))
+            same = batch.slice(k, 1).select(["m", "c1", "c2"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(column[0], len(w1)) for column in same.columns] + [pa.array(np.arange(a - i, a - i + len(w1))), pa.array(w1), pa.array(w2)],
+                ["m", "c1", "c2", "at", "w1", "w2"])
+
+
+def counted_windows(hot: DataFrame, length: int = LENGTH) -> DataFrame:
+    """What ``repeated`` finds, for runs ``hot(m, c1, c2, bytes)`` of any number under one m: rows as FOUND.
+
+    A window occurs more than once if its hash is counted more than once; no group is held in one task.
+    """
+    content = ["m", "c1", "c2"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1 << 20):
+            held, rows = [], 0
+            for part in window_hashes(batch, length):
+                held.append(part)
+                rows += len(part)
+                if rows >= BATCH_WINDOWS:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, rows = [], 0
+            if rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    each = hot.mapInArrow(windows, WINDOWS)
+    key = ["m", "w1", "w2"]
+    often = each.groupBy(*key).count().filter("count > 1").select(*key)
+    places = each.join(often.hint("merge"), key).groupBy(*content).agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+        for batch in sliced(batches, 1 << 20):
+            spans = []
+            for at in batch["at"]:
+                at = at.values.to_numpy()
+                parts = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+                spans.append([{"at": int(x[0]), "n": len(x)} for x in parts])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in content), pa.array(spans, kind)], [*content, "spans"])
+
+    return places.mapInArrow(joined, FOUND)
+
+
 def keyed_texts(docs: DataFrame, more: str | None = None) -> DataFrame:
     """doc_id, ``more``, the text compressed (``packed``) and t1, t2, the hash of the text."""
     passed = ["doc_id"] + ([more] if more else [])
@@ -216,14 +272,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     contents = runs.groupBy(*content).agg(
         F.count("*").alias("places"), F.min(F.struct("doc_id", "t1", "t2", "off")).alias("pick"), F.max("n").alias("n"), F.max("own").alias("own"))
     contents = stored(contents, "window-contents")
-    kinds = contents.groupBy("m").agg(F.count("*").alias("kinds"))
+    kinds = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("held"))
     # what may hold repeats that its own copies don't show
     open_ = stored(contents.join(kinds.filter("kinds > 1"), "m", "left").filter("kinds > 1 or own").select(
-        *content, "n", "pick.doc_id", "pick.t1", "pick.t2", "pick.off"), "open-contents")
-    total = open_.agg(F.sum(F.col("n") + length)).first()[0] or 0
+        *content, "n", "pick.doc_id", "pick.t1", "pick.t2", "pick.off", F.expr(f"coalesce(held, n + {length - 1}) > {BUCKET_BYTES}").alias("hot")), "open-contents")
+    total, any_hot = open_.agg(F.sum(F.expr(f"if(hot, 0, n + {length})")), F.max("hot")).first()
+    total = total or 0
     buckets = max(1, -(-int(total) // BUCKET_BYTES))
 
-    asked = open_.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct(*content, "off", "n")).alias("parts"))
+    asked = open_.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct(*content, "off", "n", "hot")).alias("parts"))
     own = keyed_texts(docs)
     match = own.doc_id.eqNullSafe(asked.doc_id) & (own.t1 == asked.t1) & (own.t2 == asked.t2)
 
@@ -233,12 +290,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             rows = []
             for packed, parts in zip(batch["packed"].to_pylist(), batch["parts"].to_pylist(), strict=True):
                 text = unpack(packed)
-                rows += [(p["m"], p["c1"], p["c2"], text[p["off"]: p["off"] + p["n"] - 1 + length]) for p in parts]
+                rows += [(p["m"], p["c1"], p["c2"], p["hot"], text[p["off"]: p["off"] + p["n"] - 1 + length]) for p in parts]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["m", "c1", "c2", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["m", "c1", "c2", "hot", "bytes"])
 
     # Texts travel compressed and are joined by shuffle at any size.
-    cuts = own.join(asked.hint("merge"), match).select(own.packed, asked.parts).mapInArrow(cut, "m long, c1 long, c2 long, bytes binary")
+    cuts = own.join(asked.hint("merge"), match).select(own.packed, asked.parts).mapInArrow(cut, "m long, c1 long, c2 long, hot boolean, bytes binary")
+    if any_hot:
+        cuts = stored(cuts, "open-runs")
 
     def search(bucket: list[tuple]) -> pa.RecordBatch | None:
         bucket = list({row[:3]: row for row in bucket}.values())
@@ -266,8 +325,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if held and (out := search(held)):
             yield out
 
-    dealt = cuts.withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(buckets)).cast("int")).repartition("bucket").sortWithinPartitions("bucket")
-    partly = stored(dealt.mapInArrow(searched, FOUND), "repeated-windows")
+    dealt = cuts.filter("not hot").select(*content, "bytes", F.pmod(F.xxhash64("m"), F.lit(buckets)).cast("int").alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(searched, FOUND)
+    if any_hot:
+        # a content is fetched once for each place of equal doc_id, text and offset
+        found = found.unionByName(counted_windows(cuts.filter("hot").select(*content, "bytes").dropDuplicates(content), length))
+    partly = stored(found, "repeated-windows")
     whole = contents.filter("places > 1").select(*content, F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n").alias("n"))).alias("spans"))
     spans = whole.unionByName(partly.join(whole.select(*content), content, "left_anti"))
     places = runs.select("t1", "t2", "off", *content).distinct()
