@@ -22,6 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Near duplicates share 80 of 100 shingles of five words.
 SHINGLE, SIMILARITY = 5, (80, 100)
+#: Passages of over 50 words that occur elsewhere are cut out, also where they are shorter than op7's 400 bytes.
+PASSAGE_WORDS = 51
 #: Ids to leave out are broadcast up to this number (8 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -58,9 +60,9 @@ def rest_of_text(batch: pa.RecordBatch, kept: list[tuple]) -> pa.RecordBatch:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 400 that occur elsewhere are cut out; all documents stay."""
+    """Passages of ``PASSAGE_WORDS`` words and strings of 400 bytes that occur elsewhere are cut out; all documents stay."""
     typed = docs.select(*COLUMNS).withColumns({"n_chars": F.col("n_chars").cast("long"), "no_text": F.col("text").isNull()})
-    return without_repeats(typed, rest_of_text, DOCUMENTS, ["lang", "source", "n_chars", "no_text"])
+    return without_repeats(typed, rest_of_text, DOCUMENTS, ["lang", "source", "n_chars", "no_text"], words=PASSAGE_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

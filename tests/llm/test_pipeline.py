@@ -1,11 +1,13 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm.samples import odd_documents
-from tests.llm.test_repeats_and_joins import brute_groups, brute_hits, brute_removed
+from tests.llm.test_repeats_and_joins import brute_groups, brute_hits, brute_passages, brute_removed
+from veritab.llm import op7_suffix_dedup as op7
 
 SF = "/root/testdata/sf0.01"
 
@@ -67,3 +69,29 @@ def test_stages_against_brute_force(spark):
     sample = sorted(set(before) - set(after)) + sorted(after)[:40]
     assert all((brute_hits(before[d], items)[1] > 0) == (d not in after) for d in sample)
     assert stages["packing"](spark, docs, SF).select(F.countDistinct("doc_id")).first()[0] == len(after)
+
+
+@pytest.mark.parametrize("bucket", [op7.BUCKET_BYTES, 300])
+def test_passages_of_over_50_words_are_cut(spark, monkeypatch, bucket):
+    """51 words repeat in fewer than 400 bytes; 50 words stay."""
+    rnd = random.Random(51)
+    fresh = lambda n: [f"{rnd.randrange(10**4)}" for _ in range(n)]
+    short, passage, wide = fresh(50), fresh(51), fresh(70)
+    assert len(" ".join(wide).encode()) < 400
+    texts = [" ".join(fresh(rnd.randrange(80)) + p + fresh(rnd.randrange(80))) for p in (short, passage, wide) for _ in range(6)]
+    texts += ["\n".join(["été", *passage, "x"]), " ".join(passage), " ".join(["zz"] * 60), "one " * 51, "漢字" * 80, "漢字" * 80, "", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], pipeline.DOCUMENTS).repartition(3)
+    monkeypatch.setattr(op7, "BUCKET_BYTES", bucket)  # 300 units: windows under a hot hash are counted
+    got = {r.doc_id: r.text for r in pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert [got[i] or "" for i in range(len(texts))] == brute_passages(texts)
+    assert got[0] == texts[0] and len(got[6].split()) == len(texts[6].split()) - 51
+    assert got[len(texts) - 1] is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not there")
+def test_passages_of_documents_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(rows)
+    got = {r.doc_id: r.text for r in pipeline.suffix_dedup(spark, docs, SF).collect()}
+    assert [got[d] for d in order] == brute_passages([rows[d] for d in order])

@@ -125,13 +125,34 @@ def test_no_bucket_holds_a_hot_line(spark, monkeypatch):
     monkeypatch.setattr(op7, "BATCH_WINDOWS", 1000)
     asked = []
     counted = op7.counted_windows
-    monkeypatch.setattr(op7, "counted_windows", lambda hot, length: asked.append(hot.groupBy("m").count().collect()) or counted(hot, length))
+    monkeypatch.setattr(op7, "counted_windows", lambda hot, *a: asked.append(hot.groupBy("m").count().collect()) or counted(hot, *a))
     got = op7.removal_digest(docs).collect()
     expected = sorted(str((r.doc_id, *e)) for r, e in zip(rows, brute_removed([r.text for r in rows]), strict=True))
     assert sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == expected
     assert asked and max(r["count"] for r in asked[0]) > 100
 
 
+def brute_passages(texts, words=51, length=400):
+    """What is left of each text without passages of ``words`` words and strings of ``length`` bytes that occur elsewhere."""
+    import re
+    data = [(t or "").encode() for t in texts]
+    own = [[(w.start(), w.end(), w.group()) for w in re.finditer(rb"[^\x20\x09-\x0D]+", d)] for d in data]
+    passage = lambda w, i: tuple(x[2] for x in w[i: i + words])
+    seen = Counter(passage(w, i) for w in own for i in range(len(w) - words + 1))
+    strings = Counter(d[i: i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d, w in zip(data, own, strict=True):
+        gone = np.zeros(len(d), bool)
+        for i in range(len(w) - words + 1):
+            if seen[passage(w, i)] > 1:
+                gone[w[i][0]: w[i + words - 1][1]] = True
+        for i in range(len(d) - length + 1):
+            if strings[d[i: i + length]] > 1:
+                gone[i: i + length] = True
+        out.append(np.frombuffer(d, np.uint8)[~gone].tobytes().decode(errors="ignore"))
+    return out
+
+
 # --- op8 ---
 def brute_groups(sets, need):
     root = list(range(len(sets)))

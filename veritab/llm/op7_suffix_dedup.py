@@ -16,13 +16,17 @@
    together have a common prefix of 400 bytes: the repeated intervals. Suffixes are never sorted anew.
 4. Repeated windows go back to all places of their run's bytes, and are united per text.
 
-Strings are compared as 64-bit (pieces) and 128-bit (runs, texts, counted windows) hashes.
+The same goes for passages of a number of words: units are then words (runs without ASCII blanks, compared as
+bytes and known by 64-bit hashes) instead of bytes, and lengths and places count words.
+
+Strings are compared as 64-bit (words, pieces) and 128-bit (runs, texts, counted windows) hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +35,30 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
+from veritab.llm.words import hashes, lookup, spans as word_spans
 
 LENGTH, GRAM, STRIDE = 400, 64, 50
 BUCKET_BYTES, SHARD_BYTES = 1 << 20, 1 << 18
 RUNS = "doc_id long, t1 long, t2 long, off long, n long, m long, c1 long, c2 long, own boolean"
 FOUND = "m long, c1 long, c2 long, spans array<struct<at:long,n:long>>"
-WINDOWS = "m long, c1 long, c2 long, at long, w1 long, w2 long"
+COUNTED = "m long, c1 long, c2 long, at long, w1 long, w2 long"
 #: Windows of one batch of counted windows.
 BATCH_WINDOWS = 1 << 16
 BYTE = np.random.default_rng(7).integers(1, 2**64, 256, np.uint64, endpoint=False)
 BYTE_2 = np.random.default_rng(9).integers(1, 2**64, 256, np.uint64, endpoint=False)
 STEP = np.random.default_rng(8).integers(1, 2**64, 64, np.uint64, endpoint=False) | np.uint64(1)
+BLANK = lookup(9, 10, 11, 12, 13, 32)
+
+
+class Unit(NamedTuple):
+    """What lengths and places count: bytes, or words as 8-byte hashes. Lengths are multiples of ``stride``."""
+
+    gram: int
+    stride: int
+    kind: type
+
+
+BYTES, WORDS = Unit(GRAM, STRIDE, np.uint8), Unit(8, 17, np.uint64)
 
 
 def both(x: int) -> tuple[int, int]:
@@ -49,9 +66,18 @@ def both(x: int) -> tuple[int, int]:
     return tuple(int.from_bytes(x.to_bytes(16, "little")[k: k + 8], "little", signed=True) for k in (0, 8))
 
 
+def units_of(data: np.ndarray, starts: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """The units of texts, and where in them each text begins (with the end)."""
+    if unit.kind is np.uint8:
+        return data, starts
+    blank = BLANK[data]
+    begin, stop = word_spans(blank, starts)
+    return hashes(data, blank, begin, stop), np.searchsorted(begin, starts)
+
+
 def gram_hashes(data: np.ndarray, length: int, values: np.ndarray = BYTE) -> np.ndarray:
-    """A hash of the ``length`` bytes from each position on, put together from powers of two."""
-    power, out, done, size = values[data], None, 0, 1
+    """A hash of the ``length`` units from each position on, put together from powers of two."""
+    power, out, done, size = values[data] if data.dtype == np.uint8 else mix(data ^ values[0]), None, 0, 1
     for k in range(length.bit_length()):
         if length >> k & 1:
             out = power if out is None else out[: len(power) - done] * STEP[32 + k] + power[done:] if len(power) > done else power[:0]
@@ -75,12 +101,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1: width - 1 + n])
 
 
-def runs_of(texts: pa.Array, doc_ids: pa.Array, length: int = LENGTH) -> pa.RecordBatch:
+def runs_of(texts: pa.Array, doc_ids: pa.Array, length: int = LENGTH, unit: Unit = BYTES) -> pa.RecordBatch:
     """Runs of windows under one smallest hash; ``own`` if a run could repeat within itself."""
-    data, starts = text_bytes(texts)
+    data, at = text_bytes(texts)
     raw = data.tobytes()
-    gram = gram_hashes(data, GRAM)
-    least = sliding_least(gram, length - GRAM + 1)
+    data, starts = units_of(data, at, unit)
+    gram = gram_hashes(data, unit.gram)
+    least = sliding_least(gram, length - unit.gram + 1)
     size = np.diff(starts)
     inside = np.zeros(len(least) + 1, np.int8)
     long = size >= length
@@ -98,10 +125,10 @@ def runs_of(texts: pa.Array, doc_ids: pa.Array, length: int = LENGTH) -> pa.Reco
     doc = np.searchsorted(starts, begin, "right") - 1
     content, text, own = [], {}, []
     for b, k, d, m in zip(begin.tolist(), n.tolist(), doc.tolist(), least[begin].tolist(), strict=True):
-        content.append(both(xxhash.xxh3_128_intdigest(raw[b: b + k - 1 + length])))
-        own.append(int(np.count_nonzero(gram[b: b + k + length - GRAM] == m)) > 1)
+        content.append(both(xxhash.xxh3_128_intdigest(data[b: b + k - 1 + length].tobytes())))
+        own.append(int(np.count_nonzero(gram[b: b + k + length - unit.gram] == m)) > 1)
         if d not in text:
-            text[d] = both(xxhash.xxh3_128_intdigest(raw[starts[d]: starts[d + 1]]))
+            text[d] = both(xxhash.xxh3_128_intdigest(raw[at[d]: at[d + 1]]))
     c = np.array(content, np.int64).reshape(-1, 2)
     t = np.array([text[d] for d in doc.tolist()], np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
@@ -111,17 +138,17 @@ def runs_of(texts: pa.Array, doc_ids: pa.Array, length: int = LENGTH) -> pa.Reco
 
 
 class Shard:
-    """Suffixes of some strings in symbols of STRIDE bytes, sorted by their first ``depth`` symbols.
+    """Suffixes of some strings in symbols of ``stride`` units, sorted by their first ``depth`` symbols.
 
-    ``symbol[p]`` is that of the bytes from position p on, 0 (an end) where fewer than STRIDE are left;
+    ``symbol[p]`` is that of the units from position p on, 0 (an end) where fewer than ``stride`` are left;
     every position of a string and the one behind it is a suffix. ``transform`` holds, in sorted order,
     the symbol before each suffix.
     """
 
-    def __init__(self, symbol: np.ndarray, ends: np.ndarray, begins: np.ndarray, depth: int):
+    def __init__(self, symbol: np.ndarray, ends: np.ndarray, begins: np.ndarray, depth: int, stride: int = STRIDE):
         n = len(symbol)
         here = np.arange(n)
-        after = here + STRIDE
+        after = here + stride
         after[symbol == 0] = n  # behind an end is nothing
         rank = np.append(np.unique(symbol, return_inverse=True)[1] + 1, 0)
         rank[:n][symbol == 0] = 0
@@ -131,8 +158,8 @@ class Shard:
             rank = np.unique(joint, return_inverse=True)[1]
             jump, reach = jump[jump], reach * 2
         self.order = np.argsort(rank[:n], kind="stable")
-        before = here - STRIDE
-        before[here < begins + STRIDE] = -1
+        before = here - stride
+        before[here < begins + stride] = -1
         self.transform = np.where(before < 0, 0, symbol[before])[self.order]
 
 
@@ -159,17 +186,18 @@ def merged(shards: list[Shard], depth: int) -> list[np.ndarray]:
     return [group[whose == k] for k in range(len(shards))]
 
 
-def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each string, which windows (by their first byte) occur anywhere else in the strings."""
-    depth = length // STRIDE
-    size = np.array([len(s) for s in strings], np.int64)
+def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHARD_BYTES, unit: Unit = BYTES) -> list[np.ndarray]:
+    """For each string, which windows (by their first unit) occur anywhere else in the strings."""
+    depth, stride = length // unit.stride, unit.stride
+    width = np.dtype(unit.kind).itemsize
+    size = np.array([len(s) // width for s in strings], np.int64)
     starts = np.concatenate(([0], np.cumsum(size + 1)))
-    data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+    data = np.frombuffer(bytes(width).join(strings) + bytes(width), unit.kind)
     gram = np.zeros(len(data), np.uint64)
-    hashed = gram_hashes(data, STRIDE)
+    hashed = gram_hashes(data, stride)
     gram[: len(hashed)] = hashed
     which = np.repeat(np.arange(len(strings)), size + 1)
-    whole = np.arange(len(data)) + STRIDE <= starts[which] + size[which]
+    whole = np.arange(len(data)) + stride <= starts[which] + size[which]
     symbol = np.zeros(len(data), np.int64)
     symbol[whole] = np.unique(gram[whole], return_inverse=True)[1] + 1
     cuts, held = [0], 0
@@ -182,7 +210,7 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     shards = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         i, j = starts[a], starts[b]
-        shards.append(Shard(symbol[i:j], None, np.repeat(starts[a:b] - i, size[a:b] + 1), depth))
+        shards.append(Shard(symbol[i:j], None, np.repeat(starts[a:b] - i, size[a:b] + 1), depth, stride))
     group = np.zeros(len(data), np.int64)
     for a, shard, own in zip(cuts[:-1], shards, merged(shards, depth), strict=True):
         group[starts[a] + shard.order] = own
@@ -191,9 +219,10 @@ def repeated(strings: list[bytes], length: int = LENGTH, shard_bytes: int = SHAR
     return [often[a: a + max(n - length + 1, 0)] for a, n in zip(starts[:-1].tolist(), size.tolist(), strict=True)]
 
 
-def window_hashes(batch: pa.RecordBatch, length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+def window_hashes(batch: pa.RecordBatch, length: int = LENGTH, unit: Unit = BYTES) -> Iterator[pa.RecordBatch]:
     """A row for each window of the runs ``batch(m, c1, c2, bytes)``: where in its run it begins, and its hash."""
     data, starts = text_bytes(batch["bytes"])
+    data, starts = data.copy().view(unit.kind), starts // np.dtype(unit.kind).itemsize
     for k, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
         for a in range(i, j - length + 1, BATCH_WINDOWS):
             piece = data[a: min(a + BATCH_WINDOWS - 1 + length, j)]
@@ -204,7 +233,7 @@ def window_hashes(batch: pa.RecordBatch, length: int = LENGTH) -> Iterator[pa.Re
                 ["m", "c1", "c2", "at", "w1", "w2"])
 
 
-def counted_windows(hot: DataFrame, length: int = LENGTH) -> DataFrame:
+def counted_windows(hot: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -> DataFrame:
     """What ``repeated`` finds, for runs ``hot(m, c1, c2, bytes)`` of any number under one m: rows as FOUND.
 
     A window occurs more than once if its hash is counted more than once; no group is held in one task.
@@ -214,7 +243,7 @@ def counted_windows(hot: DataFrame, length: int = LENGTH) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1 << 20):
             held, rows = [], 0
-            for part in window_hashes(batch, length):
+            for part in window_hashes(batch, length, unit):
                 held.append(part)
                 rows += len(part)
                 if rows >= BATCH_WINDOWS:
@@ -223,7 +252,7 @@ def counted_windows(hot: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    each = hot.mapInArrow(windows, WINDOWS)
+    each = hot.mapInArrow(windows, COUNTED)
     key = ["m", "w1", "w2"]
     often = each.groupBy(*key).count().filter("count > 1").select(*key)
     places = each.join(often.hint("merge"), key).groupBy(*content).agg(F.sort_array(F.collect_list("at")).alias("at"))
@@ -260,13 +289,13 @@ def keyed_texts(docs: DataFrame, more: str | None = None) -> DataFrame:
     return docs.select(*passed, "text").mapInArrow(rows, ", ".join([*kinds, "packed binary", "t1 long", "t2 long"]))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) -> DataFrame:
     """t1, t2 (hash of a text) and its removable spans (at, n windows), not yet united."""
     content = ["m", "c1", "c2"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2 << 20):
-            yield runs_of(batch["text"], batch["doc_id"], length)
+            yield runs_of(batch["text"], batch["doc_id"], length, unit)
 
     runs = stored(docs.mapInArrow(first_pass, RUNS), "window-runs")
     contents = runs.groupBy(*content).agg(
@@ -289,8 +318,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in sliced(batches, 1 << 20):
             rows = []
             for packed, parts in zip(batch["packed"].to_pylist(), batch["parts"].to_pylist(), strict=True):
-                text = unpack(packed)
-                rows += [(p["m"], p["c1"], p["c2"], p["hot"], text[p["off"]: p["off"] + p["n"] - 1 + length]) for p in parts]
+                text = np.frombuffer(unpack(packed), np.uint8)
+                text, _ = units_of(text, np.array([0, len(text)]), unit)
+                rows += [(p["m"], p["c1"], p["c2"], p["hot"], text[p["off"]: p["off"] + p["n"] - 1 + length].tobytes()) for p in parts]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["m", "c1", "c2", "hot", "bytes"])
 
@@ -302,7 +332,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def search(bucket: list[tuple]) -> pa.RecordBatch | None:
         bucket = list({row[:3]: row for row in bucket}.values())
         rows = []
-        for (m, c1, c2, _), found in zip(bucket, repeated([row[3] for row in bucket], length), strict=True):
+        for (m, c1, c2, _), found in zip(bucket, repeated([row[3] for row in bucket], length, unit=unit), strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate(([0], found.astype(np.int8), [0]))))
             if len(edge):
                 rows.append((m, c1, c2, [{"at": int(a), "n": int(b - a)} for a, b in zip(edge[::2], edge[1::2], strict=True)]))
@@ -329,7 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = dealt.mapInArrow(searched, FOUND)
     if any_hot:
         # a content is fetched once for each place of equal doc_id, text and offset
-        found = found.unionByName(counted_windows(cuts.filter("hot").select(*content, "bytes").dropDuplicates(content), length))
+        found = found.unionByName(counted_windows(cuts.filter("hot").select(*content, "bytes").dropDuplicates(content), length, unit))
     partly = stored(found, "repeated-windows")
     whole = contents.filter("places > 1").select(*content, F.array(F.struct(F.lit(0).cast("long").alias("at"), F.col("n").alias("n"))).alias("spans"))
     spans = whole.unionByName(partly.join(whole.select(*content), content, "left_anti"))
@@ -337,24 +367,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return places.join(spans, content).select("t1", "t2", F.inline(F.transform("spans", lambda s: F.struct((F.col("off") + s["at"]).alias("at"), s["n"].alias("n")))))
 
 
-def united(spans: list[dict], length: int) -> list[tuple[int, int]]:
-    """Maximal removed runs (begin, end) of a text."""
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs (begin, end) of those that meet."""
     out: list[tuple[int, int]] = []
-    for span in sorted((s["at"], s["at"] + s["n"] - 1 + length) for s in spans or ()):
-        if out and span[0] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], span[1]))
+    for run in sorted(runs):
+        if out and run[0] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], run[1]))
         else:
-            out.append(span)
+            out.append(run)
     return out
 
 
-def without_repeats(docs: DataFrame, make, schema: str, more: list[str] | None = None, length: int = LENGTH) -> DataFrame:
+def removed(data: bytes, spans: list[dict] | None, length: int, words: int) -> list[tuple[int, int]]:
+    """Maximal removed runs (begin, end) of a text, in bytes: of words from the first's begin to the last's end."""
+    runs = [(s["at"], s["at"] + s["n"] - 1 + length) for s in spans or () if not s["words"]]
+    passages = [(s["at"], s["at"] + s["n"] - 1 + words) for s in spans or () if s["words"]]
+    if passages:
+        text = np.frombuffer(data, np.uint8)
+        begin, stop = word_spans(BLANK[text], np.array([0, len(text)]))
+        runs += [(int(begin[a]), int(stop[b - 1])) for a, b in passages]
+    return united(runs)
+
+
+def without_repeats(docs: DataFrame, make, schema: str, more: list[str] | None = None, length: int = LENGTH, words: int = 0) -> DataFrame:
     """Rows of ``make(batch, kept)``: batch has doc_id and ``rest``, a struct of the columns ``more``;
-    kept has (size, removed runs, what is left) of each text, as bytes."""
+    kept has (size, removed runs, what is left) of each text, as bytes. ``words``: passages of so many
+    words that occur elsewhere go too, whatever blanks are between the words."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.struct(*(more or [F.lit(None).cast("string").alias("none")])).alias("rest"))
-    spans = repeated_spans(docs.select("doc_id", "text"), length).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
+    spans = repeated_spans(docs.select("doc_id", "text"), length).withColumn("words", F.lit(False))
+    if words:
+        spans = spans.unionByName(repeated_spans(docs.select("doc_id", "text"), words, WORDS).withColumn("words", F.lit(True)))
+    spans = spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "n", "words")).alias("spans"))
     joined = keyed_texts(docs, "rest").join(spans.hint("merge"), ["t1", "t2"], "left").select("doc_id", "packed", "rest", "spans")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,7 +407,8 @@ def without_repeats(docs: DataFrame, make, schema: str, more: list[str] | None =
         for batch in sliced(batches, 1 << 20):
             kept = []
             for packed, found in zip(batch["packed"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                data, cuts = unpack(packed), united(found, length)
+                data = unpack(packed)
+                cuts = removed(data, found, length, words)
                 ends = [0, *[x for cut in cuts for x in cut], len(data)]
                 kept.append((len(data), cuts, b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))))
             yield make(batch, kept)
