@@ -124,3 +124,19 @@ def test_articles_of_the_given_pages(spark):
 
     truth = {r.page_id: article(r.html) for r in read(spark, "pages").collect()}
     assert {r.page_id: r.text for r in op9.main_text(read(spark, "pages")).collect()} == truth
+
+
+def test_unclosed_unseen_elements_end_with_their_block():
+    def shown(page):
+        return [n.text for n in op9.parse(page) if n.text is not None]
+
+    for tag in ("button", "select", "svg", "object", "canvas", "audio", "video"):
+        assert shown(f"<body><div>a<{tag}>no</div><p>b</p>") == ["a", "b"]
+        assert shown(f"<body><div>a<{tag}>no</{tag}> b</div><p>c") == ["a b", "c"]
+    assert shown("<head><title>t</title><meta name=x><p>a</p><p>b") == ["a", "b"]
+    assert shown("<head><script>x</script>a<p>b") == ["a", "b"]
+    assert shown("<head><title>t</title></head><body><p>a") == ["a"]
+    assert shown("<p>a<button><p>no</p></button></p><p>b") == ["a", "b"]
+    assert shown("<p>a<svg><path><p>b") == ["a", "b"]
+    assert shown("<svg><foreignObject><div>no</div></foreignObject></svg><p>a") == ["a"]
+    assert shown("<p>a <math><mi>x</mi><annotation>no</annotation></math> b</p>") == ["a x b"]

@@ -31,10 +31,14 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot "
     "th thead tr ul".split())
 UNSEEN = frozenset(
-    "audio button canvas datalist head iframe input math meter noembed noframes noscript object progress script select "
+    "annotation annotation-xml audio button canvas datalist head iframe input meter noembed noframes noscript object progress script select "
     "style svg template textarea title video".split())
 RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Open elements that the search for an open p, li and the like does not leave.
+SCOPES = frozenset("button object select svg template".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -104,10 +108,11 @@ def parse(page: str) -> list[Node]:
         links = 0
 
     def close(upto: int) -> None:
-        nonlocal linked
+        nonlocal linked, unseen
         if any(tag in BLOCKS for tag, _ in stack[upto:]):
             flush()
         linked -= sum(tag == "a" for tag, _ in stack[upto:])
+        unseen -= sum(tag in UNSEEN for tag, _ in stack[upto:])
         del stack[upto:]
 
     def within(names: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
@@ -116,7 +121,7 @@ def parse(page: str) -> list[Node]:
         for at in range(len(stack) - 1, 0, -1):
             if stack[at][0] in names:
                 found = at
-            elif stack[at][0] in stop:
+            elif stack[at][0] in stop or stack[at][0] in SCOPES:
                 break
         return found
 
@@ -124,8 +129,10 @@ def parse(page: str) -> list[Node]:
     while at < len(page):
         hit = MARKUP.search(page, at)
         begin = hit.start() if hit else len(page)
-        if begin > at and not unseen:
-            part = page[at:begin]
+        part = page[at:begin]
+        if stack[-1][0] == "head" and part.strip():
+            close(len(stack) - 1)
+        if part and not unseen:
             held.append(part)
             if linked:
                 links += len(part)
@@ -138,17 +145,15 @@ def parse(page: str) -> list[Node]:
         if hit.group()[-1] != ">":  # the page ends inside a tag
             break
         if ending:
-            if tag in UNSEEN:
-                unseen = max(0, unseen - 1)
-                if not unseen and tag in BLOCKS:
-                    flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
                     break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:
+                if tag not in BLOCKS and tag not in UNSEEN and stack[k][0] in BLOCKS:
                     break
             continue
+        if stack[-1][0] == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             held.append(" ")
             continue
@@ -158,12 +163,15 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in UNSEEN:
             if tag not in VOID and not hit.group().endswith("/>"):
+                stack.append((tag, stack[-1][1]))
                 unseen += 1
-            if tag in BLOCKS:
-                flush()
             continue
         if unseen and tag == "body":
-            unseen = 0
+            close(next(k for k, (name, _) in enumerate(stack) if name in UNSEEN))
+        if unseen and tag in BLOCKS:  # no block stands in a drawing, but for its foreignObject
+            drawn = [k for k, (name, _) in enumerate(stack) if name in ("svg", "foreignobject")]
+            if drawn and stack[drawn[-1]][0] == "svg":
+                close(drawn[-1])
         if tag in CLOSES_P and (k := within({"p"}, BLOCKS - {"p"})) > 0:
             close(k)
         if tag in SIBLINGS and (k := within(*SIBLINGS[tag])) > 0:
