@@ -135,3 +135,17 @@ def test_scratch_follows_the_session(spark):
 def test_suite_needs_checks(spark):
     with pytest.raises(ValueError):
         run_suite({}, [])
+
+
+def test_undated_rows_of_a_stream_are_counted(spark, tmp_path):
+    check = Check("big", "validity", "range", "t", ("v",), {"max_value": 10})
+    source, out, state = (str(tmp_path / name) for name in ("in", "out", "state"))
+    schema = "ts timestamp, v int"
+    for rows, total in (([(None, 5), (None, 50), (None, None)], 3), ([(None, 70)], 4)):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        streaming.undated_counts(stream, check, "ts", out, state).awaitTermination()
+        got = spark.read.parquet(out).groupBy().sum("total_rows", "passed_rows", "failed_rows", "skipped_rows").first()
+        batch = streaming.windowed_counts(spark.read.schema(schema).parquet(source), check, "ts", "1 day").first()
+        assert batch.window_start is None and batch.total_rows == total
+        assert tuple(got) == (batch.total_rows, batch.passed_rows, batch.failed_rows, batch.skipped_rows)

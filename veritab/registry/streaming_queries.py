@@ -80,6 +80,23 @@ def _windowed(t):
     return _shown(finished(t, counted, "windows"))
 
 
+@query("STR-windowed.undated_stream", f"""
+    SELECT epoch_us(a) AS start_us, count(*) AS total_rows, count(CASE WHEN value > 100 THEN 1 END) AS failed_rows
+    FROM (SELECT value, CASE WHEN event_id % 4 > 0 THEN {_DAY} END AS a FROM events) e
+    WHERE a IS NULL OR a + INTERVAL '1' DAY <= (SELECT max(ts) - INTERVAL '2' HOUR FROM events WHERE event_id % 4 > 0) GROUP BY a""")
+def _undated_stream(t):
+    """Finished windows of a stream, and its rows without a timestamp."""
+    spark = t["events"].sparkSession
+    stream = event_stream(t).withColumn("ts", F.when(F.col("event_id") % 4 > 0, F.col("ts")))
+    counted = finished(t, streaming.windowed_counts(stream, _BIG, "ts", "1 day", watermark="2 hours"), "dated")
+    out = scratch_path(spark, "undated")
+    streaming.undated_counts(stream, _BIG, "ts", out, f"{out}-state").awaitTermination()
+    undated = spark.read.schema("total_rows long, failed_rows long").parquet(out).agg(
+        F.lit(None).cast("long").alias("start_us"), F.sum("total_rows").alias("total_rows"),
+        F.sum("failed_rows").alias("failed_rows")).where("total_rows > 0")
+    return _shown(counted).select("start_us", "total_rows", "failed_rows").unionByName(undated)
+
+
 @query("STR-windowed.sliding", f"""
     SELECT start_us, count(*) AS total_rows, count(CASE WHEN value > 100 THEN 1 END) AS failed_rows
     FROM (SELECT value, unnest([epoch_us({_DAY}) + (CAST(floor(hour(ts) / 6) AS BIGINT) - k) * 21600000000::BIGINT

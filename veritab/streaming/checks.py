@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,27 +37,36 @@ def check_stream(stream: DataFrame, dataset: str, checks: Sequence[Check], out:
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def windowed_counts(df: DataFrame, check: Check, ts: str, window: str, slide: str | None = None,
-                    watermark: str | None = None, as_of=None) -> DataFrame:
-    """Counts of a row-level check per time window, batch or streaming.
-
-    With a watermark late rows are dropped and finished windows leave the state. Rows
-    without a timestamp are counted in a window of NULLs; a stream, which has no such
-    window, leaves them to a batch run.
-    """
+def judged_rows(df: DataFrame, check: Check, ts: str, as_of=None) -> DataFrame:
+    """Time and verdicts of the rows a row-level check is about."""
     rule = row_rule(check, moment(as_of))
     if check.filter:
         df = df.where(check.filter)
     if rule.population is not None:
         df = df.where(rule.population)
     skipped = rule.skipped if rule.skipped is not None else F.lit(False)
-    judged = df.select(
+    return df.select(
         F.col(ts).cast("timestamp").alias("__ts"), rule.passed.alias("__ok"),
         rule.failed.alias("__bad"), skipped.alias("__skip"))
+
+
+def verdict_counts() -> list[Column]:
+    return [F.count("*").alias("total_rows"), count_rows(F.col("__ok")).alias("passed_rows"),
+            count_rows(F.col("__bad")).alias("failed_rows"), count_rows(F.col("__skip")).alias("skipped_rows")]
+
+
+def windowed_counts(df: DataFrame, check: Check, ts: str, window: str, slide: str | None = None,
+                    watermark: str | None = None, as_of=None) -> DataFrame:
+    """Counts of a row-level check per time window, batch or streaming.
+
+    With a watermark late rows are dropped and finished windows leave the state. Rows
+    without a timestamp are counted in a window of NULLs; on a stream, which has no such
+    window, ``undated_counts`` counts them.
+    """
+    judged = judged_rows(df, check, ts, as_of)
     if watermark:
         judged = judged.withWatermark("__ts", watermark)
-    counts = [F.count("*").alias("total_rows"), count_rows(F.col("__ok")).alias("passed_rows"),
-              count_rows(F.col("__bad")).alias("failed_rows"), count_rows(F.col("__skip")).alias("skipped_rows")]
+    counts = verdict_counts()
     grouped = judged.groupBy(F.window("__ts", window, slide or window).alias("w")).agg(*counts)
     if not df.isStreaming:
         no_window = F.lit(None).cast("struct<start:timestamp,end:timestamp>")
@@ -72,6 +81,24 @@ def windowed_counts(df: DataFrame, check: Check, ts: str, window: str, slide: st
         status(F.col("pass_rate"), check.threshold_pass, check.threshold_warn).alias("check_status"))
 
 
+def undated_counts(stream: DataFrame, check: Check, ts: str, out: str, checkpoint: str,
+                   as_of=None, trigger: dict | None = None) -> StreamingQuery:
+    """Counts of the rows without a timestamp, which no window of the stream holds.
+
+    Each batch that has such rows writes one row of counts to its own ``batch_id`` folder
+    by overwriting it; the sum over the folders is the count so far.
+    """
+    judged = judged_rows(stream, check, ts, as_of).where(F.col("__ts").isNull())
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.agg(*verdict_counts()).where("total_rows > 0").select(
+            F.lit(check.check_id).alias("check_id"), "total_rows", "passed_rows", "failed_rows", "skipped_rows",
+        ).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return (judged.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 def first_seen(stream: DataFrame, keys: Sequence[str], ts: str, window: str) -> DataFrame:
     """Drop repeats of a key. The first row seen stays, unlike in the batch check,
 
