@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritab.sources.scratch import scratch_path
@@ -40,6 +41,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a path and the path inside it, for tasks that write or read files of their own format."""
+    uri = path if "://" in path or path.startswith("/") else path.replace(":", "://", 1)
+    for spark_name, name in {"s3a://": "s3://", "s3n://": "s3://"}.items():
+        uri = uri.replace(spark_name, name, 1) if uri.startswith(spark_name) else uri
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"{path}: tasks can't open files of this store themselves; name a shared folder on file, hdfs, s3, gs or abfs "
+                         "in spark.checkpoint.dir") from e
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; other letters stay."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from veritab.llm.common import END_ID, ship, sliced, stored, table, tokenizer_path
+from veritab.llm.common import END_ID, open_store, ship, sliced, stored, table, tokenizer_path
 from veritab.llm.encoding import encoder
 from veritab.sources.scratch import scratch_path
 
@@ -47,10 +46,6 @@ MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":", "://", 1))
-
-
 class ShardWriter:
     """Writes one shard; holds one frame and the directory in memory."""
 
@@ -93,7 +88,7 @@ class ShardReader:
     """Random access to one shard: ``ids(first, count)`` decompresses only the frames it needs."""
 
     def __init__(self, path: str):
-        files, name = _open(path)
+        files, name = open_store(path)
         self.file = files.open_input_file(name)
         size = self.file.size()
         n, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
@@ -147,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             if writer is None:
                 encode = encoder(tokenizer, by_word)
                 name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}.zst"
-                files, local = _open(name)
+                files, local = open_store(name)
                 files.create_dir(local.rsplit("/", 1)[0], recursive=True)
                 sink = files.open_output_stream(local, compression=None)
                 writer = ShardWriter(sink)
@@ -209,12 +204,13 @@ def read_token_files(manifest: DataFrame, wanted: DataFrame | None = None) -> Da
                     shard, path = ShardReader(name), name
                 yield from rows(name, before, np.array([place]), shard)
 
-    per_file = placed.select("path", "before").repartition("path")
+    n_files = max(1, manifest.count())  # numbered, or adaptive execution would merge these few small rows into one task
+    per_file = placed.select("path", "before").repartition(n_files, "path")
     if wanted is None:
         return per_file.mapInArrow(whole, DOCUMENTS)
     found = per_file.mapInArrow(directory, "path string, before long, place long, doc_id long").join(
         wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    return (found.select("path", "before", "place").repartition("path").sortWithinPartitions("path", "place")
+    return (found.select("path", "before", "place").repartition(n_files, "path").sortWithinPartitions("path", "place")
             .mapInArrow(some, DOCUMENTS))
 
 
