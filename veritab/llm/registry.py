@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veritab.llm import op2_decontamination as op2, op8_signature_join as op8, op10_token_counts as op10, op11_warc as op11
+from veritab.llm import op2_decontamination as op2, op8_signature_join as op8, op10_token_counts as op10, op11_warc as op11, op13_hard_negatives as op13
 from veritab.llm.op12_alignment import op12_alignment
 from veritab.llm.op1_token_files import op1_token_files
 from veritab.llm.op3_quality import op3_quality
@@ -29,9 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10.op10_token_counts,
     "op11_warc": op11.op11_warc,
     "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13.op13_hard_negatives,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": op2.ORACLE, "op8_signature_join": op8.ORACLE, "op10_token_counts": op10.ORACLE,
-                          "op11_warc": op11.ORACLE}
+                          "op11_warc": op11.ORACLE, "op13_hard_negatives": op13.ORACLE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
