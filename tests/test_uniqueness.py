@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from veritab import Check, run_check, violations
+from veritab.operators import fuzzy
 from veritab.operators.fuzzy import similar_pairs
 
 
@@ -52,9 +53,43 @@ def test_similar_pairs(spark, threshold, size, alphabet, n):
     assert {(r.a, r.b) for r in found.collect()} == expected
 
 
-def test_shared_prefix_makes_no_candidates(spark):
-    from veritab.operators import fuzzy
+@pytest.mark.parametrize("threshold,size,alphabet,stretch", [
+    (0.85, 160, "abcdefgh", 512), (0.85, 220, "ab", 64), (0.9, 200, "abc ", 32), (0.95, 240, "abcé日", 100),
+    (0.7, 110, "abcdef", 512), (0.75, 90, "ab", 16), (0.98, 300, "ab", 512)])
+def test_similar_long_pairs(spark, monkeypatch, threshold, size, alphabet, stretch):
+    monkeypatch.setattr(fuzzy, "STRETCH", stretch)
+    rng = random.Random(size)
+    stems = ["".join(rng.choice(alphabet) for _ in range(rng.randint(size // 2, size))) for _ in range(4)]
+    values = sorted({*stems, *[near(rng, rng.choice(stems), alphabet, int((1 - threshold) * size * 0.8)) for _ in range(22)]})
+    expected = {(a, b) for a, b in combinations(values, 2) if sim(a, b) >= threshold}
+    assert sum(max(map(len, p)) > fuzzy.LONG for p in expected) > 5
+    found = similar_pairs(spark.createDataFrame([(v,) for v in values], "v string"), threshold)
+    assert {(r.a, r.b) for r in found.collect()} == expected
+
 
+def near(rng, text, alphabet, edits):
+    out = list(text)
+    for _ in range(rng.randint(0, edits)):
+        out[rng.randrange(len(out)):][:1] = []
+        out[rng.randrange(len(out) + 1): 0] = [rng.choice(alphabet)] if rng.random() < 0.5 else []
+        if out and rng.random() < 0.6:
+            del out[rng.randrange(len(out))]
+    return "".join(out)
+
+
+def test_keys_of_long_strings_grow_with_their_length(spark):
+    rng = random.Random(1)
+    most = {}
+    for size in (400, 1600):
+        text = "".join(rng.choice("abcdefghijklmnop") for _ in range(size))
+        other = text[: size // 2] + "#" + text[size // 2 + 1:]
+        keys = fuzzy.rare_grams(spark.createDataFrame([(text,), (other,)], "v string"), 0.85)
+        most[size] = keys.groupBy("id").count().agg({"count": "max"}).first()[0]
+        assert most[size] <= 4 * 0.15 * size / 0.85 + 5
+    assert 3 <= most[1600] / most[400] <= 5
+
+
+def test_shared_prefix_makes_no_candidates(spark):
     values = spark.range(2000).selectExpr("concat('Customer#', lpad(id * 7919 % 1000000, 9, '0')) AS v")
     assert fuzzy._by_deletion(values, 0.9).where("possible").distinct().count() < 2000 * 40
 

@@ -11,13 +11,17 @@ the longer length of the pair:
   at most one edit; it meets a stretch of the longer string after one deletion on
   both sides. Pieces are twice as long as whole ones could be, so common words
   and prefixes rarely make candidates.
+* ``d >= 3`` and more than ``LONG`` characters: an inverted index over q-grams. An edit
+  destroys at most q grams, so of the ``q d + 1`` rarest grams of both strings one is
+  common, at places at most ``d`` apart. Keys grow with the length only, and those
+  that no second place has are dropped.
 
 Every candidate is verified with the exact similarity before it is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.relations import match_keys, sum_where
@@ -26,6 +30,13 @@ from veritab.model import Check, TablePlan
 # Deleting more than two characters gives too many variants per value.
 MAX_DELETIONS = 2
 
+# Longer strings are looked up by their rare q-grams. Grams are as long as lets the rare ones
+# be about ``GRAM_SHARE`` of all; thresholds below LEAST_FOR_GRAMS would leave one character.
+LONG = 64
+GRAM_SHARE, LONGEST_GRAM, LEAST_FOR_GRAMS = 0.6, 16, 0.7
+# Strings are cut into stretches first: taking a gram out of a string counts from its begin.
+STRETCH = 512
+
 
 def _allowed(length: Column, threshold: float) -> Column:
     """Edits allowed when the longer string has ``length`` characters."""
@@ -115,8 +126,65 @@ def _piece_keys(df: DataFrame, start: Column, width: Column, grown: Column | Non
         F.when(swapped, F.substring(F.col("text"), q, F.lit(1))).alias("gone"))
 
 
+def _gram_length(threshold: float) -> int:
+    spare = max(1.0 - threshold, 1e-6)
+    return max(2, min(LONGEST_GRAM, int(GRAM_SHARE / spare + 1e-9)))
+
+
+def rare_grams(values: DataFrame, threshold: float) -> DataFrame:
+    """The q-grams that decide about a string: ``id, n, g, p, rank``, the rarest first.
+
+    A string has as many ranks as its longest partner's edits can destroy, and one; of those
+    only grams that occur at another place too are rows. ``id`` is the string's digest.
+    """
+    q = _gram_length(threshold)
+    size = F.length("v")
+    reach = _allowed(_longest_partner(size, threshold), threshold)
+    strings = _maybe_long(values, threshold).select(
+        F.unhex(F.md5("v")).alias("id"), size.alias("n"), (reach * q + 1).alias("most"), "v")
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int")))
+    cut = strings.select("id", "n", "most", "v", at.alias("at")).select(
+        "id", "n", "most", "at",
+        F.substring(F.col("v"), F.col("at") * STRETCH + 1, F.lit(STRETCH + q - 1)).alias("part"))
+    last = F.least(F.length("part") - q, F.lit(STRETCH - 1))
+    grams = cut.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("i")).select(
+        "id", "n", "most", F.xxhash64(F.substring(F.col("part"), F.col("i") + 1, F.lit(q))).alias("g"),
+        (F.col("at") * STRETCH + F.col("i")).alias("p"))
+    # Any order of the grams is exact; counting occurrences puts the rare ones first. Those that
+    # occur once come before all others, so they need no rows to be ranked.
+    often = grams.groupBy("g").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("id")
+    once = F.col("n") - (q - 1) - F.count("*").over(own)
+    ranked = grams.join(often.hint("merge"), "g").withColumn(
+        "rank", once + F.row_number().over(own.orderBy("often", "g", "p")))
+    return ranked.where(F.col("rank") <= F.col("most")).select("id", "n", "g", "p", "rank")
+
+
+def _maybe_long(values: DataFrame, threshold: float) -> DataFrame:
+    """Strings that may have a partner, or be one, of more than ``LONG`` characters."""
+    return values.where(_longest_partner(F.length("v"), threshold) > LONG)
+
+
+def _by_grams(values: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs whose longer string has more than ``LONG`` characters and allows three edits or more."""
+    if threshold < LEAST_FOR_GRAMS:
+        return values.select(F.col("v").alias("a"), F.col("v").alias("b"), F.lit(False).alias("possible")).limit(0)
+    q, grams = _gram_length(threshold), rare_grams(values, threshold)
+    edits = _allowed(F.col("n"), threshold)
+    longer = grams.where((F.col("n") > LONG) & (edits > MAX_DELETIONS) & (F.col("rank") <= edits * q + 1)).select(
+        F.col("id").alias("y"), F.col("n").alias("m"), "g", F.col("p").alias("o"), edits.alias("d"))
+    n, m, d = F.col("n"), F.col("m"), F.col("d")
+    found = grams.hint("merge").join(longer, "g").where(
+        ((n < m) | ((n == m) & (F.col("id") < F.col("y")))) & (m - n <= d) & (F.abs(F.col("p") - F.col("o")) <= d))
+    pairs = found.select(F.col("id").alias("x"), "y").distinct()
+    texts = _maybe_long(values, threshold).select(F.unhex(F.md5("v")).alias("id"), "v")
+    return (pairs.join(texts.select(F.col("id").alias("x"), F.col("v").alias("a")).hint("merge"), "x")
+            .join(texts.select(F.col("id").alias("y"), F.col("v").alias("b")).hint("merge"), "y")
+            .select("a", "b", F.lit(True).alias("possible")))
+
+
 def _by_pieces(values: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs whose longer string allows three edits or more.
+    """Candidate pairs whose longer string allows three edits or more, and is not looked up by grams.
 
     The shorter string is cut into ``g = d // 2 + 1`` pieces, so that one of them
     carries at most one edit: after a deletion on both sides it meets a stretch of
@@ -127,9 +195,10 @@ def _by_pieces(values: DataFrame, threshold: float) -> DataFrame:
     size = F.length("v")
 
     # The shorter side: its pieces, for every cut a longer partner may ask for.
+    most = F.lit(LONG if threshold >= LEAST_FOR_GRAMS else 1 << 30)
     partners = F.filter(
-        F.sequence(size, F.greatest(_longest_partner(size, threshold), size)),
-        lambda n: _allowed(n, threshold) > MAX_DELETIONS)
+        F.sequence(size, F.greatest(F.least(_longest_partner(size, threshold), most), size)),
+        lambda n: (_allowed(n, threshold) > MAX_DELETIONS) & (n <= most))
     cuts = F.array_distinct(F.transform(partners, lambda n: _pieces(_allowed(n, threshold))))
     short = values.select("v", F.explode(cuts).alias("g"))
     short = short.select("v", "g", size.alias("shorter"),
@@ -140,7 +209,7 @@ def _by_pieces(values: DataFrame, threshold: float) -> DataFrame:
         {"v": "a", "gone": "gone_a"})
 
     # The longer side: the stretches where such a piece may be found.
-    long = values.select("v", _allowed(size, threshold).alias("d")).where(
+    long = values.where(size <= most).select("v", _allowed(size, threshold).alias("d")).where(
         F.col("d") > MAX_DELETIONS).withColumn("g", _pieces(F.col("d")))
     long = long.select("*", F.explode(F.sequence(
         F.greatest(size - F.col("d"), F.lit(1)), size)).alias("shorter"))
@@ -175,7 +244,8 @@ def similar_pairs(values: DataFrame, threshold: float) -> DataFrame:
     # Few bytes of strings become many keys: keep the tasks the session asks for.
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = values.repartition(tasks, F.xxhash64("v"))
-    candidates = _by_deletion(values, threshold).unionByName(_by_pieces(values, threshold))
+    candidates = _by_deletion(values, threshold).unionByName(
+        _by_pieces(values, threshold)).unionByName(_by_grams(values, threshold))
     # The cheap test guards the distance, which with its bound stops early (-1).
     longer = F.greatest(F.length("a"), F.length("b"), F.lit(1))
     distance = F.call_function("levenshtein", F.col("a"), F.col("b"), _allowed(longer, threshold))

@@ -135,6 +135,31 @@ for _name, _dataset, _column in (("UNQ-fuzzy-lev", "part", "p_name"), ("UNQ-fuzz
                  CAST(sum(CASE WHEN x IS NOT NULL THEN n * (n - 1) + n * coalesce(m, 0) ELSE 0 END) / 2 AS BIGINT)
                    AS duplicate_pairs
           FROM v LEFT JOIN near ON x = ax) c""", ("duplicate_pairs",))
+# Whole texts. One edit changes the bag of words by three at most, which spares SQL most distances.
+# SQL's distance counts bytes: accented letters become unused control characters.
+_t, _text, _accents = 0.95, "regexp_split_to_array(x, ' ')", "äöüßéèêçñóíÄÖÜÉÈÊÇÑÓÍ"
+_marks = " || ".join(f"chr({k})" for k in [*range(1, 9), *range(14, 32)][:len(_accents)])
+check_query("UNQ-fuzzy-lev.texts", Check("UNQ-fuzzy-lev.texts", "uniqueness", "fuzzy", "documents", ("text",), {"fuzzy_threshold": _t}), f"""
+    WITH v AS (SELECT row_number() OVER () AS id, translate(x, '{_accents}', {_marks}) AS x, n, length(x) AS size
+                   FROM (SELECT text AS x, count(*) AS n FROM documents GROUP BY 1) g),
+         w AS (SELECT id, w, count(*) AS c FROM (SELECT id, unnest({_text}) AS w FROM v) u WHERE w <> '' GROUP BY 1, 2),
+         words AS (SELECT v.id, x, n, size, coalesce(s, 0) AS s FROM v LEFT JOIN (SELECT id, sum(c) AS s FROM w GROUP BY 1) k USING (id)
+                   WHERE x IS NOT NULL),
+         shared AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS o FROM w a JOIN w b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2),
+         cand AS (SELECT a.id AS a, b.id AS b FROM shared s JOIN words a ON a.id = s.a JOIN words b ON b.id = s.b
+                  WHERE abs(a.size - b.size) <= {1 - _t} * greatest(a.size, b.size) + 1
+                    AND a.s + b.s - 2 * o <= 3 * ({1 - _t} * greatest(a.size, b.size) + 1)
+                  UNION SELECT a.id, b.id FROM words a JOIN words b ON a.id < b.id
+                  WHERE a.s + b.s <= 3 * ({1 - _t} * greatest(a.size, b.size) + 1)),
+         p AS (SELECT a.id AS ax, b.id AS bx, a.n AS an, b.n AS bn FROM cand c JOIN words a ON a.id = c.a JOIN words b ON b.id = c.b
+               WHERE 1e0 - levenshtein(a.x, b.x) / greatest(a.size, b.size, 1) >= {_t}e0),
+         near AS (SELECT x, sum(m) AS m FROM (SELECT ax AS x, bn AS m FROM p UNION ALL SELECT bx, an FROM p) u GROUP BY 1)
+    SELECT total_rows, total_rows - failed_rows AS passed_rows, failed_rows, 0 AS skipped_rows,
+           total_rows AS evaluated_rows, duplicate_pairs
+    FROM (SELECT sum(n) AS total_rows,
+                 coalesce(sum(CASE WHEN v.x IS NOT NULL AND (n > 1 OR m > 0) THEN n END), 0) AS failed_rows,
+                 CAST(sum(CASE WHEN v.x IS NOT NULL THEN n * (n - 1) + n * coalesce(m, 0) ELSE 0 END) / 2 AS BIGINT) AS duplicate_pairs
+          FROM v LEFT JOIN near ON v.id = near.x) c""", ("duplicate_pairs",))
 _FROM, _TO = "aeiouybfpvcgjkqsxzdtlmnr ", "0000001111222222223345560"
 _CODES = (f"translate(lower(p_name[1]), '{_FROM}', '{_TO}') || "
           f"regexp_replace(translate(lower(p_name[2:]), '{_FROM}', '{_TO}'), '[hw]', '', 'g')")
