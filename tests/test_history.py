@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.history import anomaly, coverage, dashboards, effectiveness, incidents, operations
+from veritab.sources.sinks import fixed_width
 
 START = datetime(2024, 3, 1)
 
@@ -139,10 +140,12 @@ def test_issue_texts_and_titles(spark):
     issue = incidents.derive_issues(df).collect()
     assert len(issue) == 1
     assert issue[0].impact_summary == "150 of 1000 rows failed (85.0% pass rate)"
-    assert (issue[0].severity, len(issue[0].title), issue[0].due_at) == ("major", 500, START + timedelta(hours=8))
+    assert (issue[0].severity, len(issue[0].title), issue[0].due_at) == ("major", 608, START + timedelta(hours=8))
+    stored = incidents.derive_issues(df).select(fixed_width(F.col("title")).alias("title")).first().title
+    assert (len(stored), stored[-3:]) == (500, "...") and issue[0].title.startswith(stored[:497])
     opened = incidents.auto_incidents(
         incidents.derive_issues(df).withColumn("issue_id", F.lit(1)), spark.createDataFrame([(2,)], "issue_id int")).first()
-    assert (opened.priority, len(opened.title)) == ("P2", 500) and opened.title.endswith("...")
+    assert (opened.priority, len(opened.title)) == ("P2", 615)
 
 
 def test_empty_history(spark):

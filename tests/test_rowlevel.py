@@ -144,11 +144,13 @@ def test_rule_documents():
     cases = [
         ("uniqueness", "columns", ["a", "b"], "composite"), ("uniqueness", "temporal_window", "1d", "temporal"),
         ("conformity", "case_rule", "upper", "case"), ("timeliness", "expected_frequency", "1h", "heartbeat"),
-        ("accuracy", "formula", "a*b", "derived_value"), ("consistency", "group_by_columns", ["a"], "inter_record"),
+        ("accuracy", "formula", "a*b", "derived_value"),
         ("validity", "business_rule_expression", "a > 0", "business_rule"), ("completeness", "x", 1, "null")]
     for dimension, name, value, subtype in cases:
         rule = {"dimension": dimension, "entity": "t.c", "parameters": {name: value}}
         assert Check.from_rule(rule).subtype == subtype
+    both = {"group_by_columns": ["a"], "comparison_columns": ["b"]}
+    assert Check.from_rule({"dimension": "consistency", "entity": "t.c", "parameters": both}).subtype == "inter_record"
 
 
 def test_compound(spark):
