@@ -1,10 +1,13 @@
 """Join-based checks against brute force, with NULLs and repeated keys on both sides."""
 
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from veritab import Check, run_check, violations
+from veritab.functions import nearby
 from veritab.functions.relations import pair_counts
 
 ROWS = "k1 int, k2 string, a double, b string"
@@ -141,3 +144,47 @@ def look_up(left, right, t):
         assert (row.failed_rows, row.skipped_rows) == (failed, skipped)
         assert row.passed_rows == len(left) - failed - skipped
         assert violations(t, check).count() == failed
+
+
+def within(x, y, kind, value):
+    if kind == "absolute":
+        return abs(x - y) <= value
+    return abs(x - y) / abs(y) * 100.0 <= value
+
+
+@pytest.mark.parametrize("kind,value", [
+    ("absolute", 0.01), ("absolute", 0.03), ("absolute", 1e9), ("absolute", 5e-324), ("absolute", -1.0), ("percentage", 100.0),
+    ("percentage", 99.99999999999), ("percentage", 150.0), ("percentage", 1e-9), ("percentage", 10.0), ("percentage", 0.0)])
+def test_pairs_within(spark, kind, value):
+    rng = random.Random(4)
+    pool = [round(rng.uniform(-1, 1), 2) for _ in range(60)] + [rng.choice([-1, 1]) * 10.0 ** rng.randint(-300, 300) for _ in range(15)]
+    pool += [0.0, -0.0, 1e-20, -1e-20, 5e-324, 1.7e308, -1.7e308, 2.0 ** 52, 2.0 ** 53 + 2, 1.0, 1.1, 0.9, 2.0, 0.5, 1 + 2 ** -52]
+    pool += [x * (1 + value / 100) for x in pool[:30]] + [x + value for x in pool[:30]] + [float("inf"), float("nan")]
+    left = [(rng.randrange(2), rng.choice(pool)) for _ in range(300)]
+    right = [(rng.randrange(3), y) for y in rng.choices(pool, k=200) if kind == "absolute" or y]
+    expected = sum(k == m and math.isfinite(x) and math.isfinite(y) and within(x, y, kind, value) for k, x in left for m, y in right)
+    frames = [spark.createDataFrame(rows, "k int, v double").groupBy("k", "v").agg(F.count("*").alias("n")) for rows in (left, right)]
+    assert nearby.pairs_within(*frames, ["k"], kind, value).first().ok == expected
+
+
+def test_digits_keep_the_order(spark):
+    rng = random.Random(6)
+    xs = sorted({s * m * 2.0 ** rng.randint(-1074, 1023) for s in (-1, 1) for m in (1.0, 1.5, 1 + 2 ** -52, 1.9999999999999998) for _ in range(60)}
+                | {0.0, 5e-324, -5e-324, 1.7976931348623157e308, 2.2250738585072014e-308})
+    xs = [x for x in xs if math.isfinite(x)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = nearby.with_digits(df, "x").select("x", *nearby.DIGITS).orderBy(*nearby.DIGITS).collect()
+    assert [r.x for r in got] == xs and len({tuple(r)[1:] for r in got}) == len(xs)
+
+
+@pytest.mark.parametrize("kind,value", [("percentage", 100.0), ("absolute", 1e7)])
+def test_one_key_and_a_wide_tolerance(spark, kind, value):
+    """Ten thousand million pairs under one key, none of which is formed."""
+    n = 100_000
+    side = spark.range(1, n + 1).selectExpr("1 AS k", "cast(id AS double) AS v", "1L AS n")
+    got = nearby.pairs_within(side, side, ["k"], kind, value).first().ok
+    if kind == "percentage":  # left values from 0 to twice the right one
+        expected = sum(min(2 * r, n) for r in range(1, n + 1))
+    else:
+        expected = sum(min(r + int(value), n) - max(r - int(value), 1) + 1 for r in range(1, n + 1))
+    assert got == expected

@@ -371,6 +371,12 @@ _recon("REC-tolerance.repeated", "tolerance",
        _plain("count(*)", _count("abs(a.amount - b.amount) / nullif(abs(b.amount), 0) * 100 <= 10"),
               _count("abs(a.amount - b.amount) / nullif(abs(b.amount), 0) * 100 > 10"),
               f"{_S} a JOIN {_T} b ON a.o_custkey = b.o_custkey"), columns=["amount"])
+# Few keys, and tolerances that hold for most or all values of a key.
+for _name, _kind, _value, _gap in (("REC-tolerance.whole", "percentage", 100, "abs(a.amount - b.amount) / nullif(abs(b.amount), 0) * 100"),
+                                   ("REC-tolerance.wide", "absolute", 200000, "abs(a.amount - b.amount)")):
+    _recon(_name, "tolerance", {"join_keys": ["status"], "tolerance_type": _kind, "tolerance_value": _value},
+           _plain("count(*)", _count(f"{_gap} <= {_value}"), _count(f"{_gap} > {_value}"), f"{_S} a JOIN {_T} b ON a.status = b.status"),
+           columns=["amount"])
 _recon("REC-aggregate", "aggregate", {"aggregate_column": "o_custkey", "aggregate_function": "SUM",
                                       "target_filter": "priority <> '9-OTHER'", "tolerance_type": "percentage",
                                       "tolerance_value": 7}, f"""
