@@ -1,8 +1,10 @@
 import hashlib
+import os
 import random
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -14,6 +16,7 @@ from veritab.llm import op12_alignment as op12
 from veritab.llm.common import tokenizer_path
 from veritab.llm.encoding import byte_letters
 
+FULL = os.environ.get("VERITAB_ALL") == "1"
 PATHS = tokenizer_path(op12.A), tokenizer_path(op12.B)
 
 
@@ -80,15 +83,30 @@ def odd_texts():
     return texts + [" ", "  ", "a ", "a  ", "▁", "a▁ b", "<s> </s> <unk> <0x41>", "<|endoftext|>", None, "", "\x00", "don't it's", "ﬁ İ ß", "x" * 5000, "᠎ a", "a  b"]
 
 
-def test_ids_are_the_libraries(libraries):
+def test_ids_are_the_libraries(libraries, monkeypatch):
     texts = odd_texts()
-    for keep in (100_000, 3):
-        got = op12.Tokenizers(*PATHS, keep=keep)
+    for run in (op12.RUN, 40):
+        monkeypatch.setattr(op12, "RUN", run)
+        got = op12.Tokenizers(*PATHS)
         for at in range(0, len(texts), 300):
             part = texts[at: at + 300]
-            for text, (a, b) in zip(part, got(pa.array(part, pa.string())), strict=True):
+            units = got(pa.array(part, pa.string()))
+            sides = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((units.a, units.a_n), (units.b, units.b_n))]
+            for text, x, y in zip(part, units.edges()[:-1], units.edges()[1:], strict=True):
                 expected = [[i for i, _ in side] for side in tokens_of(libraries, text)]
-                assert [list(memoryview(x).cast("I")) for x in (a, b)] == expected, repr(text)
+                assert [[i for u in units.units[x:y] for i in side[u].tolist()] for side in sides] == expected, repr(text)
+
+
+def test_both_ways_of_a_agree_on_all_characters(libraries):
+    """tiktoken in place of the library, for every character in three surroundings."""
+    ranked = op12.Tokenizers(*PATHS)
+    assert ranked.a.__name__ == "encode_ordinary"
+    texts = [f" a{c}b {c}1{c}{c} x" for c in map(chr, [*range(0xD800), *range(0xE000, 0x30000, 1 if FULL else 7)])]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at: at + 20_000]
+        expected = [e.ids for e in libraries[0].encode_batch_fast(part, add_special_tokens=False)]
+        differ = [hex(ord(t[2])) for t, e in zip(part, expected, strict=True) if ranked.a(t) != e]
+        assert not differ, differ
 
 
 def test_aligned_against_brute_force(spark, libraries, monkeypatch):

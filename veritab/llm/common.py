@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,13 +16,18 @@ from veritab.sources.scratch import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
+#: Bytes of an Arrow batch between Spark and its workers, where the session doesn't say (Spark's default is
+#: 64 MB): a batch lies in memory several times, on both sides.
+ARROW_BATCH, SMALL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "4194304b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it.
+    """Lets Python workers import this package from where the driver has it, and hands them small batches.
 
     On a cluster without the repository at the same place, hand the package to ``--py-files``.
     """
+    if spark.conf.get(ARROW_BATCH, None) is None:
+        spark.conf.set(ARROW_BATCH, SMALL_BATCH)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -83,9 +89,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are used again by later stages, which need it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def ending(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows; memory is given back behind the last."""
+    yield from rows
+    give_back()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about ``size`` bytes, so that memory doesn't follow the length of texts."""
     for batch in batches:
         step = max(1, int(len(batch) * size / max(batch.nbytes, 1)))
         for at in range(0, len(batch), step):
             yield batch.slice(at, step)
+    give_back()
