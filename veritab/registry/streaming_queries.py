@@ -9,6 +9,7 @@ from veritab.model import Check
 from veritab.registry.base import AS_OF, Catalog, query, summary_sql
 from veritab.sources.scratch import scratch_path
 from veritab.streaming import checks as streaming
+from veritab.streaming import state as key_state
 
 _BIG = Check("big", "validity", "range", "evt", ("value",), {"max_value": 100}, threshold_warn=80)
 _SPREAD = Check("kind", "validity", "allowed_values", "evt", ("event_type",),
@@ -113,6 +114,27 @@ def _dedupe(t):
     return finished(t, kept.select("user_id", "event_type"), "first")
 
 
+# The same question as a uniqueness check of the whole table, asked batch by batch.
+@query("STR-dedupe.all_members", """
+    SELECT g.total_rows, g.failed_rows, g.duplicate_groups, g.max_group_size, m.rejected, m.rejected_ids
+    FROM (SELECT sum(n) AS total_rows, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS failed_rows, count(CASE WHEN n > 1 THEN 1 END) AS duplicate_groups,
+                 max(CASE WHEN n > 1 THEN n ELSE 0 END) AS max_group_size
+          FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type) k) g
+    CROSS JOIN (SELECT count(*) AS rejected, CAST(sum(event_id) AS BIGINT) AS rejected_ids
+                FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) e WHERE n > 1) m""")
+def _all_members(t):
+    """Every member of a repeated key is rejected, in whatever batch it came."""
+    spark = t["events"].sparkSession
+    root = scratch_path(spark, "unique")
+    t["events"].repartition(5, "event_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(t["events"].schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    check = Check("once", "uniqueness", "composite", "events", ("user_id", "event_type"))
+    key_state.unique_stream(stream, check, ["event_id"], f"{root}/out", f"{root}/state", f"{root}/checkpoint", 8).awaitTermination()
+    rejected = spark.read.schema("event_id long").parquet(f"{root}/out").agg(
+        F.count("*").alias("rejected"), F.sum("event_id").alias("rejected_ids"))
+    return key_state.counts_so_far(spark, f"{root}/state").crossJoin(rejected)
+
+
 _SESSIONS = """
     SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS beats FROM (
       SELECT *, sum(CASE WHEN fresh THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
