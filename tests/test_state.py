@@ -1,11 +1,14 @@
 """Checks over the batches of a stream against the same checks on all rows."""
 
 import random
+import time
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 
 from veritab import Check, run_check, violations
+from veritab.streaming import sessions
 from veritab.streaming import state as key_state
 
 
@@ -37,3 +40,30 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert len(key_state.numbered_folders(spark, f"{state}/keys/version=0", "bucket")) == 16
     assert len(key_state.numbered_folders(spark, f"{state}/keys/version=1", "bucket")) == 1
     assert Counter(r.version for r in key_state.manifest(spark, state).collect()) == {0: 15, 1: 1}
+
+
+def test_keyless_sessions_over_batches(spark, tmp_path, monkeypatch):
+    """Rows come in files; late or repeated batches aside, closed and open sessions are those of all cells."""
+    monkeypatch.setattr(sessions, "CELLS_PER_BLOCK", 3)
+    rng, at, times = random.Random(3), datetime(2024, 1, 1), []
+    for _ in range(120):
+        at += timedelta(seconds=rng.choice([1, 20, 59, 60, 61, 400]))
+        times.append(at)
+    expected, gap = [], timedelta(seconds=60)
+    for x in times:
+        if expected and x - expected[-1][1] < gap:
+            expected[-1] = (expected[-1][0], x, expected[-1][2] + 1)
+        else:
+            expected.append((x, x, 1))
+    df = spark.createDataFrame([(x,) for x in times] + [(None,)] * 4, "ts timestamp")
+    got = sorted(tuple(r) for r in sessions.keyless_sessions(df, "ts", "60s").where("first_beat is not null").collect())
+    assert got == expected
+    assert sessions.keyless_sessions(df, "ts", "60s").where("first_beat is null").first().beats == 4
+    for k in range(6):  # in order of time, as the watermark would otherwise drop rows
+        spark.createDataFrame([(x,) for x in times[20 * k: 20 * k + 20]], "ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / p) for p in ("out", "state", "checkpoint")]
+    sessions.keyless_session_stream(stream, "ts", "60s", "0 seconds", *paths).awaitTermination()
+    closed = sorted((r.first_beat, r.last_beat, r.beats) for r in spark.read.parquet(paths[0]).collect())
+    assert closed == expected[: len(closed)] and len(closed) >= len(expected) - 3

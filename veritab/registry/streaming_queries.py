@@ -9,6 +9,7 @@ from veritab.model import Check
 from veritab.registry.base import AS_OF, Catalog, query, summary_sql
 from veritab.sources.scratch import scratch_path
 from veritab.streaming import checks as streaming
+from veritab.streaming import sessions as keyless
 from veritab.streaming import state as key_state
 
 _BIG = Check("big", "validity", "range", "evt", ("value",), {"max_value": 100}, threshold_warn=80)
@@ -169,3 +170,39 @@ def _missed(t):
                        F.unix_micros("next_beat").alias("next_us"), "gap_seconds")
 
 
+def _keyless_sql(rows: str, gap: int) -> str:
+    return f"""
+    SELECT epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS beats FROM (
+      SELECT ts, sum(fresh) OVER (ORDER BY ts) AS s FROM (
+        SELECT ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts)) < {gap} THEN 0 ELSE 1 END AS fresh FROM {rows}) a) b
+    GROUP BY s"""
+
+
+def _beats(df: DataFrame) -> DataFrame:
+    return df.select(F.unix_micros("first_beat").alias("first_us"), F.unix_micros("last_beat").alias("last_us"), "beats")
+
+
+@query("STR-heartbeat.keyless_batch", _keyless_sql("(SELECT ts FROM events WHERE event_id % 5 > 0) e", 600_000_000) + """
+    UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_id % 5 = 0 HAVING count(*) > 0""")
+def _keyless_batch(t):
+    df = t["events"].withColumn("ts", F.when(F.col("event_id") % 5 > 0, F.col("ts")))
+    return _beats(keyless.keyless_sessions(df, "ts", "10m"))
+
+
+# Closed sessions of the cells behind the watermark, and a row of the undated beats.
+@query("STR-heartbeat.keyless", f"""
+    WITH d AS (SELECT ts FROM events WHERE event_id % 5 > 0),
+    done AS (SELECT ts FROM d WHERE (epoch_us(ts) // 600000000 + 1) * 600000000 <= (SELECT epoch_us(max(ts)) - 3600000000 FROM d)),
+    s AS ({_keyless_sql("done", 600_000_000)})
+    SELECT * FROM s WHERE first_us < (SELECT max(first_us) FROM s)
+    UNION ALL SELECT NULL, NULL, count(*) FROM events WHERE event_id % 5 = 0""")
+def _keyless(t):
+    spark = t["events"].sparkSession
+    root = scratch_path(spark, "sessions")
+    stream = event_stream(t).withColumn("ts", F.when(F.col("event_id") % 5 > 0, F.col("ts")))
+    keyless.keyless_session_stream(stream, "ts", "10m", "1 hour", f"{root}/out", f"{root}/state", f"{root}/checkpoint").awaitTermination()
+    keyless.undated_beats(stream, "ts", f"{root}/undated", f"{root}/undated-checkpoint").awaitTermination()
+    closed = spark.read.schema("first_beat timestamp, last_beat timestamp, beats long").parquet(f"{root}/out")
+    undated = spark.read.schema("beats long").parquet(f"{root}/undated").agg(F.sum("beats").alias("beats"))
+    none = F.lit(None).cast("long")
+    return _beats(closed).unionByName(undated.select(none.alias("first_us"), none.alias("last_us"), "beats"))
