@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from veritab import Check, run_suite
+from veritab import Check, run_suite, violations
 from veritab.plans import evidence, profile
 from veritab.sources import readers, sinks
 from veritab.sources.scratch import scratch_path
@@ -149,3 +149,18 @@ def test_undated_rows_of_a_stream_are_counted(spark, tmp_path):
         batch = streaming.windowed_counts(spark.read.schema(schema).parquet(source), check, "ts", "1 day").first()
         assert batch.window_start is None and batch.total_rows == total
         assert tuple(got) == (batch.total_rows, batch.passed_rows, batch.failed_rows, batch.skipped_rows)
+
+
+def test_rows_of_custom_sql(spark):
+    t = {"t": spark.createDataFrame([(1, 5), (2, -1), (3, -2)], "id int, n int")}
+    counts = "count(*) AS total, count_if(n < 0) AS failed"
+
+    def check(**params):
+        return Check("c", "validity", "custom_sql", "t", (), params)
+
+    listed = check(sql=f"SELECT {counts} FROM {{dataset}}", violations_sql="SELECT id FROM {dataset} WHERE n < 0")
+    assert sorted(r.id for r in violations(t, listed).collect()) == [2, 3]
+    sampled = check(sql=f"SELECT {counts}, to_json(collect_list(CASE WHEN n < 0 THEN id END)) AS sample FROM {{dataset}}")
+    assert sorted(r.row_id for r in violations(t, sampled).collect()) == ["2", "3"]
+    with pytest.raises(ValueError, match="lists no rows"):
+        violations(t, check(sql=f"SELECT {counts} FROM {{dataset}}"))

@@ -162,3 +162,19 @@ def test_empty_history(spark):
     assert dashboards.scorecard_total(runs, now).first().overall_score == 0.0
     sla = incidents.sla_metrics(spark.createDataFrame([], "incident_id int, severity string, opened_at timestamp, resolved_at timestamp"), now).first()
     assert (sla.compliance_rate, sla.mttr_hours) == (100.0, 0.0)
+
+
+def test_deliveries_of_anomalies(spark, tmp_path):
+    root, schema = str(tmp_path / "anomalies"), "fingerprint string, severity string, nth int"
+    first = spark.createDataFrame([("a", "Low", 1), ("a", "High", 2), ("b", "Low", 1)], schema)
+    rows = anomaly.record_anomalies(first, root, "one", at(0), order="nth")
+    assert {(r.fingerprint, r.severity, r.status) for r in rows.collect()} == {("a", "High", "open"), ("b", "Low", "open")}
+    assert anomaly.record_anomalies(first, root, "one", at(9), order="nth").exceptAll(rows).isEmpty()
+    second = spark.createDataFrame([("a", "Critical", 1), ("c", "Low", 1)], schema)
+    later = anomaly.record_anomalies(second, root, "two", at(5), order="nth")
+    assert {(r.fingerprint, r.severity, r.detected_at, r.created_at) for r in later.collect()} == {
+        ("a", "Critical", at(5), at(0)), ("b", "Low", at(0), at(0)), ("c", "Low", at(5), at(5))}
+    third = anomaly.record_anomalies(second, root, "three", at(48), order="nth")  # too late to be updates
+    assert third.count() == 5
+    assert [(r.delivery, r.detected, r.inserted, r.updated) for r in anomaly.deliveries(spark, root).orderBy("version").collect()] == [
+        ("one", 3, 2, 1), ("two", 2, 1, 1), ("three", 2, 2, 0)]

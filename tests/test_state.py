@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from veritab import Check, run_check, violations
+from veritab.sources.scratch import numbered_folders
 from veritab.streaming import sessions
 from veritab.streaming import state as key_state
 
@@ -37,8 +38,8 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     state = str(tmp_path / "state")
     for batch_id, keys in enumerate([list(range(200)), [5]]):
         key_state.merge_batch(spark.createDataFrame([(k,) for k in keys], "k int"), batch_id, check, ["k"], str(tmp_path / "out"), state, 16)
-    assert len(key_state.numbered_folders(spark, f"{state}/keys/version=0", "bucket")) == 16
-    assert len(key_state.numbered_folders(spark, f"{state}/keys/version=1", "bucket")) == 1
+    assert len(numbered_folders(spark, f"{state}/keys/version=0", "bucket")) == 16
+    assert len(numbered_folders(spark, f"{state}/keys/version=1", "bucket")) == 1
     assert Counter(r.version for r in key_state.manifest(spark, state).collect()) == {0: 15, 1: 1}
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.functions.relations import count_rows
 from veritab.history.common import days_before
+from veritab.sources.scratch import numbered_folders
 
 # Detection thresholds.
 Z_SCORE = 2.0
@@ -149,3 +151,61 @@ def plan_upsert(detected: DataFrame, existing: DataFrame, as_of: Column, hours:
         "action", F.when(F.col("anomaly_id").isNull(), "insert").otherwise("update"))
 
 
+DELIVERY = "version long, delivery string, detected long, inserted long, updated long"
+
+
+def deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """The deliveries a store of anomalies has taken: version, delivery, detected, inserted, updated."""
+    if not numbered_folders(spark, f"{root}/manifest", "version"):
+        return spark.createDataFrame([], DELIVERY)
+    return spark.read.schema(DELIVERY).parquet(f"{root}/manifest")
+
+
+def recorded_anomalies(spark: SparkSession, root: str) -> DataFrame | None:
+    """The rows after the last delivery; None before the first."""
+    versions = numbered_folders(spark, f"{root}/manifest", "version")
+    return spark.read.parquet(f"{root}/rows/version={versions[-1]}") if versions else None
+
+
+def record_anomalies(detected: DataFrame, root: str, delivery: str, as_of: datetime, order: str | None = None,
+                     start: DataFrame | None = None, hours: int = 24) -> DataFrame:
+    """Applies a delivery of detected anomalies to the store under ``root``; returns the rows after it.
+
+    ``detected``: fingerprint and the fields to set. A live anomaly of the same fingerprint takes them and
+    is detected anew; otherwise an open one is inserted. Of several with one fingerprint in a delivery
+    the one highest in ``order`` stays. ``start`` are the rows before the first delivery.
+
+    The store is copied on write: a delivery writes the rows of a new version, then the version's manifest, which is the
+    commit. A delivery that is repeated changes nothing; one that broke off left no manifest and is overwritten.
+    """
+    spark = detected.sparkSession
+    taken = deliveries(spark, root)
+    if not taken.where(F.col("delivery") == delivery).isEmpty():
+        return recorded_anomalies(spark, root)
+    versions = numbered_folders(spark, f"{root}/manifest", "version")
+    version, now = (versions[-1] + 1 if versions else 0), F.lit(as_of).cast("timestamp")
+    fields = [c for c in detected.columns if c not in ("fingerprint", order)]
+    latest = detected.groupBy("fingerprint").agg(
+        F.max_by(F.struct(*fields), F.struct(*([order] if order else fields))).alias("new"), F.count("*").alias("times"))
+    kept = recorded_anomalies(spark, root) if versions else start
+    rows, inserts = None, latest.withColumn("anomaly_id", F.lit(None).cast("long"))
+    if kept is not None:
+        planned = plan_upsert(latest, kept, now, hours)
+        updates = planned.where("action = 'update'").select("anomaly_id", "new")
+        missing = [c for c in (*fields, "updated_at", "created_at") if c not in kept.columns]
+        kept = kept.withColumns({c: F.lit(None).cast("timestamp" if c.endswith("_at") else detected.schema[c].dataType) for c in missing})
+        hit = F.col("new").isNotNull()
+        rows = kept.join(updates, "anomaly_id", "left").withColumns({
+            **{c: F.when(hit, F.col(f"new.{c}")).otherwise(F.col(c)) for c in fields},
+            **{c: F.when(hit, now).otherwise(F.col(c)) for c in ("detected_at", "updated_at")}}).drop("new")
+        inserts = planned.where("action = 'insert'").drop("action")
+    added = inserts.select(
+        F.xxhash64("fingerprint", F.lit(delivery)).alias("anomaly_id"), "fingerprint", *[F.col(f"new.{c}").alias(c) for c in fields],
+        F.lit("open").alias("status"), *[now.alias(c) for c in ("detected_at", "created_at", "updated_at")])
+    target = f"{root}/rows/version={version}"
+    (added if rows is None else rows.unionByName(added, allowMissingColumns=True)).write.mode("overwrite").parquet(target)
+    counts = latest.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("detected")).crossJoin(
+        F.broadcast(inserts.agg(F.count("*").alias("inserted"))))
+    counts.select(F.lit(delivery).alias("delivery"), "detected", "inserted", (F.col("detected") - F.col("inserted")).alias("updated")).coalesce(1).write.mode(
+        "overwrite").parquet(f"{root}/manifest/version={version}")
+    return recorded_anomalies(spark, root)

@@ -119,7 +119,12 @@ def lookup(check: Check, df: DataFrame, reference: DataFrame) -> TablePlan:
 
 
 def custom_sql(check: Check, df: DataFrame) -> TablePlan:
-    """A SELECT returning ``total`` and ``failed``; ``{dataset}`` names the data."""
+    """A SELECT returning ``total`` and ``failed``; ``{dataset}`` names the data.
+
+    Violations are the rows of ``violations_sql``, a second SELECT; without it, the identifiers
+    of a third column ``sample`` (a JSON array, as text in ``row_id``). A statement that has
+    neither lists no rows, and asking for them is an error.
+    """
     answer = df.sparkSession.sql(check.need("sql"), dataset=df)
     counts = answer.select(
         F.col("total").cast("long").alias("total_rows"),
@@ -128,7 +133,15 @@ def custom_sql(check: Check, df: DataFrame) -> TablePlan:
         F.lit(0).cast("long").alias("skipped_rows"),
         F.col("total").cast("long").alias("evaluated_rows"),
     )
-    return TablePlan(counts, lambda: df.where(F.lit(False)))
+
+    def violations() -> DataFrame:
+        if check.param("violations_sql"):
+            return df.sparkSession.sql(check.need("violations_sql"), dataset=df)
+        if "sample" in answer.columns:
+            return answer.select(F.explode(F.from_json(F.col("sample").cast("string"), "array<string>")).alias("row_id"))
+        raise ValueError(f"{check.check_id}: its statement lists no rows; name violations_sql or return a column sample")
+
+    return TablePlan(counts, violations)
 
 
 # --- consistency -----------------------------------------------------------

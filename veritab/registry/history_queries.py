@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from veritab.history import anomaly, coverage, dashboards, effectiveness, incidents, operations
 from veritab.plans.suite import moment
 from veritab.registry.base import AS_OF, derive, query, source
+from veritab.sources.scratch import scratch_path
 
 NOW = moment
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
@@ -588,6 +591,30 @@ def _dedupe(t):
     return anomaly.plan_upsert(found, t["recorded"], NOW(AS_OF))
 
 
+# Two deliveries, the first of them twice: live anomalies take the last fields, others are inserted once.
+@query("ANO-dedupe.applied", f"""
+    SELECT fingerprint, status, severity, seen_us, count(*) AS anomalies FROM (
+      SELECT r.fingerprint, r.status, CASE WHEN x.anomaly_id IS NOT NULL THEN 'Critical' END AS severity,
+             epoch_us(CASE WHEN x.anomaly_id IS NOT NULL THEN {NOW_SQL} + INTERVAL '1' HOUR ELSE r.detected_at END) AS seen_us
+      FROM {source('recorded')} r LEFT JOIN (
+        SELECT arg_max(anomaly_id, (epoch_us(detected_at), anomaly_id)) AS anomaly_id
+        FROM {source('recorded')} e JOIN {_FOUND} f USING (fingerprint) WHERE status IN ('open', 'acknowledged')
+          AND detected_at >= {NOW_SQL} - INTERVAL '24' HOUR GROUP BY fingerprint) x ON r.anomaly_id = x.anomaly_id
+      UNION ALL
+      SELECT fingerprint, 'open', 'Critical', epoch_us({NOW_SQL} + INTERVAL '1' HOUR) FROM {_FOUND} f
+      WHERE fingerprint NOT IN (SELECT fingerprint FROM {source('recorded')} e WHERE status IN ('open', 'acknowledged')
+        AND detected_at >= {NOW_SQL} - INTERVAL '24' HOUR)) a
+    GROUP BY 1, 2, 3, 4""")
+def _applied(t):
+    found = t["rule_runs"].where("status = 'failed'").select(anomaly.fingerprint(
+        F.lit("w1"), F.lit("pass_rate_drop"), F.lit(None), F.lit("value"), F.col("rule_id")).alias("fingerprint")).distinct()
+    root = scratch_path(found.sparkSession, "anomalies")
+    first = datetime.fromisoformat(AS_OF)
+    for severity, delivery, at in (("High", "a", first), ("High", "a", first), ("Critical", "b", first + timedelta(hours=1))):
+        rows = anomaly.record_anomalies(found.withColumn("severity", F.lit(severity)), root, delivery, at, start=t["recorded"])
+    return rows.groupBy("fingerprint", "status", "severity", F.unix_micros("detected_at").alias("seen_us")).agg(F.count("*").alias("anomalies"))
+
+
 # --- issues and incidents ---
 _SEVERITY = """CASE lower(severity) WHEN 'blocker' THEN 'critical' WHEN 'high' THEN 'major' WHEN 'medium' THEN 'minor'
     WHEN 'low' THEN 'informational' ELSE 'minor' END"""

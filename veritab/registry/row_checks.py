@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from veritab.functions import patterns as P
-from veritab.registry.base import AS_OF, row_query
+from veritab.registry.base import AS_OF, derive, row_query
 
 # --- completeness ---
 _BLANK = "segment IS NULL OR trim(segment) = ''"
@@ -87,6 +87,27 @@ row_query("VAL-validator", "validity", "validator", "pages", ["url"], {"validato
 row_query("VAL-validator.email", "validity", "validator", "cust", ["email"], {"validator": "email"},
           _matches("email", P.VALIDATORS["email"]),
           f"NOT {_matches('email', P.VALIDATORS['email'])} OR email IS NULL")
+# Which values are right follows from how the columns are derived, not from the patterns.
+derive("formats", "customer", [
+    "c_custkey",
+    """CASE c_custkey % 4 WHEN 0 THEN '10.0.' || CAST(c_custkey % 300 AS STRING) || '.7' WHEN 1 THEN '300.1.1.1'
+       WHEN 3 THEN '255.255.255.' || CAST(c_custkey % 256 AS STRING) END AS ipv4""",
+    """CASE c_custkey % 4 WHEN 0 THEN '2001:db8::' || CAST(c_custkey % 1000 AS STRING) WHEN 1 THEN '1:2:3:4:5:6:7:8'
+       WHEN 2 THEN '1:2:3' END AS ipv6""",
+    """CASE WHEN c_custkey % 3 = 1 THEN 'no-uuid' WHEN c_custkey % 5 = 0 THEN '123e4567-e89b-72d3-a456-' || lpad(CAST(c_custkey AS STRING), 12, '0')
+       WHEN c_custkey % 7 > 0 THEN '123e4567-E89B-12d3-a456-' || lpad(CAST(c_custkey AS STRING), 12, '0') END AS uuid""",
+    """CASE c_custkey % 4 WHEN 0 THEN '2024-01-' || lpad(CAST(1 + c_custkey % 28 AS STRING), 2, '0') WHEN 1 THEN '2024-1-5'
+       WHEN 2 THEN '2024-02-03T10:00' END AS day""",
+    """CASE c_custkey % 4 WHEN 0 THEN '+1' || CAST(200000000 + c_custkey AS STRING) WHEN 1 THEN '0049123' WHEN 2 THEN '+0123' END AS phone""",
+    "CASE c_custkey % 3 WHEN 0 THEN lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 1 THEN CAST(c_custkey AS STRING) || 'a' END AS digits",
+    "CASE c_custkey % 3 WHEN 0 THEN 'ab' || CAST(c_custkey AS STRING) WHEN 1 THEN 'ab ' || CAST(c_custkey AS STRING) END AS word",
+    "CASE c_custkey % 4 WHEN 0 THEN 'plain text~' WHEN 1 THEN 'na' || chr(239) || 've' WHEN 2 THEN 'a' || chr(9) || 'b' END AS mixed",
+])
+for _name, _column, _ok in (
+        ("ipv4", "ipv4", "(c_custkey % 4 = 0 AND c_custkey % 300 < 256) OR c_custkey % 4 = 3"), ("ipv6", "ipv6", "c_custkey % 4 < 2"),
+        ("uuid", "uuid", "c_custkey % 3 <> 1 AND c_custkey % 5 > 0 AND c_custkey % 7 > 0"), ("isodate", "day", "c_custkey % 4 = 0"),
+        ("iso8601", "day", "c_custkey % 4 IN (0, 2)"), ("phone_e164", "phone", "c_custkey % 4 = 0")):
+    row_query(f"VAL-validator.{_name}", "validity", "validator", "formats", [_column], {"validator": _name}, _ok, f"NOT ({_ok})")
 row_query("VAL-accepted", "validity", "allowed_values", "cust", ["c_mktsegment"],
           {"allowed_values": ["building", "Machinery", "household"], "case_sensitive": False},
           "lower(c_mktsegment) IN ('building', 'machinery', 'household')",
@@ -133,6 +154,9 @@ _conformity("CNF-charset", "charset", "code", {"allowed_characters": "custom", "
             _matches("trim(code)", "^[A-Z0-9-]*$"))
 _conformity("CNF-charset.alpha", "charset", "segment", {"allowed_characters": "alpha"},
             _matches("trim(segment)", "^[A-Za-z]*$"))
+for _name, _column, _ok in (("numeric", "digits", "c_custkey % 3 = 0"), ("alphanumeric", "word", "c_custkey % 3 = 0"),
+                            ("ascii", "mixed", "c_custkey % 4 IN (0, 2)"), ("printable", "mixed", "c_custkey % 4 = 0")):
+    _conformity(f"CNF-charset.{_name}", "charset", _column, {"allowed_characters": _name}, _ok, dataset="formats")
 _conformity("CNF-case", "case", "segment", {"case_rule": "upper"}, "trim(segment) = upper(trim(segment))")
 _conformity("CNF-case.lower", "case", "code", {"case_rule": "lower"}, "trim(code) = lower(trim(code))", "fail")
 # Which spellings are title case follows from how the column is derived.

@@ -10,7 +10,7 @@ from veritab.model import Check
 from veritab.operators.reconciliation import grouped_aggregates, unmatched
 from veritab.operators.tablelevel import column_statistics, group_completeness
 from veritab.plans.preview import violating
-from veritab.plans.suite import run_suite
+from veritab.plans.suite import run_suite, violations
 from veritab.registry.base import AS_OF, check_query, query, register, source, summary_sql
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -79,6 +79,11 @@ check_query("VAL-customsql", Check("VAL-customsql", "validity", "custom_sql", "o
     "sql": "SELECT count(*) AS total, count_if(shipped_at < o_orderdate) AS failed FROM {dataset}"}),
     _plain("count(*)", f"count(*) - {_count('shipped_at < o_orderdate')}",
            _count("shipped_at < o_orderdate"), f"{source('ords')} t"))
+_LATE = Check("late", "validity", "custom_sql", "ords", (), {
+    "sql": "SELECT count(*) AS total, count_if(shipped_at < o_orderdate) AS failed FROM {dataset}",
+    "violations_sql": "SELECT o_orderkey, o_custkey FROM {dataset} WHERE shipped_at < o_orderdate"})
+register("VAL-customsql.violations", lambda t: violations(t, _LATE),
+         f"SELECT o_orderkey, o_custkey FROM {source('ords')} t WHERE shipped_at < o_orderdate")
 
 # --- uniqueness ---
 _DUP_EXTRAS = ("CAST(duplicate_groups AS BIGINT) AS duplicate_groups",

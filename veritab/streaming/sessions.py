@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veritab.functions.predicates import duration_seconds, epoch_micros
+from veritab.sources.scratch import numbered_folders
 from veritab.streaming.checks import CELLS_PER_BLOCK
-from veritab.streaming.state import numbered_folders
 
 PIECES = "lo long, hi long, n long"
 

@@ -18,19 +18,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veritab.model import Check
 from veritab.operators.uniqueness import keyed
+from veritab.sources.scratch import numbered_folders
 
 BUCKETS = 64
 MANIFEST = "bucket int, version long, total_rows long, failed_rows long, duplicate_groups long, max_group_size long"
 
 
-def numbered_folders(spark: SparkSession, root: str, column: str) -> list[int]:
-    """The numbers N of the folders ``column=N`` below a root that may not exist yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [entry.getPath().getName() for entry in files.listStatus(path)] if files.exists(path) else []
-    return sorted(int(name.split("=", 1)[1]) for name in names if name.startswith(f"{column}="))
-
-
 def manifest(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
     """The buckets after the last batch (before a batch): version and counts of each."""
     batches = [b for b in numbered_folders(spark, f"{state}/manifest", "batch_id") if before is None or b < before]
