@@ -178,3 +178,28 @@ def test_deliveries_of_anomalies(spark, tmp_path):
     assert third.count() == 5
     assert [(r.delivery, r.detected, r.inserted, r.updated) for r in anomaly.deliveries(spark, root).orderBy("version").collect()] == [
         ("one", 3, 2, 1), ("two", 2, 1, 1), ("three", 2, 2, 0)]
+
+
+def test_failures_around_resolutions(spark):
+    """Handled one after the other: a failure adds to the open issue, a resolution ends it."""
+    rng = random.Random(11)
+    fails = [(i, rng.choice([1, 2, None]), rng.choice([5, 6]), rng.randint(1, 9), at(rng.randrange(60))) for i in range(50)]
+    ends = [(rng.choice([1, 2]), rng.choice([5, 6]), at(rng.randrange(60))) for _ in range(14)]
+    opened = [(900, 1, 5, "open", 100, at(-5)), (901, 2, 6, "closed", 7, at(-4))]
+    live, done = {(1, 5): [900, 100, at(-5), 0, None]}, []
+    for when, turn, event in sorted([(e[2], 0, e) for e in ends] + [(f[4], 1, f) for f in fails], key=lambda x: x[:2]):
+        if turn == 0:
+            if (issue := live.pop(event[:2], None)) and issue[3]:
+                done.append((*event[:2], *issue, when))
+        elif event[1] is None:
+            done.append((None, event[2], None, event[3], when, 1, when, None))
+        else:
+            issue = live.setdefault(event[1:3], [None, 0, when, 0, None])
+            issue[1:] = [issue[1] + event[3], issue[2], issue[3] + 1, when]
+    done += [(*home, *issue, None) for home, issue in live.items() if issue[3]]
+    got = incidents.group_failures(
+        spark.createDataFrame(fails, "run_id int, rule_id int, dataset_id int, rows_failed int, completed_at timestamp"),
+        spark.createDataFrame(opened, "issue_id int, rule_id int, dataset_id int, status string, failure_count int, opened_at timestamp"),
+        "one_per_rule", resolutions=spark.createDataFrame(ends, "rule_id int, dataset_id int, resolved_at timestamp"))
+    rows = [(r.rule_id, r.dataset_id, r.issue_id, r.failure_count, r.opened_at, r.failures, r.last_seen_at, r.resolved_at) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(done, key=str)

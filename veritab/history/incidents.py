@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritab.functions.nearby import running_sums
 from veritab.functions.predicates import epoch_micros
 from veritab.functions.quantiles import interpolated, quantile_ranks, values_at_ranks
 from veritab.functions.relations import count_rows
@@ -67,8 +68,32 @@ def derive_issues(rule_runs: DataFrame, sla_hours: Mapping[str, float] = SLA_HOU
         F.when(hours.isNotNull(), hours_after(F.col("completed_at"), hours)).alias("due_at"))
 
 
+def _since_resolutions(failures: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Failures with the number of resolutions of their rule and dataset up to then (``stretch``), and the resolutions so numbered.
+
+    Both are swept in order of time. The sweep runs in cells of time that hand on their counts, so a
+    rule with a long history is spread over tasks. A resolution comes before a failure of the same instant.
+    """
+    home = ["rule_id", "dataset_id"]
+    known = [F.col(c).isNotNull() for c in home]
+    zero = F.lit(0).cast("long")
+    own = failures.where(known[0] & known[1])
+    instant = lambda ts: F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    ends = resolutions.where(known[0] & known[1] & F.col("resolved_at").isNotNull()).select(
+        *home, instant("resolved_at").alias("at"), F.lit(0).alias("turn"), F.lit(1).cast("long").alias("resolved"),
+        F.lit(None).cast(own.schema["run_id"].dataType).alias("run_id"), F.col("resolved_at").cast("timestamp").alias("resolved_at"))
+    begins = own.select(*home, instant("completed_at").alias("at"), F.lit(1).alias("turn"), zero.alias("resolved"), "run_id",
+                        F.lit(None).cast("timestamp").alias("resolved_at"))
+    swept = running_sums(begins.unionByName(ends), home, "at", "turn", ["resolved"])
+    # Rows of one instant are peers: the largest count among equal resolutions numbers them, each failure sees it whole.
+    numbers = swept.where(F.col("turn") == 0).select(*home, F.col("resolved_upto").alias("stretch"), "resolved_at")
+    counted = swept.where(F.col("turn") == 1).select("run_id", "at", F.col("resolved_upto").alias("stretch")).distinct()
+    placed = failures.withColumn("at", instant("completed_at")).join(counted, ["run_id", "at"], "left").drop("at")
+    return placed.withColumn("stretch", F.coalesce("stretch", zero)), numbers
+
+
 def group_failures(failures: DataFrame, open_issues: DataFrame, policy: str,
-                   time_zone: str = "UTC") -> DataFrame:
+                   time_zone: str = "UTC", resolutions: DataFrame | None = None) -> DataFrame:
     """Fold a batch of failures into issues.
 
     ``one_per_execution`` opens an issue each; ``one_per_rule`` adds to the open
@@ -79,6 +104,10 @@ def group_failures(failures: DataFrame, open_issues: DataFrame, policy: str,
 
     ``failures``: run_id, rule_id, dataset_id, rows_failed, completed_at.
     ``open_issues``: issue_id, rule_id, dataset_id, status, failure_count, opened_at.
+    ``resolutions``: rule_id, dataset_id, resolved_at of issues resolved while the batch's failures
+    came in. They end what is open then: a later failure opens a new issue. The result then has
+    ``resolved_at`` too, NULL for issues still open; only failures before a rule's first resolution
+    add to an issue of ``open_issues``.
     """
     if policy not in ("one_per_execution", "one_per_rule", "one_per_day"):
         raise ValueError(f"unknown grouping policy {policy!r}")
@@ -93,7 +122,12 @@ def group_failures(failures: DataFrame, open_issues: DataFrame, policy: str,
         alone = F.lit(True)
     keyed = failures.withColumns({"day": day("completed_at"),
                                   "own": F.when(alone, F.col("run_id"))})
-    batch = keyed.groupBy("rule_id", "dataset_id", "day", "own").agg(
+    numbers = None
+    if resolutions is None:
+        keyed = keyed.withColumn("stretch", F.lit(0).cast("long"))
+    else:
+        keyed, numbers = _since_resolutions(keyed, resolutions)
+    batch = keyed.groupBy("rule_id", "dataset_id", "day", "own", "stretch").agg(
         F.sum("rows_failed").alias("added"), F.count("*").alias("failures"),
         F.min("completed_at").alias("first_seen"), F.max("completed_at").alias("last_seen_at"))
     candidates = open_issues.where(F.col("status").isin(*OPEN_STATUSES)).withColumn(
@@ -103,14 +137,21 @@ def group_failures(failures: DataFrame, open_issues: DataFrame, policy: str,
         F.max_by(F.struct("issue_id", "failure_count", "opened_at"),
                  F.struct("opened_at", "issue_id")).alias("issue"))
     on = [F.col("rule_id") == F.col("r"), F.col("dataset_id") == F.col("d"),
-          F.col("day").eqNullSafe(F.col("issue_day")), F.col("own").isNull()]
+          F.col("day").eqNullSafe(F.col("issue_day")), F.col("own").isNull(), F.col("stretch") == 0]
     joined = batch.join(target, on, "left")
+    ended = []
+    if numbers is not None:
+        ends = numbers.select(F.col("rule_id").alias("__r"), F.col("dataset_id").alias("__d"),
+                              (F.col("stretch") - 1).alias("__stretch"), "resolved_at")
+        joined = joined.join(ends, (F.col("rule_id") == F.col("__r")) & (F.col("dataset_id") == F.col("__d"))
+                             & (F.col("stretch") == F.col("__stretch")), "left")
+        ended = ["resolved_at"]
     total = F.coalesce(F.col("issue.failure_count"), F.lit(0)) + F.col("added")
     return joined.select(
         "rule_id", "dataset_id", F.col("issue.issue_id").alias("issue_id"),
         F.when(F.col("issue").isNull(), "insert").otherwise("update").alias("action"),
         "failures", total.cast("long").alias("failure_count"),
-        F.coalesce(F.col("issue.opened_at"), F.col("first_seen")).alias("opened_at"), "last_seen_at")
+        F.coalesce(F.col("issue.opened_at"), F.col("first_seen")).alias("opened_at"), "last_seen_at", *ended)
 
 
 def auto_incidents(issues: DataFrame, open_links: DataFrame, min_severity: str = "major",

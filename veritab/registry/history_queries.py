@@ -672,6 +672,41 @@ def _group_rule(t):
     return incidents.group_failures(t["failures"], t["open_issues"], "one_per_rule")
 
 
+# A run now and then resolves what is open for its rule and dataset; later failures open anew.
+derive("resolutions", "rule_runs", ["rule_id", "dataset_id", "CASE WHEN run_id % 7 = 3 THEN completed_at END AS resolved_at"])
+
+
+def _resolved_sql(day: str) -> str:
+    return f"""
+    WITH r AS (SELECT * FROM {source('resolutions')} x WHERE resolved_at IS NOT NULL),
+    n AS (SELECT f.run_id, count(r.resolved_at) AS stretch FROM {source('failures')} f
+          LEFT JOIN r ON f.rule_id = r.rule_id AND f.dataset_id = r.dataset_id AND r.resolved_at <= f.completed_at GROUP BY 1),
+    f AS (SELECT x.*, stretch, {day.format(ts='completed_at')} AS day, CASE WHEN {_NO_HOME} THEN run_id END AS own
+          FROM {source('failures')} x JOIN n USING (run_id)),
+    b AS (SELECT rule_id, dataset_id, day, own, stretch, sum(rows_failed) AS added, count(*) AS failures,
+                 min(completed_at) AS first_seen, max(completed_at) AS last_seen_at FROM f GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY rule_id, dataset_id, day ORDER BY opened_at DESC, issue_id DESC) AS rn
+          FROM (SELECT *, {day.format(ts='opened_at')} AS day FROM {source('open_issues')} y
+                WHERE status IN ('open', 'in_progress', 'reopened')) z),
+    ends AS (SELECT rule_id, dataset_id, resolved_at, row_number() OVER (PARTITION BY rule_id, dataset_id ORDER BY resolved_at) AS nth FROM r)
+    SELECT b.rule_id, b.dataset_id, o.issue_id, CASE WHEN o.issue_id IS NULL THEN 'insert' ELSE 'update' END AS action,
+           b.failures, CAST(coalesce(o.failure_count, 0) + b.added AS BIGINT) AS failure_count,
+           coalesce(o.opened_at, b.first_seen) AS opened_at, b.last_seen_at, e.resolved_at
+    FROM b LEFT JOIN o ON b.rule_id = o.rule_id AND b.dataset_id = o.dataset_id AND o.rn = 1
+         AND b.own IS NULL AND b.stretch = 0 AND (b.day = o.day OR (b.day IS NULL AND o.day IS NULL))
+    LEFT JOIN ends e ON b.rule_id = e.rule_id AND b.dataset_id = e.dataset_id AND e.nth = b.stretch + 1"""
+
+
+@query("INC-group.resolved", _resolved_sql("CAST(NULL AS DATE)"))
+def _group_resolved(t):
+    return incidents.group_failures(t["failures"], t["open_issues"], "one_per_rule", resolutions=t["resolutions"])
+
+
+@query("INC-group.resolved_day", _resolved_sql("CAST({ts} + INTERVAL '5' HOUR AS DATE)"))
+def _group_resolved_day(t):
+    return incidents.group_failures(t["failures"], t["open_issues"], "one_per_day", "Etc/GMT-5", t["resolutions"])
+
+
 # Etc/GMT-5 is five hours east of Greenwich, without daylight saving.
 @query("INC-group.day", _group_sql("CAST({ts} + INTERVAL '5' HOUR AS DATE)", _NO_HOME))
 def _group_day(t):
