@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab import Check, run_suite, violations
-from veritab.plans import evidence, profile
+from veritab.plans import evidence, profile, sketches
 from veritab.sources import readers, sinks
 from veritab.sources.scratch import scratch_path
 from veritab.streaming import checks as streaming
@@ -164,3 +164,19 @@ def test_rows_of_custom_sql(spark):
     assert sorted(r.row_id for r in violations(t, sampled).collect()) == ["2", "3"]
     with pytest.raises(ValueError, match="lists no rows"):
         violations(t, check(sql=f"SELECT {counts} FROM {{dataset}}"))
+
+
+def test_sketches_of_parts(spark):
+    df = spark.range(30_000).selectExpr("id % 7001 AS k", "cast(id AS string) AS s", "if(id % 5 = 0, null, id / 8) AS x", "id % 2 = 0 AS b",
+                                        "date_add(date'2024-01-01', cast(id % 400 AS int)) AS d", "array(id) AS a")
+    stored = sketches.column_sketches(df, F.col("k") % 6)
+    assert stored.count() == 30 and "Join" not in stored._jdf.queryExecution().executedPlan().toString()
+    got = {r.column_name: r for r in sketches.merged_sketches(stored, df.schema).collect()}
+    exact = {"k": 7001, "s": 30_000, "x": 24_000, "b": 2, "d": 400}
+    assert set(got) == set(exact)
+    for name, n in exact.items():
+        assert abs(got[name].n_distinct - n) <= 5 * sketches.ERROR * n
+    assert (got["k"].least, got["k"].greatest, got["x"].n_nulls, got["x"].greatest) == ("0", "7000", 6000, "3749.875")
+    assert (got["s"].greatest, got["d"].greatest, got["b"].n_rows) == ("9999", "2025-02-03", 30_000)
+    some = sketches.merged_sketches(stored.where("part < 3"), df.schema).where("column_name = 'k'").first()
+    assert abs(some.n_distinct - 3501) <= 5 * sketches.ERROR * 3501

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from veritab.model import Check
-from veritab.plans import evidence, preview, profile
+from veritab.plans import evidence, preview, profile, sketches
 from veritab.plans.suite import run_check, run_suite, violations
 from veritab.registry.base import AS_OF, Catalog, query, source, summary_sql
 from veritab.sources import readers, sinks
@@ -117,6 +117,24 @@ def _colmeta(t):
         "sample_values", F.array_join("sample_values", "|"))
 
 
+_SKETCHED = ["o_orderkey", "o_custkey", "o_orderpriority", "currency"]
+
+
+# Sketches of seven parts, stored and merged; the estimate has to be within five standard errors.
+@query("SRC-colmeta.sketches", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, CAST(min({c}) AS VARCHAR) AS least,
+        CAST(max({c}) AS VARCHAR) AS greatest, TRUE AS close FROM {source('ords')} t""" for c in _SKETCHED))
+def _sketches(t):
+    df = t["ords"].select(*_SKETCHED)
+    path = scratch_path(spark_of(t), "sketches")
+    sketches.column_sketches(df, F.col("o_orderkey") % 7).write.parquet(path)
+    merged = sketches.merged_sketches(spark_of(t).read.parquet(path), df.schema)
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in _SKETCHED]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in _SKETCHED])))
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 5 * sketches.ERROR * F.col("exact")
+    return merged.join(exact, "column_name").withColumn("close", close).drop("n_distinct", "exact")
+
+
 # --- sinks ---
 _SINK_CHECKS = [Check("k1", "completeness", "null", "ords", ("status",)),
                 Check("k2", "validity", "range", "ords", ("o_totalprice",), {"min_value": 5000})]
