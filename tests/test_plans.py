@@ -1,6 +1,8 @@
 """The shape of plans: scans, pushdown, bounded tasks, no Python rows."""
 
 import glob
+import json
+import random
 import re
 
 import pytest
@@ -10,6 +12,7 @@ from veritab import Check, run_check, run_suite, violations
 from veritab.functions.quantiles import quantile_row
 from veritab.history import effectiveness
 from veritab.plans import profile
+from veritab.plans.suite import first_by_hash, suite_evidence
 
 COLUMNS = "id long, k int, s string, v double, ts timestamp"
 
@@ -118,3 +121,20 @@ def test_library_has_no_forbidden_calls():
             text = f.read()
         for word in ("localCheckpoint", ".toPandas(", ".rdd", "pandas_udf", "F.udf"):
             assert word not in text, (name, word)
+
+
+def test_evidence_of_a_suite_is_one_scan(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, rng.choice([None, 1, 2, 30]), rng.choice([None, "a", "bb"])) for i in range(400)]
+    spark.createDataFrame(rows, "id int, n int, s string").write.parquet(str(tmp_path / "t"))
+    t = {"t": spark.read.parquet(str(tmp_path / "t"))}
+    checks = [Check("a", "completeness", "null", "t", ("n",)), Check("b", "validity", "range", "t", ("n",), {"max_value": 5}, filter="s = 'a'"),
+              Check("c", "conformity", "length", "t", ("s",), {"max_length": 1}), Check("d", "validity", "range", "t", ("n",), {"max_value": 99}),
+              Check("u", "uniqueness", "exact", "t", ("s",))]
+    got = suite_evidence(t, checks, {"t": ["id"]}, 25)
+    one = suite_evidence(t, checks[:4], {"t": ["id"]}, 25)._jdf.queryExecution().executedPlan().toString()
+    assert one.count("FileScan") == 1 and "WindowGroupLimit" in one
+    for check in checks:
+        single = first_by_hash(violations(t, check), ["id"], 25).collect()
+        assert sorted(json.loads(r.record)["id"] for r in got.where(F.col("check_id") == check.check_id).collect()) == sorted(r.id for r in single)
+        assert len(single) == min(25, violations(t, check).count())

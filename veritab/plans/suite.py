@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.functions.relations import sum_where
@@ -203,6 +203,48 @@ def violations(tables: Tables, check: Check, as_of: Column | str | None = None)
     return table_plan(tables, check, now).violations()
 
 
+def first_by_hash(rows: DataFrame, key: Sequence[str], limit: int, by: Sequence[str] = ()) -> DataFrame:
+    """The ``limit`` rows (of each value of ``by``) whose key has the smallest hash: a restart takes the same rows."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    order = Window.partitionBy(*by).orderBy("__place", *key)
+    placed = rows.withColumn("__place", F.md5(text))
+    if not by:
+        return placed.orderBy("__place", *key).limit(limit).drop("__place")
+    return placed.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= limit).drop("__place", "__nth")
+
+
+def suite_evidence(tables: Tables, checks: Iterable[Check], keys: dict[str, Sequence[str]], limit: int = 100,
+                   as_of: Column | str | None = None) -> DataFrame:
+    """Failing rows of many checks: ``check_id, dataset, record`` (the row as JSON), ``limit`` of each check.
+
+    Row-level checks of a table are told apart in one scan, which tags each row with the checks it
+    fails; tasks keep their first rows of each check before the shuffle. The rows are those that
+    ``first_by_hash`` takes of each check's ``violations``. Checks of other kinds have a plan each.
+    """
+    now = moment(as_of)
+    per_table: dict[str, list[Check]] = {}
+    parts: list[DataFrame] = []
+    for check in checks:
+        if is_row_level(check):
+            per_table.setdefault(check.dataset, []).append(check)
+        else:
+            rows = violations(tables, check, now)
+            key = [c for c in keys[check.dataset] if c in rows.columns] or rows.columns
+            parts.append(first_by_hash(rows, key, limit).select(
+                F.lit(check.check_id).alias("check_id"), F.lit(check.dataset).alias("dataset"), F.to_json(F.struct(*rows.columns)).alias("record")))
+    for name, group in per_table.items():
+        df, tags = tables[name], []
+        for check in group:
+            rule = row_rule(check, now)
+            scope = _scope(check, rule)
+            tags.append(F.when(rule.failed if scope is None else scope & rule.failed, F.lit(check.check_id)))
+        tagged = df.withColumn("__checks", F.array_compact(F.array(*tags))).where(F.size("__checks") > 0)
+        each = tagged.select(F.explode("__checks").alias("__check"), *df.columns)
+        parts.append(first_by_hash(each, keys[name], limit, ["__check"]).select(
+            F.col("__check").alias("check_id"), F.lit(name).alias("dataset"), F.to_json(F.struct(*df.columns)).alias("record")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def independent(members: Sequence[Check], group_id: str) -> list[tuple[Check, str]]:
     """An INDEPENDENT group: its members run as separate checks under one id."""
     return [(member, group_id) for member in members]

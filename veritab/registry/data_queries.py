@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from veritab.model import Check
 from veritab.plans import evidence, preview, profile, sketches
-from veritab.plans.suite import run_check, run_suite, violations
+from veritab.plans.suite import run_check, run_suite, suite_evidence, violations
 from veritab.registry.base import AS_OF, Catalog, query, source, summary_sql
 from veritab.sources import readers, sinks
 from veritab.sources.scratch import scratch_path
@@ -200,6 +200,22 @@ def _page(t):
     return evidence.evidence_page(violations(t, _BAD_ORDERS, AS_OF), ["o_orderkey"]).select("o_orderkey", "booked")
 
 
+_MANY = [Check("e1", "completeness", "null", "ords", ("status",)), Check("e2", "validity", "range", "ords", ("o_totalprice",), {"min_value": 50000}),
+         Check("e3", "completeness", "null", "ords", ("booked",), filter="o_orderstatus = 'F'"),
+         Check("e4", "completeness", "null", "cust", ("email",))]
+_MANY_SQL = " UNION ALL ".join(f"""SELECT * FROM (SELECT '{c}' AS check_id, CAST({k} AS VARCHAR) AS id FROM {source(n)} t WHERE {w}
+    ORDER BY md5(CAST({k} AS VARCHAR)), {k} LIMIT 40) {c}""" for c, n, k, w in (
+    ("e1", "ords", "o_orderkey", "status IS NULL"), ("e2", "ords", "o_orderkey", "NOT (o_totalprice >= 50000) OR o_totalprice IS NULL"),
+    ("e3", "ords", "o_orderkey", "booked IS NULL AND o_orderstatus = 'F'"), ("e4", "cust", "c_custkey", "email IS NULL")))
+
+
+@query("EVD-rows.suite", _MANY_SQL)
+def _suite_rows(t):
+    """Up to 40 rows for each of four checks, a scan a table."""
+    found = suite_evidence(t, _MANY, {"ords": ["o_orderkey"], "cust": ["c_custkey"]}, 40, AS_OF)
+    return found.select("check_id", F.coalesce(F.get_json_object("record", "$.o_orderkey"), F.get_json_object("record", "$.c_custkey")).alias("id"))
+
+
 _DUPLICATE_ROWS = """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_orderkey, l_linenumber) IN (
     SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"""
 
