@@ -14,8 +14,8 @@ The tree's upper levels are laid out over the cluster, its lower levels in the t
    of nodes when the overlap that is possible at most is below what the smallest sizes need, or when
    all below both is connected already. Surviving pairs of sets are compared token by token.
 
-Equal sets are one set throughout. A neighbourhood of more than ``BLOCK`` sets is split into blocks,
-and each pair of blocks is a unit of its own, so no task holds an unbounded group.
+Equal sets are one set throughout. A neighbourhood of more than ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens
+is split into blocks, and each pair of blocks is a unit of its own, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
+from veritab.llm.common import ending, mix, ship, sliced, stored, table, text_bytes
 from veritab.llm.components import components
 from veritab.llm.words import LOWER, hashes, lookup, spans
 
 SHINGLE, NEED = 3, (90, 100)  # link if 100 * intersection >= 90 * union
 BLANK = lookup(9, 10, 11, 12, 13, 32)
 SAMPLE, MOST_COMMON = 4000, 4096  # documents sampled for tokens that many have; bound on those
-RATIO, BLOCK, LEAF, FAN, WORDS = 1.5, 5000, 32, 8, 16
+RATIO, LEAF, FAN, WORDS = 1.5, 32, 8, 16
+#: Sets and tokens of a block, on average.
+BLOCK, BLOCK_TOKENS = 5000, 2_000_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -174,7 +176,7 @@ def common_tokens(docs: DataFrame, size: int, shingle: int) -> np.ndarray:
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (x, a, lead) sorted by key: a link (u, v) from each set to the first with the same key, and the links as they came."""
     key = first = None
-    for batch in batches:
+    for batch in ending(batches):
         known = batch.filter(batch["lead"].is_valid())
         if len(known):
             yield pa.RecordBatch.from_arrays([known["a"], known["lead"]], ["u", "v"])
@@ -315,11 +317,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
+        for batch in sliced(batches, 1 << 20):
             yield doc_rows(batch["text"], batch["doc_id"], shingle)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
+        for batch in sliced(batches, 1 << 20):
             yield key_rows(batch["text"], need, shingle, common)
 
     entries = stored(docs.mapInArrow(named, "doc_id long, text_key long, n long, a long, b long"), "set-names")
@@ -327,9 +329,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
     keys = docs.mapInArrow(keyed, "x long, a long, lead long").repartition("x").sortWithinPartitions("x", "a")
     hoods = stored(components(keys.mapInArrow(leaders, "u long, v long")), "neighbourhoods")
 
-    sets = entries.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("text_key", "doc_id")).alias("pick"))
-    sets = sets.join(hoods.withColumnRenamed("node", "a"), "a").select("a", "b", "label", "pick.text_key", "pick.doc_id")
-    counts = sets.groupBy("label").agg((F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    sets = entries.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("text_key", "doc_id")).alias("pick"), F.max("n").alias("n"))
+    sets = sets.join(hoods.withColumnRenamed("node", "a"), "a").select("a", "b", "n", "label", "pick.text_key", "pick.doc_id")
+    counts = sets.groupBy("label").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     sets = stored(sets.join(counts, "label").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")), "sets-in-question")
 
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,7 +370,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
         def emit(links: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b", "c", "d"])
 
-        for batch in batches:
+        for batch in ending(batches):
             columns = [batch[c].to_pylist() for c in ("label", "i", "j", "block", "a", "b", "packed")]
             for label, i, j, *row in zip(*columns, strict=True):
                 if (label, i, j) != at:
