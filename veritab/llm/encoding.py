@@ -38,7 +38,7 @@ class Encoder:
     special token, go to the library whole.
     """
 
-    def __init__(self, path: str, by_word: bool = True, keep: int = 300_000):
+    def __init__(self, path: str, by_word: bool = True, keep: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

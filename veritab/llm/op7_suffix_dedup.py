@@ -34,7 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
+from veritab.llm.common import ending, mix, ship, sliced, stored, table, text_bytes
 from veritab.llm.words import hashes, lookup, spans as word_spans
 
 LENGTH, GRAM, STRIDE = 400, 64, 50
@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) ->
     content = ["m", "c1", "c2"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2 << 20):
+        for batch in sliced(batches, 1 << 20):
             yield runs_of(batch["text"], batch["doc_id"], length, unit)
 
     runs = stored(docs.mapInArrow(first_pass, RUNS), "window-runs")
@@ -303,11 +303,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) ->
     contents = stored(contents, "window-contents")
     kinds = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + (length - 1)).alias("held"))
     # what may hold repeats that its own copies don't show
+    most = max(1, BUCKET_BYTES // np.dtype(unit.kind).itemsize)
     open_ = stored(contents.join(kinds.filter("kinds > 1"), "m", "left").filter("kinds > 1 or own").select(
-        *content, "n", "pick.doc_id", "pick.t1", "pick.t2", "pick.off", F.expr(f"coalesce(held, n + {length - 1}) > {BUCKET_BYTES}").alias("hot")), "open-contents")
+        *content, "n", "pick.doc_id", "pick.t1", "pick.t2", "pick.off", F.expr(f"coalesce(held, n + {length - 1}) > {most}").alias("hot")), "open-contents")
     total, any_hot = open_.agg(F.sum(F.expr(f"if(hot, 0, n + {length})")), F.max("hot")).first()
     total = total or 0
-    buckets = max(1, -(-int(total) // BUCKET_BYTES))
+    buckets = max(1, -(-int(total) // most))
 
     asked = open_.groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct(*content, "off", "n", "hot")).alias("parts"))
     own = keyed_texts(docs)
@@ -345,7 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) ->
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows arrive sorted by bucket; one bucket is held at a time."""
         at, held = None, []
-        for batch in batches:
+        for batch in ending(batches):
             for bucket, *row in zip(*(batch[c].to_pylist() for c in ("bucket", "m", "c1", "c2", "bytes")), strict=True):
                 if bucket != at:
                     if held and (out := search(held)):
