@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab import Check, run_check, violations
-from veritab.functions import nearby
+from veritab.functions import nearby, relations
 from veritab.functions.relations import pair_counts
 
 ROWS = "k1 int, k2 string, a double, b string"
@@ -50,6 +50,27 @@ def test_pair_counts(sides):
             len(joined), verdicts.count(True), verdicts.count(False))
 
 
+def test_pair_counts_are_dealt_by_size(spark, tmp_path, monkeypatch):
+    """Shuffles of pair counts have tasks by the bytes of the files, not the session's few."""
+    rows = spark.range(4000).selectExpr("id as k", "id % 3 as a", "id % 5 as b", "if(id % 2 = 0, id, null) as c")
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(relations, "TASK_BYTES", 1000)
+    tasks = relations.tasks_by_size(df, df)
+    assert tasks > 20
+    for columns in (["a"], ["a", "b", "c"]):
+        found = pair_counts(df, df, [("k", "k")], [(c, c) for c in columns])
+        assert f", {tasks})" in found._jdf.queryExecution().optimizedPlan().toString() or f"), {tasks}" in found._jdf.queryExecution().optimizedPlan().toString()
+        row = found.first()
+        assert (row.pairs, row.equal_pairs, row.differing_pairs) == (4000, 2000 if "c" in columns else 4000, 0)
+
+
+def test_pair_counts_add_up_copies_from_many_tasks(spark):
+    rows = spark.createDataFrame([(1, "x", None, 2)] * 50 + [(1, "y", 1, 2)] * 30, "k int, a string, b int, c int").repartition(16)
+    row = pair_counts(rows, rows, [("k", "k")], [(c, c) for c in "abc"]).first()
+    assert (row.pairs, row.equal_pairs, row.differing_pairs) == (6400, 900, 3000)
+
+
 @pytest.mark.parametrize("kind,value", [("absolute", 1.0), ("absolute", 0.0), ("percentage", 30.0),
                                         ("percentage", 150.0), ("none", None)])
 def test_tolerance(sides, kind, value):

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 
 KeyPairs = list[tuple[str, str]]
 
+# Bytes of input files for each task of a shuffle that is dealt by size. Parquet grows many times in memory.
+TASK_BYTES = 4 << 20
+# Sizes from here on are Spark's placeholders for what it can't tell.
+UNKNOWN_BYTES = 1 << 50
+# Copies of a row are collapsed by at most so many tasks before they meet.
+SPREAD = 8
+
 
 def key_pairs(keys) -> KeyPairs:
     """Join keys as plain names or ``{"source": .., "target": ..}`` pairs."""
@@ -41,6 +48,18 @@ def small_enough_to_broadcast(df: DataFrame) -> bool:
     return estimate <= limit
 
 
+def tasks_by_size(*frames: DataFrame) -> int:
+    """Tasks for a shuffle of the frames' rows: as many more as the files they read are larger."""
+    spark, held = frames[0].sparkSession, 0
+    for df in frames:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        if max(sizes, default=0) >= UNKNOWN_BYTES:
+            return int(spark.conf.get("spark.sql.shuffle.partitions"))
+        held += sum(sizes)
+    return max(spark.sparkContext.defaultParallelism, -(-held // TASK_BYTES))
+
+
 def match_keys(left: DataFrame, right: DataFrame, how: str, names: list[str],
                null_safe: bool = False) -> DataFrame:
     """Join on ``__key`` columns that both sides carry under the same names."""
@@ -86,8 +105,12 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
     the other side has *under the same key* (one, where keys are unique), with the values
     outside the shared pattern blanked. One or two columns have at most four patterns, all
     of which are faced without looking them up.
+
+    Cells are counted behind the shuffle, in as many tasks as the input is large, so that the
+    memory of a task doesn't follow the input; copies are spread over ``SPREAD`` tasks, and
+    all that follows adds up weights, whichever cell they come from.
     """
-    width = len(compared)
+    width, tasks = len(compared), tasks_by_size(left, right)
     full = (1 << width) - 1
     keys_out = [f"__k{i}" for i in range(len(keys))]
     vals = [f"__c{i}" for i in range(width)]
@@ -102,7 +125,9 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
         return shaped.withColumn("mask", mask)
 
     def cells_of(df: DataFrame, which: int) -> DataFrame:
-        return side(df, which).groupBy(*keys_out, "mask", *vals).agg(F.count("*").alias("n"))
+        spread = side(df, which).withColumn("spread", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+        cell = [*keys_out, "mask", *vals, "spread"]
+        return spread.repartition(tasks, *cell).groupBy(*cell).agg(F.count("*").alias("n"))
 
     def counted(df: DataFrame, which: int) -> DataFrame:
         one, zero = F.col("n"), F.lit(0).cast("long")
@@ -112,7 +137,8 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
         if width <= 2:  # so few patterns that each cell faces them all
             spread = mine.withColumn("other", F.explode(F.array(*[F.lit(p) for p in range(full + 1)])))
         else:
-            spread = mine.join(theirs.select(*keys_out, F.col("mask").alias("other")).distinct(), keys_out)
+            met = theirs.select(*keys_out, F.col("mask").alias("other")).repartition(tasks, *keys_out).distinct()
+            spread = mine.repartition(tasks, *keys_out).join(met.hint("merge"), keys_out)
         shared = F.col("mask").bitwiseAND(F.col("other"))
         own, facing_ = ("mask", "other") if which == 0 else ("other", "mask")
         one, zero = F.col("n"), F.lit(0).cast("long")
@@ -128,7 +154,8 @@ def pair_counts(left: DataFrame, right: DataFrame, keys: KeyPairs,
     per_key = counted(a, 0).unionByName(counted(b, 1)).groupBy(*keys_out).agg(*sums)
     pairs = per_key.agg(F.coalesce(F.sum(product), zero).alias("pairs"))
     whole = (F.col("ml") == full) & (F.col("mr") == full)
-    agreeing = facing(a, b, 0).unionByName(facing(b, a, 1)).groupBy(*keys_out, "ml", "mr", *vals).agg(*sums).agg(
+    cell = [*keys_out, "ml", "mr", *vals]
+    agreeing = facing(a, b, 0).unionByName(facing(b, a, 1)).repartition(tasks, *cell).groupBy(*cell).agg(*sums).agg(
         F.coalesce(F.sum(product), zero).alias("maybe"),
         F.coalesce(F.sum(F.when(whole, product)), zero).alias("equal_pairs"))
     return attach_one_row(pairs, agreeing).select(
