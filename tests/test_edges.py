@@ -26,6 +26,29 @@ def test_skipped_lines_are_counted(spark, tmp_path):
     assert readers.read_csv(spark, str(tmp_path / "s.csv")).count() == 2
 
 
+def test_json_documents_lie_in_one_folder_and_tasks_infer_from_them(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from veritab import registry
+
+    spark.range(950).selectExpr("id as c_custkey", "concat('n', id) as c_name", "cast(id % 25 as int) as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "nation.parquet"))
+    folder, given, schema = tmp_path / "json", [], DataFrameReader.schema
+    monkeypatch.setattr(DataFrameReader, "schema", lambda self, found: given.append(found) or schema(self, found))
+    for name, documents in (("SRC-json.object", 10), ("SRC-json.mixed", 20)):
+        at = str(folder / name)
+        monkeypatch.setattr("veritab.registry.data_queries.scratch_path", lambda spark, label, at=at: at)
+        monkeypatch.setattr("veritab.registry.edge_queries.scratch_path", lambda spark, label, at=at: at)
+        given.clear()
+        assert registry.queries()[name](spark, str(tmp_path)).count() == 950
+        assert len(list((folder / name).glob("part-*"))) == documents and given
+
+
+def test_each_json_document_in_utf_16_is_read(spark, tmp_path):
+    (tmp_path / "w.json").write_bytes(json.dumps([{"x": 1}, {"x": 2}]).encode("utf-16"))
+    assert sorted(r.x for r in readers.read_json(spark, str(tmp_path)).collect()) == [1, 2]
+
+
 def test_each_json_document_has_its_own_list(spark, tmp_path):
     for name, body in (("a", {"rows": [{"x": 1}, {"x": 2}]}), ("b", {"items": [{"y": "k"}]}), ("c", {"z": 5})):
         (tmp_path / f"{name}.json").write_text(json.dumps(body))

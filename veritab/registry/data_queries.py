@@ -56,8 +56,9 @@ def _json_object(t):
     row = F.struct(F.col("c_custkey").alias("c_custkey"), "c_name", "c_nationkey")
     documents = t["customer"].groupBy(F.floor(F.col("c_custkey") / 100).alias("part")).agg(
         F.collect_list(row).alias("rows"))
-    documents.select("part", F.to_json(F.struct(
-        F.lit("customers").alias("label"), "rows")).alias("value")).write.partitionBy("part").text(path)
+    # a file for each document, all in one folder: a folder for each is listed one by one
+    documents.select(F.to_json(F.struct(
+        F.lit("customers").alias("label"), "rows")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json(spark_of(t), path).select(
         "c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"))
 

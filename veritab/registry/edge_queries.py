@@ -52,7 +52,7 @@ def _json_mixed(t):
         F.to_json(F.struct(F.collect_list(F.struct(F.col("c_custkey").alias("even"))).alias("rows"))).alias("value"))
     odd = t["customer"].where("c_custkey % 2 = 1").groupBy((part + 1_000_000).alias("part")).agg(
         F.to_json(F.struct(F.collect_list(F.struct(F.col("c_custkey").alias("odd"), "c_name")).alias("items"))).alias("value"))
-    even.unionByName(odd).write.partitionBy("part").text(path)
+    even.unionByName(odd).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json(spark_of(t), path).select("even", "odd", "c_name")
 
 
