@@ -87,6 +87,30 @@ def test_merged_transforms_find_all_repeats():
             assert found.tolist() == [seen[s[i: i + 400]] > 1 for i in range(len(s) - 399)]
 
 
+def test_suffixes_without_repeats_are_not_sorted(monkeypatch):
+    """Strings under one smallest hash share less than a window: only their parts that may repeat are sorted and merged."""
+    rnd = random.Random(5)
+    fresh = lambda n: bytes(rnd.choices(b"abcdefghijklmnop ", k=n))
+    line, long = fresh(390), fresh(700)
+    strings = [fresh(3000) + line + fresh(3000) for _ in range(8)] + [fresh(2000) + long + fresh(2000) for _ in range(2)]
+    sizes, shard = [], op7.Shard
+    monkeypatch.setattr(op7, "Shard", lambda symbol, *a: sizes.append(len(symbol)) or shard(symbol, *a))
+    found = op7.repeated(strings, 400, 2000)
+    seen = Counter(s[i: i + 400] for s in strings for i in range(len(s) - 399))
+    assert [f.tolist() for f in found] == [[seen[s[i: i + 400]] > 1 for i in range(len(s) - 399)] for s in strings]
+    assert 1400 <= sum(sizes) <= 2000
+    words = [np.frombuffer(s[: len(s) // 8 * 8], np.uint64) for s in (fresh(3000), fresh(2400))]
+    words = [w.tobytes() for w in (words[0], np.concatenate((words[1], words[0][100:200])))]
+    assert [np.flatnonzero(f).tolist() for f in op7.repeated(words, 51, unit=op7.WORDS)] == [[*range(100, 150)], [*range(300, 350)]]
+
+
+def test_numbers_are_ordered_stably():
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 9, 1000), rng.integers(0, 2**62, 1000), np.zeros(0, np.int64), np.full(5, 2**62)):
+        order, ordered = op7.in_order(keys)
+        assert order.tolist() == np.argsort(keys, kind="stable").tolist() and ordered.tolist() == keys[order].tolist()
+
+
 def test_runs_cover_each_window_once():
     texts = ["ab" * 500, "", None, "x" * 399, "é" * 300, "".join(random.Random(1).choices("abcdef", k=3000))]
     runs = op7.runs_of(pa.array(texts), pa.array(range(len(texts)))).to_pydict()
