@@ -9,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.samples import odd_documents
+from veritab.llm import op6_packing as op6
 from veritab.llm.common import tokenizer_path
 from veritab.llm.encoding import Encoder
 from veritab.llm.op1_token_files import ShardReader, read_token_files, write_token_files
@@ -108,3 +109,21 @@ def test_windows_of_a_tier_are_full():
                 assert start == at
                 at += n
             assert at == size
+
+
+def test_packing_encodes_small_slices(spark, monkeypatch):
+    """What the encoder is given at once doesn't follow the size of Arrow batches."""
+    made = op6.encoder
+
+    def watched(path, by_word):
+        encode = made(path, by_word)
+
+        def small(column, end_id):
+            assert sum(len(t) for t in column.to_pylist()) <= 1.1 * (1 << 20)
+            return encode(column, end_id)
+
+        return small
+
+    monkeypatch.setattr(op6, "encoder", watched)
+    docs = spark.range(0, 1000, 1, 1).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text")
+    assert pack_documents(docs, tokenizer_path()).selectExpr("sum(length)").first()[0] == 1000 * 801

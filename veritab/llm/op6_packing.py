@@ -30,6 +30,8 @@ from veritab.llm.encoding import encoder
 TIERS = (4096, 2048, 1024, 512)
 HELD_IDS = 4_000_000
 STEP_IDS = 1 << 16
+#: Text encoded at once; arrays of words take some 50 times as much.
+SLICE_BYTES = 1 << 20
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded long, tier int, step_group long")
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -162,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_wor
                 [pa.array(c, pa.int32() if name == "tier" else pa.int64()) for name, c in zip(NAMES, columns, strict=True)], NAMES)
 
         size = 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, SLICE_BYTES):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"], end_id), strict=True):
                 held.append((doc_id, ids, 0, len(ids)))
                 size += len(ids)
