@@ -1,6 +1,7 @@
 """Duplicate checks against brute force."""
 
 import random
+import re
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -89,6 +90,14 @@ def test_keys_of_long_strings_grow_with_their_length(spark):
     assert 3 <= most[1600] / most[400] <= 5
 
 
+def test_distances_are_computed_once_and_candidates_dealt(spark):
+    """Filters on the distance don't copy it; long candidates are dealt to the tasks the session asks for."""
+    pairs = similar_pairs(spark.createDataFrame([("a" * 99,)], "v string"), 0.95)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("levenshtein(") == 1
+    assert re.search(r"RepartitionByExpression \[x#\d+, y#\d+\], " + spark.conf.get("spark.sql.shuffle.partitions"), plan)
+
+
 def test_shared_prefix_makes_no_candidates(spark):
     values = spark.range(2000).selectExpr("concat('Customer#', lpad(id * 7919 % 1000000, 9, '0')) AS v")
     assert fuzzy._by_deletion(values, 0.9).where("possible").distinct().count() < 2000 * 40
