@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.samples import odd_documents
+from veritab.llm import op5_toxicity as op5
 from veritab.llm import op9_html as op9
+from veritab.llm.common import ship
 from veritab.llm.labelled_pages import labelled_pages
 from veritab.llm.op3_quality import quality_scores, statistics
 from veritab.llm.op5_toxicity import toxicity_scores
@@ -48,6 +50,30 @@ def test_scores_of_odd_documents(spark):
         assert score(docs.filter("false"), labels).count() == 0
 
 
+def test_lexicon_is_learned_from_small_slices(spark, monkeypatch):
+    """What is counted at once doesn't follow the size of Arrow batches, and nothing is left out."""
+    made = op5.units
+
+    def small(data, starts):
+        assert len(data) <= 1.1 * (1 << 20)
+        return made(data, starts)
+
+    monkeypatch.setattr(op5, "units", small)
+    ship(spark)
+    train = spark.range(0, 1000, 1, 1).selectExpr("repeat(if(id % 10 = 0, 'vile words ', 'some words '), 400) AS text", "int(id % 10 = 0) AS y")
+    lexicon = op5.learn_lexicon(train)
+    assert sorted(lexicon.found) == sorted(made(np.frombuffer(b"vile", np.uint8), np.array([0, 4]))[2][0])
+
+
+def test_units_are_counted_once_a_text():
+    rng = np.random.default_rng(3)
+    for n in [0, 1, *rng.integers(2, 60, 50)]:
+        hashed, doc, y = rng.integers(0, 9, n).astype(np.uint64), np.sort(rng.integers(0, 7, n)), rng.integers(0, 2, 7)
+        both = sorted({(int(u), int(d)) for u, d in zip(hashed, doc, strict=True) if u})
+        expected = [(u, len(own), sum(int(y[d]) for _, d in own)) for u, own in ((u, list(own)) for u, own in itertools.groupby(both, lambda x: x[0]))]
+        assert [*zip(*(c.tolist() for c in op5.rows_of_units(hashed, doc, y)), strict=True)] == expected
+
+
 def test_statistics_see_whole_texts():
     plain, spoilt = "word " * 5000, "word " * 4000 + "WORD!! " * 1000
     a, b, none = statistics(pa.array([plain, spoilt, None]))

@@ -26,6 +26,8 @@ SAMPLE = 40_000
 LEXICON, LEAST_ROWS, LEAST_ODDS, LEAST_SURPRISE = 4096, 4, 2.0, 9.0
 PREFIXES = (4, 5, 6)
 NEAR = 8
+#: Text whose units are counted at once; its arrays take some 40 times as much.
+SLICE_BYTES = 1 << 20
 
 #: Second-person words of the corpus' languages.
 SECOND_PERSON = (
@@ -122,19 +124,31 @@ def measure(texts: pa.Array, lexicon: Lexicon, second: np.ndarray) -> np.ndarray
         of(np.flatnonzero(inside)) / words, of(tripled) / words, np.log1p(sums(doc, n))])
 
 
+def rows_of_units(hashed: np.ndarray, doc: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units (0 is none) in ascending order, in how many texts each occurs, and in how many with ``y``; ``doc`` ascends."""
+    some = np.flatnonzero(hashed)
+    some = some[np.argsort(hashed[some], kind="stable")]
+    unit, doc = hashed[some], doc[some]
+    new = np.ones(len(unit), bool)
+    new[1:] = unit[1:] != unit[:-1]
+    once = new.copy()
+    once[1:] |= doc[1:] != doc[:-1]
+    at = np.flatnonzero(new[once])
+    pos = np.add.reduceat(y[doc[once]], at) if len(at) else np.zeros(0, np.int64)
+    return unit[new], np.diff(at, append=np.count_nonzero(once)), pos
+
+
 def learn_lexicon(train: DataFrame) -> Lexicon:
     """``train(text, y)``, bounded. Units are counted on the cluster; at most LEXICON of them reach the driver."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 4 << 20):
+        for batch in sliced(batches, SLICE_BYTES):
             data, starts = text_bytes(batch["text"])
             begin, _, hashed, _ = units(data, starts)
             doc = np.searchsorted(starts, begin, "right") - 1
             y = batch["y"].to_numpy().astype(np.int64)
             for row in hashed:
-                both = np.unique(np.column_stack([row[row != 0], doc[row != 0].astype(np.uint64)]), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
-                unit, at, n = np.unique(both[:, 0], return_index=True, return_counts=True)
-                pos = np.add.reduceat(y[both[:, 1].astype(np.int64)], at) if len(at) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(unit.astype(np.int64)), pa.array(n), pa.array(pos)], ["unit", "n", "pos"])
+                unit, n, pos = rows_of_units(row, doc, y)
+                yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), pa.array(n), pa.array(pos)], ["unit", "n", "pos"])
 
     size, toxic = train.agg(F.count("*"), F.sum("y")).first()
     if not size or not toxic or toxic == size:

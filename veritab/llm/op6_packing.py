@@ -31,7 +31,7 @@ TIERS = (4096, 2048, 1024, 512)
 HELD_IDS = 4_000_000
 STEP_IDS = 1 << 16
 #: Text encoded at once; arrays of words take some 50 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "padded long, tier int, step_group long")
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
