@@ -1,6 +1,9 @@
 import os
 import random
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,8 @@ import corpus_pipeline as pipeline
 from tests.llm.samples import odd_documents
 from tests.llm.test_repeats_and_joins import brute_groups, brute_hits, brute_passages
 from veritab.llm import op7_suffix_dedup as op7
+from veritab.llm.common import ending, sliced, tokenizer_path
+from veritab.llm.encoding import encoder
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,3 +99,32 @@ def test_passages_of_documents_against_brute_force(spark):
     order = sorted(rows)
     got = {r.doc_id: r.text for r in pipeline.suffix_dedup(spark, docs, SF).collect()}
     assert [got[d] for d in order] == brute_passages([rows[d] for d in order])
+
+
+def test_workers_import_no_more_than_they_need():
+    """Workers import the modules of their functions; Spark's classifiers and pandas took 30 MB in each."""
+    code = "import sys, corpus_pipeline; print(sorted({'pandas', 'pyspark.ml'} & set(sys.modules)))"
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "[]"
+
+
+def test_tasks_of_other_stages_drop_the_encoder():
+    batch = pa.RecordBatch.from_pydict({"text": ["one two", None, "three"]})
+    for other in (sliced, ending):
+        encoder(tokenizer_path())
+        assert sum(len(b) for b in sliced(iter([batch]), remember=True)) == 3
+        assert encoder.cache_info().currsize == 1
+        assert sum(len(b) for b in other(iter([batch]))) == 3
+        assert encoder.cache_info().currsize == 0
+
+
+def test_stages_ask_for_small_batches(spark):
+    """A setting of the session's own stays."""
+    spark = spark.newSession()
+    pipeline.ship(spark)
+    pipeline.lean(spark)
+    assert spark.conf.get(pipeline.ARROW_BATCH) == pipeline.STAGE_BATCH and spark.conf.get(pipeline.READER_ROWS) == pipeline.STAGE_ROWS
+    spark.conf.set(pipeline.ARROW_BATCH, "2097152b")
+    spark.conf.set(pipeline.READER_ROWS, "100")
+    pipeline.lean(spark)
+    assert spark.conf.get(pipeline.ARROW_BATCH) == "2097152b" and spark.conf.get(pipeline.READER_ROWS) == "100"

@@ -136,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, writer, sink, name = TaskContext.get().partitionId(), None, None, None
         encode = None
-        for batch in sliced(batches):
+        for batch in sliced(batches, remember=True):
             if not len(batch):
                 continue
             if writer is None:

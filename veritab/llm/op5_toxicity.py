@@ -14,8 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritab.llm.common import mix, ship, sliced, stored, table, text_bytes
@@ -27,7 +25,7 @@ LEXICON, LEAST_ROWS, LEAST_ODDS, LEAST_SURPRISE = 4096, 4, 2.0, 9.0
 PREFIXES = (4, 5, 6)
 NEAR = 8
 #: Text whose units are counted at once; its arrays take some 40 times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Second-person words of the corpus' languages.
 SECOND_PERSON = (
@@ -180,6 +178,10 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     empty texts have a score like any other; when labels of both kinds are missing each score is the
     share of toxic rows (0 without labels); an empty table gives no rows; other columns are ignored.
     """
+    # Workers import this module too, and these hold 30 MB (pandas is among them).
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.filter("toxic is not null").filter(remainder("doc_id", 3) != 1).select(

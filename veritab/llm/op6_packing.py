@@ -164,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID, by_wor
                 [pa.array(c, pa.int32() if name == "tier" else pa.int64()) for name, c in zip(NAMES, columns, strict=True)], NAMES)
 
         size = 0
-        for batch in sliced(batches, SLICE_BYTES):
+        for batch in sliced(batches, SLICE_BYTES, remember=True):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"], end_id), strict=True):
                 held.append((doc_id, ids, 0, len(ids)))
                 size += len(ids)
