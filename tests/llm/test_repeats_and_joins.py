@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.samples import odd_documents
 from veritab.llm import op2_decontamination as op2, op7_suffix_dedup as op7, op8_signature_join as op8
@@ -269,3 +270,34 @@ def test_components_follow_long_paths(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_each_two_blocks_meet_once(spark):
+    """One of them is held where they meet; a set travels to fewer units than there are blocks."""
+    for n in (1, 2, 3, 8, 9, 16, 31):
+        rows = spark.range(n).selectExpr("cast(id as int) block", f"{n} blocks").select("block", F.explode(op8.meetings()).alias("m")).select("block", "m.*").collect()
+        units = {}
+        for r in rows:
+            units.setdefault((r.i, r.u), {})[r.d] = r.block
+        assert sum(map(len, units.values())) == len(rows) and all(own[0] == i for (i, _), own in units.items())
+        met = sorted(tuple(sorted((i, j))) for (i, _), own in units.items() for d, j in own.items() if d)
+        assert met == [(i, j) for i in range(n) for j in range(i + 1, n)]
+        assert {i for i, u in units if u == 0} == set(range(n))
+        assert max(map(len, units.values())) <= op8.PASSED + 1 and len(rows) <= n * (0.5 * n + n / 8 + 1.5)
+
+
+def test_many_blocks_lose_no_link(spark, monkeypatch):
+    rnd = random.Random(80)
+    base = [f"W{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        own = base[:]
+        for _ in range(rnd.randrange(1, 4)):
+            own[rnd.randrange(120)] = f"x{rnd.randrange(12)}"
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i: i + 3]) for i in range(len(w) - 2)} for w in (t.lower().split() for t in texts)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = brute_groups(sets, (90, 100))
+    assert 1 < len(set(wanted)) < 60
+    monkeypatch.setattr(op8, "BLOCK", 4)
+    assert [r.component_id for r in op8.near_duplicates(docs).orderBy("doc_id").collect()] == wanted

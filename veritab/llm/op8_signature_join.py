@@ -15,7 +15,8 @@ The tree's upper levels are laid out over the cluster, its lower levels in the t
    all below both is connected already. Surviving pairs of sets are compared token by token.
 
 Equal sets are one set throughout. A neighbourhood of more than ``BLOCK`` sets or ``BLOCK_TOKENS`` tokens
-is split into blocks, and each pair of blocks is a unit of its own, so no task holds an unbounded group.
+is split into blocks. A unit holds one of them and lets ``PASSED`` others pass by, one at a time, so no task holds an
+unbounded group and a set travels to fewer units than there are blocks.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ SAMPLE, MOST_COMMON = 4000, 4096  # documents sampled for tokens that many have;
 RATIO, LEAF, FAN, WORDS = 1.5, 32, 8, 16
 #: Sets and tokens of a block, on average.
 BLOCK, BLOCK_TOKENS = 5000, 2_000_000
+#: Blocks that pass by the one a unit holds.
+PASSED = 4
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -303,6 +306,19 @@ def name(a: str = "a", b: str = "b") -> Column:
     return F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
 
+def meetings() -> Column:
+    """The units of a set in ``block`` of ``blocks``: the block i that is held there, the unit's number u of those that hold it, and
+    how many blocks d lie from i to the set's own (in a ring; 0: it is held). Each two blocks meet in one unit.
+    """
+    block, blocks = F.col("block"), F.col("blocks")
+    half = F.floor(blocks / 2).cast("int")
+    far = F.sequence(F.lit(0), half)
+    held = F.transform(F.filter(far, lambda u: (u == 0) | (u * PASSED < half)), lambda u: F.struct(block.alias("i"), u.alias("u"), F.lit(0).alias("d")))
+    start = lambda d: F.pmod(block - d, blocks)
+    passing = F.filter(far, lambda d: (d > 0) & ((d * 2 != blocks) | (start(d) < block)))
+    return F.concat(held, F.transform(passing, lambda d: F.struct(start(d).alias("i"), F.floor((d - 1) / PASSED).cast("int").alias("u"), d.alias("d"))))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, int] = NEED) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs(doc_id, text)``.
 
@@ -338,51 +354,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
     def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in sliced(batches):
-            packed = pa.array([pack(x.as_buffer()) if x.is_valid else pack(b"") for x in batch["text"].cast(pa.binary())], pa.binary())
+            packed = pa.array([pack((x or b"").lower()) for x in batch["text"].cast(pa.binary()).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], packed, text_keys(batch["text"])], ["doc_id", "packed", "text_key"])
 
-    # Texts travel compressed, which is less than their tokens; the join is by shuffle at any size.
+    # Texts travel in lower case and compressed, which is less than their tokens; the join is by shuffle at any size.
     own = docs.mapInArrow(with_key, "doc_id long, packed binary, text_key long")
     match = own.text_key.eqNullSafe(sets.text_key) & own.doc_id.eqNullSafe(sets.doc_id)
     held = own.join(sets.hint("merge"), match).select(own.packed, sets.a, sets.b, sets.label, sets.blocks, sets.block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    units = held.withColumn("other", other).select(
-        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "b", "packed")
-
-    def links_of(unit: list[tuple]) -> list[tuple]:
-        unit = list({(a, b): (block, a, b, t) for block, a, b, t in unit}.values())
-        if len(unit) < 2:
-            return []
-        unpack = zstandard.ZstdDecompressor().decompress
-        marks = np.array([block for block, *_ in unit])
-        apart = marks if len(set(marks.tolist())) > 1 else None
-        sets = []
-        for at in range(0, len(unit), 64):
-            tokens, starts = token_sets(pa.array([unpack(t) for *_, t in unit[at: at + 64]], pa.binary()), shingle)
+    units = held.withColumn("unit", F.explode(meetings())).select("label", "unit.i", "unit.u", "unit.d", "a", "b", "packed")
+
+    def block_of(rows: dict[tuple, bytes]) -> tuple[list[tuple], list[np.ndarray]]:
+        """Names and tokens of a block's sets."""
+        unpack, names, sets = zstandard.ZstdDecompressor().decompress, list(rows), []
+        for at in range(0, len(names), 64):
+            tokens, starts = token_sets(pa.array([unpack(rows[x]) for x in names[at: at + 64]], pa.binary()), shingle)
             sets += [tokens[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
-        first = join_sets(sets, need, apart)
-        return [(*unit[i][1:3], *unit[f][1:3]) for i, f in enumerate(first.tolist()) if i != f]
+        return names, sets
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units arrive sorted; one is held at a time."""
-        at, unit = None, []
-
-        def emit(links: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b", "c", "d"])
+        """Blocks arrive sorted by unit, the one that is held there first; besides it one is in memory at a time."""
+        at, rows, kept = None, {}, ([], [])
+
+        def links_of() -> Iterator[pa.RecordBatch]:
+            nonlocal kept
+            if at is None:
+                return
+            *_, u, d = at
+            block = block_of(rows)
+            if not d:
+                kept = block
+                (names, sets), apart = block, None
+            else:
+                names, sets = kept[0] + block[0], kept[1] + block[1]
+                apart = np.repeat([0, 1], [len(kept[0]), len(block[0])])
+            if len(names) > 1 and (d or not u):
+                first = join_sets(sets, need, apart)
+                if links := [(*names[i], *names[f]) for i, f in enumerate(first.tolist()) if i != f]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b", "c", "d"])
 
         for batch in ending(batches):
-            columns = [batch[c].to_pylist() for c in ("label", "i", "j", "block", "a", "b", "packed")]
-            for label, i, j, *row in zip(*columns, strict=True):
-                if (label, i, j) != at:
-                    if links := links_of(unit):
-                        yield emit(links)
-                    at, unit = (label, i, j), []
-                unit.append(tuple(row))
-        if links := links_of(unit):
-            yield emit(links)
-
-    key = ["label", "i", "j"]
-    links = units.repartition(*key).sortWithinPartitions(*key).mapInArrow(linked, "a long, b long, c long, d long")
+            columns = [batch[c].to_pylist() for c in ("label", "i", "u", "d", "a", "b", "packed")]
+            for label, i, u, d, a, b, packed in zip(*columns, strict=True):
+                if (label, i, u, d) != at:
+                    yield from links_of()
+                    if at is None or (label, i, u) != at[:3]:
+                        kept = ([], [])
+                    at, rows = (label, i, u, d), {}
+                rows[a, b] = packed
+        yield from links_of()
+
+    key = ["label", "i", "u"]
+    links = units.repartition(*key).sortWithinPartitions(*key, "d").mapInArrow(linked, "a long, b long, c long, d long")
     groups = components(links.select(name().alias("u"), name("c", "d").alias("v")))
     labelled = entries.withColumn("node", name()).join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = labelled.select("doc_id", "n", "label")
