@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.samples import odd_documents
 from veritab.llm import op2_decontamination as op2, op7_suffix_dedup as op7, op8_signature_join as op8
+from veritab.llm.common import CLEANUP, stored
 from veritab.llm.components import components
 
 
@@ -232,6 +235,62 @@ def test_signature_tree_and_keys_lose_no_link():
                     assert need[1] * len(a & b) < need[0] * len(a | b) or by[i] & by[j]
 
 
+def test_light_and_frequent_keys_are_left_out_without_losing_a_link():
+    rnd, rng = random.Random(4), np.random.default_rng(4)
+    for _ in range(15):
+        sets = list(near_sets(rnd, rng, rnd.choice([10, 50, 120])))
+        plain = [set(s.tolist()) for s in sets]
+        flat, starts = np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        for need in ((90, 100), (80, 100)):
+            whose, key, level = (x.tolist() for x in op8.class_keys(flat, starts, need))
+            spare, count, own = op8.classes(need)[3], Counter(key), {}
+            for w, k, at in zip(whose, key, level, strict=True):
+                own.setdefault((w, at), []).append((-count[k], k))
+            by = {}
+            for (w, at), keys in own.items():
+                by.setdefault(w, set()).update(k for _, k in sorted(keys)[spare[at]:])
+            for i, a in enumerate(plain):
+                for j, b in enumerate(plain[:i]):
+                    assert need[1] * len(a & b) < need[0] * len(a | b) or by[i] & by[j]
+
+
+def test_sets_of_a_key_are_counted_across_batches(monkeypatch):
+    rng = np.random.default_rng(6)
+    for many, size in ((1 << 14, 7), (5, 3), (2, 100), (4, 1)):
+        monkeypatch.setattr(op8, "MANY", many)
+        rows = sorted((int(x), int(a), int(x) % 3) for x, a in rng.integers(0, 12, (150, 2)) ** 2 if x < 100 or a < 9)
+        columns = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "a", "level"])
+        got = [tuple(r.values()) for b in op8.shared(batch.slice(i, size) for i in range(0, len(batch), size)) for r in b.to_pylist()]
+        count = Counter(x for x, _, _ in set(rows))
+        assert got == [(*r, min(count[r[0]], many)) for r in sorted(set(rows)) if count[r[0]] > 1]
+
+
+def test_documents_with_a_passage_in_common_are_no_neighbourhood(spark, monkeypatch):
+    rnd = random.Random(12)
+    passages = [[f"p{p}x{i}" for i in range(45)] for p in range(3)]
+    texts = [[f"d{i}x{k}" for k in range(rnd.randrange(100, 140))] + passages[i % 3] + passages[(i + i // 3) % 3][:20] for i in range(150)]
+    texts += [texts[0][:60] + ["other"] + texts[0][61:], texts[1][:50] + texts[1][51:]]
+    docs, rows, kept = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), {}, op8.stored
+    monkeypatch.setattr(op8, "MOST_COMMON", 0)  # also where passages are too rare to be among the common tokens
+    monkeypatch.setattr(op8, "stored", lambda df, label: rows.setdefault(label, kept(df, label)))
+    groups = {r.doc_id: r.component_id for r in op8.near_duplicates(docs, 5, (80, 100)).collect()}
+    assert groups == {**{i: i for i in range(150)}, 150: 0, 151: 1}
+    assert rows["neighbourhoods"].count() == 4
+
+
+def test_shuffle_files_go_when_a_step_is_stored(spark):
+    blocks = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().toString()))
+    step = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    before, rows = blocks(), stored(step, "step")
+    for _ in range(50):
+        if not blocks() - before:
+            break
+        time.sleep(0.2)
+    assert not blocks() - before and spark.conf.get(CLEANUP, None) is None
+    assert rows.count() == step.count() == step.count() == 10
+
+
 def test_jaccard_join_of_odd_documents(spark):
     import re
     docs = odd_documents(spark).repartition(3)

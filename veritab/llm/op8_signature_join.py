@@ -6,9 +6,11 @@ The tree's upper levels are laid out over the cluster, its lower levels in the t
    class of its smaller set; a set is entered in its own class and, near the border, in the one below.
 2. *Token classes.* Sets that link differ in at most d tokens, d known for the class. Tokens are dealt
    by a hash into more than d parts, so linked sets agree in a whole part: what a part holds is a key.
-   Tokens that many documents have, and empty parts, are kept out of keys without losing a link.
-   Sets that share a key get a leader; leaders connect them into neighbourhoods, outside of which no
-   set can have a link. A task passes a key on once, however many of its sets have it.
+   There are more parts than that by two allowances: a set does without its lightest parts (empty ones
+   first), then without the keys that most other sets have, and linked sets still share a key. So sets
+   that have a line or a passage in common, but no link, mostly share none. Tokens that many documents
+   have are kept out of keys. Sets that share a key get a leader; leaders connect them into
+   neighbourhoods, outside of which no set can have a link.
 3. *Bitmaps.* Within a neighbourhood a tree is built over the sets: each node holds the OR of its
    sets' token bitmaps, their range of sizes and the fewest bits of any. A dual traversal drops a pair
    of nodes when the overlap that is possible at most is below what the smallest sizes need, or when
@@ -28,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veritab.llm.common import ending, mix, ship, sliced, stored, table, text_bytes
 from veritab.llm.components import components
@@ -38,6 +40,10 @@ SHINGLE, NEED = 3, (90, 100)  # link if 100 * intersection >= 90 * union
 BLANK = lookup(9, 10, 11, 12, 13, 32)
 SAMPLE, MOST_COMMON = 4000, 4096  # documents sampled for tokens that many have; bound on those
 RATIO, LEAF, FAN, WORDS = 1.5, 32, 8, 16
+#: Percent of the parts that linked sets can differ in, by which there are more: for light parts, and for keys that many sets have.
+LIGHT, OFTEN = 30, 20
+#: Sets of a key are counted up to this number.
+MANY = 1 << 14
 #: Sets and tokens of a block, on average.
 BLOCK, BLOCK_TOKENS = 5000, 2_000_000
 #: Blocks that pass by the one a unit holds.
@@ -73,29 +79,35 @@ def token_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.
 
 
 @lru_cache(maxsize=8)
-def classes(need: tuple[int, int], longest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
-    """Lower ends of the size classes, the number of parts of each, and how many of them may be empty."""
-    low, parts, spare = [1], [], []
+def classes(need: tuple[int, int], longest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower ends of the size classes, the number of parts of each, and how many of them a set does without: light ones, frequent ones."""
+    low, parts, light, often = [1], [], [], []
     p, q = need
     while low[-1] < longest:
         low.append(int(low[-1] * RATIO) + 1)
         top = low[-1] - 1
         both = top + top * q // p  # sizes of the largest pair whose smaller set is in the class
         differ = both * (q - p) // (q + p)
-        spare.append((differ + 1) * 15 // 100 + 1)
-        parts.append(differ + 1 + spare[-1])
-    return np.array(low[:-1]), np.array(parts), np.array(spare)
+        light.append((differ + 1) * LIGHT // 100 + 1)
+        often.append((differ + 1) * OFTEN // 100 + 2)
+        parts.append(differ + 1 + light[-1] + often[-1])
+    return np.array(low[:-1]), np.array(parts), np.array(light), np.array(often)
 
 
 def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int], common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) for each part of each set in each of its classes.
+    """(set, key) for the parts of each set in each of its classes."""
+    return class_keys(tokens, starts, need, common)[:2]
 
-    ``common`` tokens are left out of the parts; what two sets then differ in is no more than before. A
-    class has more parts than two sets can differ in, so linked sets agree in more parts than may be
-    empty: empty parts are keys only of sets that have more of them than that.
+
+def class_keys(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int], common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(set, key, class) for each part of each set in each of its classes, but the lightest parts.
+
+    ``common`` tokens are left out of the parts; what two sets then differ in is no more than before. Linked
+    sets agree in more parts than both allowances of their class. A set leaves out as many as the first, in one
+    order for all (number of tokens, then key): of the parts that two agree in, at most that many go.
     """
     size = np.diff(starts)
-    low, parts, spare = classes(need)
+    low, parts, light, _ = classes(need)
     own = np.searchsorted(low, size, "right") - 1
     below = np.searchsorted(low, np.maximum(-(-size * need[0] // need[1]), 1), "right") - 1
     member = np.repeat(np.arange(len(size)), size)
@@ -114,12 +126,11 @@ def keys_of(tokens: np.ndarray, starts: np.ndarray, need: tuple[int, int], commo
         total = np.zeros(int(n.sum()), np.uint64)
         np.add.at(total, slot, value[on])
         whose = np.repeat(np.arange(len(size)), n)
-        empty = np.bincount(slot, minlength=len(total)) == 0
-        many = np.bincount(whose[empty], minlength=len(size)) > spare[level]
-        part = (np.arange(len(total)) - base[whose]).astype(np.uint64)
-        key = mix(total + mix(part * A + level[whose].astype(np.uint64) * B + C))
-        keep = ~empty | many[whose]
-        out.append((whose[keep], key[keep]))
+        held = np.bincount(slot, minlength=len(total))
+        place = np.arange(len(total)) - base[whose]
+        key = mix(total + mix(place.astype(np.uint64) * A + level[whose].astype(np.uint64) * B + C))
+        keep = np.lexsort((key, held, whose))[place >= light[level[whose]]]
+        out.append((whose[keep], key[keep], level[whose[keep]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -145,18 +156,13 @@ def doc_rows(texts: pa.Array, doc_ids: pa.Array, shingle: int) -> pa.RecordBatch
 
 
 def key_rows(texts: pa.Array, need: tuple[int, int], shingle: int, common: np.ndarray) -> pa.RecordBatch:
-    """Each key met, once, with the first set that has it; and a link to that set from each other one (``lead``)."""
+    """Each key of each set (``a``), once a set, with its class."""
     tokens, starts = token_sets(texts, shingle)
     a, _ = fingerprints(tokens, starts)
-    whose, key = keys_of(tokens, starts, need, common)
-    _, first, back = np.unique(key, return_index=True, return_inverse=True)
-    leader = first[back]
-    linked = np.flatnonzero(a[whose] != a[whose[leader]])
-    links = np.unique(np.column_stack([a[whose[linked]], a[whose[leader[linked]]]]), axis=0)
-    some = np.sort(first)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([key[some].view(np.int64), links[:, 0]])), pa.array(np.concatenate([a[whose[some]], links[:, 0]])),
-        pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(links[:, 1])])], ["x", "a", "lead"])
+    _, first = np.unique(a, return_index=True)
+    whose, key, level = class_keys(tokens, starts, need, common)
+    some = np.isin(whose, first)
+    return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(a[whose[some]]), pa.array(level[some])], ["x", "a", "level"])
 
 
 def common_tokens(docs: DataFrame, size: int, shingle: int) -> np.ndarray:
@@ -176,14 +182,51 @@ def common_tokens(docs: DataFrame, size: int, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in found], np.int64).view(np.uint64))
 
 
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, a, level) sorted by key and set: once each, those of keys that several sets have, with the number of these (``MANY`` at most)."""
+    names = ["x", "a", "level"]
+    kept, told = [np.zeros(0, np.int64)] * 3, 0  # the last key's rows so far; if they have gone on, the last of them, and 1
+
+    def rows(columns: list[np.ndarray], n: np.ndarray, use: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[use]) for c in (*columns, n)], [*names, "n"])
+
+    for batch in ending(batches):
+        x, a, level = (np.concatenate([k, batch[c].to_numpy()]) for k, c in zip(kept, names, strict=True))
+        if not len(x):
+            continue
+        once = np.ones(len(x), bool)
+        once[1:] = (x[1:] != x[:-1]) | (a[1:] != a[:-1])
+        x, a, level = x[once], a[once], level[once]
+        begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        count = np.diff(begin, append=len(x))
+        if told:
+            count[0] += MANY
+        n = np.repeat(np.minimum(count, MANY), np.diff(begin, append=len(x)))
+        at = np.arange(len(x))
+        full = n[-1] == MANY  # a key known to have so many needn't wait for the rest
+        use = (at >= told) & (n > 1) & (full | (at < begin[-1]))
+        if use.any():
+            yield rows([x, a, level], n, use)
+        last = len(x) - 1 if full else begin[-1]
+        kept, told = [x[last:], a[last:], level[last:]], int(full)
+    if not told and len(kept[0]) > 1:
+        yield rows(kept, np.full(len(kept[0]), len(kept[0])), slice(None))
+
+
+def without_frequent(keys: DataFrame, need: tuple[int, int]) -> DataFrame:
+    """Rows (x, a) of ``keys(x, a, level, n)`` but, of each set and class, as many as its second allowance: those of the largest n.
+
+    Linked sets agree in one more key than that, in one order for all, so one stays that both have.
+    """
+    spare = F.element_at(F.lit(classes(need)[3].tolist()), (F.col("level") + 1).cast("int"))
+    own = Window.partitionBy("a", "level").orderBy(F.desc("n"), "x")
+    return keys.withColumn("place", F.row_number().over(own)).filter(F.col("place") > spare).select("x", "a")
+
+
 def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, a, lead) sorted by key: a link (u, v) from each set to the first with the same key, and the links as they came."""
+    """Rows (x, a) sorted by key: a link (u, v) from each set to the first with the same key."""
     key = first = None
     for batch in ending(batches):
-        known = batch.filter(batch["lead"].is_valid())
-        if len(known):
-            yield pa.RecordBatch.from_arrays([known["a"], known["lead"]], ["u", "v"])
-        batch = batch.filter(batch["lead"].is_null())
         x, a = batch["x"].to_numpy(), batch["a"].to_numpy()
         if not len(x):
             continue
@@ -342,8 +385,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, need: tuple[int, in
 
     entries = stored(docs.mapInArrow(named, "doc_id long, text_key long, n long, a long, b long"), "set-names")
     common = common_tokens(docs, entries.count(), shingle)
-    keys = docs.mapInArrow(keyed, "x long, a long, lead long").repartition("x").sortWithinPartitions("x", "a")
-    hoods = stored(components(keys.mapInArrow(leaders, "u long, v long")), "neighbourhoods")
+    keys = docs.mapInArrow(keyed, "x long, a long, level long").repartition("x").sortWithinPartitions("x", "a")
+    keys = without_frequent(keys.mapInArrow(shared, "x long, a long, level long, n long"), need)
+    links = keys.repartition("x").sortWithinPartitions("x", "a").mapInArrow(leaders, "u long, v long")
+    hoods = stored(components(links), "neighbourhoods")
 
     sets = entries.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("text_key", "doc_id")).alias("pick"), F.max("n").alias("n"))
     sets = sets.join(hoods.withColumnRenamed("node", "a"), "a").select("a", "b", "n", "label", "pick.text_key", "pick.doc_id")
