@@ -109,7 +109,8 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
         return spark.read.json(path)
     reader = spark.read.option("multiLine", True)
     # Spark opens many small files one by one in the driver to infer from them; texts are read by tasks.
-    inferred = spark.read.json(spark.read.text(path, wholetext=True).rdd.map(lambda r: r.value)).schema
+    texts = getattr(spark.read.text(path, wholetext=True)._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    inferred = DataFrame(spark.read._jreader.json(texts), spark).schema
     readable = inferred.names and "_corrupt_record" not in inferred.names  # UTF-16 and broken files are Spark's to tell
     df = (reader.schema(inferred) if readable else reader).json(path)
     lists = [f.name for f in df.schema.fields
