@@ -181,6 +181,14 @@ def brute_passages(texts, words=51, length=400):
     return out
 
 
+def test_texts_are_shuffled_after_the_repeats_are_stored(spark):
+    """What finds the repeats is no part of the last query, so its shuffle files don't lie beside those of the texts."""
+    docs = spark.createDataFrame([(1, "ab " * 300), (2, "ab " * 300), (3, "x")], "doc_id long, text string")
+    last = op7.removal_digest(docs)
+    assert len(re.findall("(?:MergeJoin|HashJoin)", last._jdf.queryExecution().executedPlan().toString())) == 1
+    assert [r.n_removed > 0 for r in last.orderBy("doc_id").collect()] == [True, True, False]
+
+
 # --- op8 ---
 def brute_groups(sets, need):
     root = list(range(len(sets)))
